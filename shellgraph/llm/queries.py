@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import jump_hash, minhash, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards, and one more."""
+    return jump_hash.assign(_table(spark, sf_dir, "documents"), 16)
+
+
+def op7_block_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 3, 1, 2 over the sources, 150 % of all words, at most twice a source."""
+    return mixing.taken(_table(spark, sf_dir, "documents"), mixing.Mix(weights=(3, 1, 2), share=1.5, cap=2.0))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles at 0.85, every document."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.MinHash(shingle=3, percent=85))
@@ -22,6 +32,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op6_jump_hash_shards": op6_jump_hash_shards,
+        "op7_block_mixture": op7_block_mixture,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
