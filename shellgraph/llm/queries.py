@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jump_hash, minhash, mixing
+from . import chat, jump_hash, langid, minhash, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,15 @@ def op7_block_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"), mixing.Mix(weights=(3, 1, 2), share=1.5, cap=2.0))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the documents outside the held-out quarter, predicts all."""
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.train(docs.where(~held).select("text", "lang"))
+    out = langid.predict(docs.select("doc_id", "text", held.alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles at 0.85, every document."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.MinHash(shingle=3, percent=85))
@@ -56,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op2_chat_format": op2_chat_format,
         "op6_jump_hash_shards": op6_jump_hash_shards,
         "op7_block_mixture": op7_block_mixture,
+        "op9_language_id": op9_language_id,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
