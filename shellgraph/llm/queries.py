@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jump_hash, langid, minhash, mixing
+from . import chat, jump_hash, langid, minhash, mixing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,12 @@ def op7_block_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"), mixing.Mix(weights=(3, 1, 2), share=1.5, cap=2.0))
 
 
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its private values replaced. The key is a fixed one for reproducible
+    results; a real run passes its own."""
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), b"fixed demonstration key")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the documents outside the held-out quarter, predicts all."""
     docs = _table(spark, sf_dir, "documents")
@@ -65,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op2_chat_format": op2_chat_format,
         "op6_jump_hash_shards": op6_jump_hash_shards,
         "op7_block_mixture": op7_block_mixture,
+        "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
         "op9_language_id": op9_language_id,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
