@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jump_hash, langid, minhash, mixing, pii
+from . import chat, decontam, jump_hash, langid, minhash, mixing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of every document against every benchmark item: a row for each leak."""
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards, and one more."""
     return jump_hash.assign(_table(spark, sf_dir, "documents"), 16)
@@ -69,6 +74,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_chat_format": op2_chat_format,
+        "op3_bm25_decontamination": op3_bm25_decontamination,
         "op6_jump_hash_shards": op6_jump_hash_shards,
         "op7_block_mixture": op7_block_mixture,
         "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
