@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jump_hash, langid, minhash, mixing, pii
+from . import common as C
+from . import chat, decontam, jump_hash, langid, link_graph, minhash, mixing, pii, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +42,28 @@ def op3_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives into the shared folder and read back. Ranges of 16 MB, so
+    that even small tables are written by several tasks."""
+    root = C.Scratch(spark).path("warc")
+    warc.write(_table(spark, sf_dir, "pages"), root, warc.Layout(range_bytes=16 << 20))
+    return warc.read(spark, root, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+RULES = (
+    link_graph.Rule("block", "com", "/en/"),
+    link_graph.Rule("allow", "example.com", "/en/7"),
+    link_graph.Rule("allow", "net", "/de/"),
+    link_graph.Rule("block", "example.net", "/de/8"),
+    link_graph.Rule("block", "org", "/es/"),
+)
+
+
+def op5_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules first, then trust and distrust over all links of all pages."""
+    return link_graph.judge(_table(spark, sf_dir, "pages"), RULES)
+
+
 def op6_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards, and one more."""
     return jump_hash.assign(_table(spark, sf_dir, "documents"), 16)
@@ -75,6 +98,8 @@ def queries() -> dict[str, Query]:
     return {
         "op2_chat_format": op2_chat_format,
         "op3_bm25_decontamination": op3_bm25_decontamination,
+        "op4_warc_round_trip": op4_warc_round_trip,
+        "op5_link_graph_filter": op5_link_graph_filter,
         "op6_jump_hash_shards": op6_jump_hash_shards,
         "op7_block_mixture": op7_block_mixture,
         "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
@@ -98,6 +123,11 @@ def oracle_sql() -> dict[str, str]:
                 FROM c GROUP BY conv_id)
             SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
                 CAST(formatted AS BIGINT) AS formatted_chars FROM g""",
+        "op4_warc_round_trip": """
+            WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+            t AS (SELECT *, max(page_id) OVER (PARTITION BY n, d) AS top FROM p)
+            SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+                CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM t""",
         "op10_minhash_near_dedup": f"""
             WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
             s AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
