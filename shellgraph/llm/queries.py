@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import chat, decontam, jump_hash, langid, link_graph, minhash, mixing, pii, warc
+from . import chat, decontam, edit_embedding, jump_hash, langid, link_graph, minhash, mixing, pii, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, its edited text and the next document."""
+    return edit_embedding.with_next(_table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations as chains of replies, and one that tries to forge marks; digests of what
     is read back from the formatted text."""
@@ -96,6 +101,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_edit_embedding": op1_edit_embedding,
         "op2_chat_format": op2_chat_format,
         "op3_bm25_decontamination": op3_bm25_decontamination,
         "op4_warc_round_trip": op4_warc_round_trip,
