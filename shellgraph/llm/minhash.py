@@ -81,6 +81,16 @@ def _set_id(s: np.ndarray) -> tuple[int, int]:
     return int(C.mix(s).sum(dtype=C.U64)), int(C.mix(s ^ C.U64(0x5851F42D4C957F2D)).sum(dtype=C.U64))
 
 
+PARITY_WORDS = 16
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    """1024 parities of the set over hash bins. Each element in just one of two sets changes one
+    bit, so the number of differing bits never exceeds the size of the symmetric difference."""
+    odd = np.bincount((s >> C.U64(5)).astype(np.int64) & (64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketch(p: MinHash, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,6 +102,8 @@ def _sketch(p: MinHash, full: bool):
                 if full:
                     flat = np.concatenate(sets) if sets else np.zeros(0, C.U64)
                     ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
+                    bits = np.concatenate([_parity(s) for s in sets])
+                    cols["parity"] = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bits) + 1, PARITY_WORDS, dtype=np.int32)), pa.array(bits))
                     cols["shingles"] = pa.ListArray.from_arrays(pa.array(ends), C.signed(flat))
                 else:
                     keys = _half_keys(sets, p)
@@ -116,22 +128,22 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     kept true). Other columns of ``docs`` are ignored; an empty table gives an empty result.
 
     Equal sets are one node from the start, so a group of copies of any size costs one row per
-    table. In a table each member is compared with one leader, then leaders change until no two
-    members of different components remain; what is left then is compared pair by pair. No bucket
-    is capped.
+    table. In a table each member is compared with one leader; members that are still in different
+    components then meet each other, after more leaders where a table holds many. A bound on the
+    symmetric difference keeps hopeless pairs from being formed. No bucket is capped.
     """
     spark = docs.sparkSession
     scratch = C.Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = scratch.save(docs.mapInArrow(_sketch(p, False), f"{_BASE}, half_keys array<long>"), "sketch")
-    nodes = sketch.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("low_doc"), F.min(F.expr(_KEY)).alias("any_doc"), F.first("n_shingles").alias("size"), F.first("half_keys").alias("half_keys"))
+    nodes = sketch.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("low_doc"), F.min(F.expr(_KEY)).alias("any_doc"), F.first("half_keys").alias("half_keys"))
     nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     t = p.tables
-    pair = nodes.select("node", "size", "half_keys", F.explode(F.sequence(F.lit(0), F.lit(t * t - 1))).alias("ij"))
+    pair = nodes.select("node", "half_keys", F.explode(F.sequence(F.lit(0), F.lit(t * t - 1))).alias("ij"))
     a = F.expr(f"half_keys[int(ij div {t})]")
     b = F.expr(f"half_keys[{t} + int(ij % {t})]")
-    keys = pair.select(F.xxhash64("ij", a, b).alias("key"), "node", "size")
+    keys = pair.select(F.xxhash64("ij", a, b).alias("key"), "node")
     shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
     members = scratch.save(keys.join(shared, "key"), "members")
 
@@ -148,49 +160,50 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
 def _verify(scratch: C.Scratch, docs: DataFrame, nodes: DataFrame, members: DataFrame, p: MinHash) -> DataFrame:
     """Links (u, v) between nodes, enough that their components equal those of all links found in
     the tables."""
-    near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * p.percent)
     who = members.select("node").distinct().join(nodes.select("node", "h1", "h2", "any_doc"), "node")
     texts = docs.join(who.select(F.col("any_doc").alias("k")).distinct(), F.expr(f"{_KEY} = k"), "left_semi")
-    full = texts.mapInArrow(_sketch(p, True), f"{_BASE}, shingles array<long>")
-    sets = who.select("node", "h1", "h2").join(full.select("h1", "h2", "shingles"), ["h1", "h2"]).dropDuplicates(["node"]).select("node", "shingles")
-    sets = scratch.save(sets, "sets")
+    full = texts.mapInArrow(_sketch(p, True), f"{_BASE}, parity array<long>, shingles array<long>")
+    sets = who.select("node", "h1", "h2").join(full.select("h1", "h2", F.col("n_shingles").alias("size"), "parity", "shingles"), ["h1", "h2"]).dropDuplicates(["node"])
+    sets = scratch.save(sets.select("node", "size", "parity", "shingles"), "sets")
+    # linked only if the symmetric difference is at most this share of the sizes' sum; its lower
+    # bound by parities drops most pairs before their sets meet, and no linked one
+    differ = " + ".join(f"bit_count(pu[{i}] ^ pv[{i}])" for i in range(PARITY_WORDS))
+    close = f"least(su, sv) * 100 >= greatest(su, sv) * {p.percent} and ({differ}) * {100 + p.percent} <= (su + sv) * {100 - p.percent}"
+    as_u = sets.select(F.col("node").alias("u"), F.col("size").alias("su"), F.col("parity").alias("pu"))
+    as_v = sets.select(F.col("node").alias("v"), F.col("size").alias("sv"), F.col("parity").alias("pv"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        x = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
-        y = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
-        both = F.size(F.array_intersect("su", "sv"))
-        joined = pairs.join(y, "v").join(x, "u")
-        joined = joined.select("u", "v", both.alias("i"), (F.size("su") + F.size("sv")).alias("s"))
-        return joined.select("u", "v", (F.col("i") * 100 >= (F.col("s") - F.col("i")) * p.percent).alias("ok"))
-
-    sized = lambda df, node, name: df.join(nodes.select(F.col("node").alias(node), F.col("size").alias(name)), node)
-    first = sized(members.where("lead <> node").select(F.col("lead").alias("u"), F.col("node").alias("v"), F.col("size").alias("sv")).distinct(), "u", "su").where(near(F.col("su"), F.col("sv"))).select("u", "v")
-    tested = scratch.save(confirmed(first), "tested")
+        x = sets.select(F.col("node").alias("u"), F.col("shingles").alias("xu"))
+        y = sets.select(F.col("node").alias("v"), F.col("shingles").alias("xv"))
+        joined = pairs.join(y, "v").join(x, "u").select("u", "v", F.size(F.array_intersect("xu", "xv")).alias("i"), (F.size("xu") + F.size("xv")).alias("s"))
+        return joined.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * p.percent).select("u", "v")
+
+    stars = members.where("lead <> node").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
+    links = scratch.save(confirmed(stars.join(as_v, "v").join(as_u, "u").where(close).select("u", "v")), "links")
     for turn in range(8):
-        roots = C.components(scratch, tested.where("ok").select("u", "v"))
-        state = members.select("key", "node", "size").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+        roots = C.components(scratch, links)
+        state = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         mixed = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         state = scratch.save(state.join(mixed, "key"), "mixed")
         sums = state.groupBy("key", "root").agg(F.count("*").alias("c"))
         work = sums.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.sum("n")).first()
         if not work[1]:
             break
-        last = work[0] <= 4 * work[1] or turn == 7
-        if last:
-            left = state.select("key", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("size").alias("su"))
-            right = state.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("size").alias("sv"))
-            pairs = left.join(right, "key").where("u < v and ru <> rv")
-        else:  # another leader for each component of a key: a pseudo-random member
-            order = F.xxhash64("key", "node", F.lit(turn))
-            lead = state.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "root", "size")).alias("l"))
-            pairs = state.join(lead, "key").where("l.root <> root").select(F.least("l.node", "node").alias("u"), F.greatest("l.node", "node").alias("v"), F.col("l.size").alias("su"), F.col("size").alias("sv"))
-        fresh = pairs.where(near(F.col("su"), F.col("sv"))).select("u", "v").distinct().join(tested.select("u", "v"), ["u", "v"], "left_anti")
-        more = scratch.save(tested.unionByName(confirmed(fresh)), "tested")
-        scratch.drop(state, tested)
-        tested = more
+        last = work[0] <= 200 * work[1] or turn == 7
+        rich = state.join(sets.select("node", "size", "parity"), "node")
+        left = rich.select("key", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("size").alias("su"), F.col("parity").alias("pu"))
+        if not last:  # another leader for each key: a pseudo-random member
+            pick = state.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node", F.lit(turn))).alias("u"))
+            left = pick.join(left, ["key", "u"])
+        right = rich.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("size").alias("sv"), F.col("parity").alias("pv"))
+        pairs = left.join(right, "key").where(f"ru <> rv and {'u < v and ' if last else ''}{close}")
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        more = scratch.save(links.unionByName(confirmed(pairs)), "links")
+        scratch.drop(state, links)
+        links = more
         if last:
             break
-    return tested.where("ok").select("u", "v")
+    return links
 
 
 def keep_one(docs: DataFrame, p: MinHash = MinHash(shingle=5, percent=80, tables=11)) -> DataFrame:
