@@ -87,6 +87,6 @@ def wide_matrix(df: DataFrame, row: str, column: str, values: Sequence[str], cel
 
 def frequencies(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
     """Per row the share of each of the given values among them; shares of a row sum to 1."""
-    counts = wide_matrix(df.where(F.col(column).isin(*values)), row, column, values, F.count("*")).na.fill(0)
+    counts = wide_matrix(df.where(F.col(column).isin(*values)), row, column, values, F.count(F.lit(1))).na.fill(0)
     total = sum((F.col(f"`{v}`") for v in values), F.lit(0))
     return counts.select(row, *[(F.col(f"`{v}`") / total).alias(v) for v in values])
