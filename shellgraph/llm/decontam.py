@@ -241,10 +241,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            for i, j, h, counts, first in _words(batch.column("__text")):
+            for i, j, h, counts, first in _words(batch.column("text")):
                 keep = np.ones(j - i, bool)
                 for r, _ in index.leaks(h, counts, first):
                     keep[r] = False
                 yield batch.slice(i, j - i).select(names).filter(pa.array(keep))
 
-    return docs.select(*[F.col(f"`{n}`") for n in names], F.col("text").cast("string").alias("__text")).mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields))

@@ -173,7 +173,7 @@ KINDS: dict[str, tuple[str, Callable[[str, Move], str | None]]] = {
     "secret": (r"(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}", _secret),
     "iban": (r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?", _iban),
     "date": (r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2}", _date),
-    "ip": (r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])", _ip),
+    "ip": (r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])", _ip),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", _ssn),
     "card": (r"[0-9](?:[ -]?[0-9]){12,18}", _card),
     "phone": (r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}", _phone),
