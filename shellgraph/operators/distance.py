@@ -7,6 +7,7 @@ both sides of a group are large. ``auto`` broadcasts a side only after counting
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -70,13 +71,41 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Seque
     """
     keys = list(keys)
     if cutoff is None:
+        if strategy == "auto":
+            strategy = "broadcast" if bounded(right) else "grid"
+        if strategy == "grid":
+            return _widening(left, right, keys, order)
         a, b = _packed(left, keys, "l"), _packed(right, keys, "r")
         on = [f"__k{i}" for i in range(len(keys))]
-        if strategy == "auto" and bounded(right):
-            b = F.broadcast(b)
+        b = F.broadcast(b) if strategy == "broadcast" else b
         found = (a.join(b, on) if on else a.crossJoin(b)).select("l", "r", distance("l", "r").alias("d")).where("d is not null")
     else:
         found = pairs(left, right, keys, cutoff, strategy)
+    return _closest(left, found, order)
+
+
+def _widening(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Nearest rows by grid joins whose cutoff doubles: a hit within the cutoff is the nearest of all, so only
+    rows without one go on. Starts at the spacing of evenly spread points and ends when the cutoff spans all."""
+    limits = [f(F.col(c)) for c in "xyz" for f in (F.min, F.max)]
+    box = left.select("x", "y", "z").unionByName(right.select("x", "y", "z")).agg(*limits).first()
+    widest = math.sqrt(sum(((b or 0.0) - (a or 0.0)) ** 2 for a, b in zip(box[::2], box[1::2], strict=True)))
+    n = right.count()
+    if not n or widest == 0.0:
+        return nearest(left, right, keys, order, cutoff=1.0, strategy="keyed")
+    cutoff = widest / max(1.0, n ** (1 / 3))
+    open_, done = left.distinct(), None
+    while True:
+        step = _closest(open_, pairs(open_, right, keys, cutoff, "grid"), order).persist()
+        hit = step.where("r is not null")
+        done = hit if done is None else done.unionByName(hit)
+        open_ = step.where("r is null").select("l.*")
+        if cutoff >= widest or open_.isEmpty():
+            return done.unionByName(step.where("r is null"))
+        cutoff *= 2
+
+
+def _closest(left: DataFrame, found: DataFrame, order: Sequence[str]) -> DataFrame:
     best = found.groupBy("l").agg(F.min_by("r", F.struct("d", *[F.col(f"r.{c}") for c in order])).alias("r"), F.min("d").alias("d"))
     every = left.select(F.struct(*left.columns).alias("l")).distinct()
     return every.alias("e").join(best.alias("b"), F.expr("e.l <=> b.l"), "left").select("e.l", "b.r", "b.d")

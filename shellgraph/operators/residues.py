@@ -16,7 +16,8 @@ def names_list(c: str | Column) -> Column:
 def centroids(atoms: DataFrame, keys: Sequence[str], name: str = "resname", order: str = "ordinal") -> DataFrame:
     """Mean x, y, z per key, and the first atom's name. Rows without key or coordinates are skipped."""
     rows = atoms.dropna(subset=[*keys, "x", "y", "z"])
-    return rows.groupBy(*keys).agg(F.min_by(name, order).alias(name), *[F.avg(c).alias(c) for c in "xyz"])
+    names = [] if name in keys else [F.min_by(name, order).alias(name)]
+    return rows.groupBy(*keys).agg(*names, *[F.avg(c).alias(c) for c in "xyz"])
 
 
 def bond_pairs(atoms: DataFrame, rules: DataFrame, keys: Sequence[str], name: str, kind: str, order: Sequence[str]) -> DataFrame:
