@@ -26,8 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common as C
+
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 
+BROADCAST_GROUPS = 500_000  # of about 64 bytes; beyond that the join shuffles
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -55,9 +59,11 @@ def classify(pages: DataFrame, layout: Layout = Layout()) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1("html"))
     large = rows.where(F.col("payload_bytes") >= layout.dedup_bytes)
-    # only groups with a second page_id matter; ids and digests travel, payloads stay
+    # only groups of several matter; digests travel, payloads stay where the groups are few
     groups = large.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("__top"), F.count("*").alias("__n")).where("__n > 1 and __top is not null").drop("__n")
-    out = rows.join(groups, ["payload_digest", "payload_bytes"], "left")
+    groups = C.Scratch(pages.sparkSession).save(groups, "groups")
+    few = groups.count() <= BROADCAST_GROUPS
+    out = rows.join(F.broadcast(groups) if few else groups, ["payload_digest", "payload_bytes"], "left")
     again = F.coalesce(~F.col("page_id").eqNullSafe(F.col("__top")) & F.col("__top").isNotNull(), F.lit(False))
     return out.select("page_id", "url", F.when(~again, F.col("html")).alias("html"), "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("__top")).alias("refers_to"))
 
