@@ -49,26 +49,28 @@ def best_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     is a root; a leaf is nobody's parent. Self-joins double the distance covered in each round, so a
     path of n turns takes about log2(n) of them, on ids alone. A path's score is the sum of its
     nodes' scores, null counting 0; the best ``per_tree`` leaves of a tree are chosen, ties to the
-    smaller leaf. (tree, node) identifies a node. Nodes on a cycle have no root above them and, like
-    empty tables, give no path; nodes hanging below a cycle fail the round limit of 40 instead of
-    running on.
+    smaller leaf. (tree, node) identifies a node. Nodes on or below a cycle have no root above them and,
+    like empty tables, give no path.
     """
     scratch = C.Scratch(nodes.sparkSession)
     own = scratch.save(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
-    parents = own.select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
+    largest = own.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     up = own.join(own.select("tree", F.col("node").alias("parent")), ["tree", "parent"]).select("tree", "node", F.col("parent").alias("above"))
-    up = scratch.save(up, "up")
-    paths = scratch.save(own.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back")), "paths")
-    reach, rounds = 1, 0
-    while not up.isEmpty():
-        if rounds == 40:
-            raise ValueError("the reply relation has a cycle")
-        further = paths.join(up, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("back") + reach).alias("back"))
+    ups = [scratch.save(up, "up")]  # ups[k]: from each node to the one 2**k above it
+    while 1 << len(ups) - 1 < largest and not ups[-1].isEmpty():
+        up = ups[-1]
+        twice = up.select("tree", F.col("node").alias("low"), F.col("above").alias("node")).join(up, ["tree", "node"])
+        ups.append(scratch.save(twice.select("tree", F.col("low").alias("node"), "above"), "up"))
+    # who still has something above after as many steps as its tree has nodes is on or below a cycle
+    endless = ups[-1].select("tree", "node")
+    parents = own.select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
+    leaves = own.join(parents, ["tree", "node"], "left_anti").join(endless, ["tree", "node"], "left_anti")
+    paths = scratch.save(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back")), "paths")
+    for k, up in enumerate(ups):
+        further = paths.join(up, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("back") + (1 << k)).alias("back"))
         longer = scratch.save(paths.unionByName(further), "paths")
-        twice = up.select("tree", F.col("node").alias("low"), F.col("above").alias("node")).join(up, ["tree", "node"]).select("tree", F.col("low").alias("node"), "above")
-        farther = scratch.save(twice, "up")
-        scratch.drop(paths, up)
-        paths, up, reach, rounds = longer, farther, reach * 2, rounds + 1
+        scratch.drop(paths, up) if k < len(ups) - 1 else scratch.drop(paths)
+        paths = longer
     scored = paths.join(own.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.max("back").alias("depth"))
     scored = scored.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf"))).where(F.col("rank") <= per_tree)
     return paths.join(scored, ["tree", "leaf"]).select("tree", "leaf", "rank", "node", (F.col("depth") - F.col("back")).alias("place"))
