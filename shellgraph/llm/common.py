@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _LOCAL_DIR: list[str] = []
 
 
@@ -176,3 +176,45 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         new = scratch.save(small.union(low2.select("u", "m")).where("u > v").distinct(), "star")
         scratch.drop(e, large)
         e = new
+
+
+def bucket_links(scratch: Scratch, members: DataFrame, facts: DataFrame, close: str, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (u, v), u < v, between nodes that share a bucket: enough that their components are those of all
+    confirmed pairs of all buckets.
+
+    ``members(key, node, lead)`` has the buckets of several nodes, lead being one of them; ``facts(node, ...)`` what is
+    known of a node, whose columns ``close`` names with the suffix _u or _v: a condition that every link meets.
+    ``confirm`` turns pairs (u, v) into the links among them.
+
+    First every member meets its bucket's lead. After that only members of different components need to meet:
+    while a bucket would make many such pairs, members meet another lead first, which joins most of what
+    belongs together; then the rest meet directly. No bucket is capped.
+    """
+    names = [c for c in facts.columns if c != "node"]
+    side = lambda df, x: df.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names])
+    stars = members.where("lead <> node").select(F.least("lead", "node").alias("u"), F.greatest("lead", "node").alias("v")).distinct()
+    links = scratch.save(confirm(stars.join(side(facts, "v"), "v").join(side(facts, "u"), "u").where(close).select("u", "v")), "links")
+    for turn in range(8):
+        roots = components(scratch, links)
+        state = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        mixed = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        state = scratch.save(state.join(mixed, "key"), "mixed")
+        sums = state.groupBy("key", "root").agg(F.count("*").alias("c"))
+        work = sums.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.sum("n")).first()
+        if not work[1]:
+            break
+        last = work[0] <= 200 * work[1] or turn == 7
+        rich = state.join(facts, "node").withColumnRenamed("root", "__root")
+        left = rich.select("key", F.col("node").alias("u"), F.col("__root").alias("root_u"), *[F.col(c).alias(f"{c}_u") for c in names])
+        if not last:  # another lead for each bucket: a pseudo-random member
+            pick = state.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node", F.lit(turn))).alias("u"))
+            left = pick.join(left, ["key", "u"])
+        right = rich.select("key", F.col("node").alias("v"), F.col("__root").alias("root_v"), *[F.col(c).alias(f"{c}_v") for c in names])
+        pairs = left.join(right, "key").where(f"root_u <> root_v and {'u < v and ' if last else ''}{close}")
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        more = scratch.save(links.unionByName(confirm(pairs)), "links")
+        scratch.drop(state, links)
+        links = more
+        if last:
+            break
+    return links

@@ -167,10 +167,8 @@ def _verify(scratch: C.Scratch, docs: DataFrame, nodes: DataFrame, members: Data
     sets = scratch.save(sets.select("node", "size", "parity", "shingles"), "sets")
     # linked only if the symmetric difference is at most this share of the sizes' sum; its lower
     # bound by parities drops most pairs before their sets meet, and no linked one
-    differ = " + ".join(f"bit_count(pu[{i}] ^ pv[{i}])" for i in range(PARITY_WORDS))
-    close = f"least(su, sv) * 100 >= greatest(su, sv) * {p.percent} and ({differ}) * {100 + p.percent} <= (su + sv) * {100 - p.percent}"
-    as_u = sets.select(F.col("node").alias("u"), F.col("size").alias("su"), F.col("parity").alias("pu"))
-    as_v = sets.select(F.col("node").alias("v"), F.col("size").alias("sv"), F.col("parity").alias("pv"))
+    differ = " + ".join(f"bit_count(parity_u[{i}] ^ parity_v[{i}])" for i in range(PARITY_WORDS))
+    close = f"least(size_u, size_v) * 100 >= greatest(size_u, size_v) * {p.percent} and ({differ}) * {100 + p.percent} <= (size_u + size_v) * {100 - p.percent}"
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("node").alias("u"), F.col("shingles").alias("xu"))
@@ -178,32 +176,7 @@ def _verify(scratch: C.Scratch, docs: DataFrame, nodes: DataFrame, members: Data
         joined = pairs.join(y, "v").join(x, "u").select("u", "v", F.size(F.array_intersect("xu", "xv")).alias("i"), (F.size("xu") + F.size("xv")).alias("s"))
         return joined.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * p.percent).select("u", "v")
 
-    stars = members.where("lead <> node").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
-    links = scratch.save(confirmed(stars.join(as_v, "v").join(as_u, "u").where(close).select("u", "v")), "links")
-    for turn in range(8):
-        roots = C.components(scratch, links)
-        state = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        state = scratch.save(state.join(mixed, "key"), "mixed")
-        sums = state.groupBy("key", "root").agg(F.count("*").alias("c"))
-        work = sums.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.sum("n")).first()
-        if not work[1]:
-            break
-        last = work[0] <= 200 * work[1] or turn == 7
-        rich = state.join(sets.select("node", "size", "parity"), "node")
-        left = rich.select("key", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("size").alias("su"), F.col("parity").alias("pu"))
-        if not last:  # another leader for each key: a pseudo-random member
-            pick = state.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node", F.lit(turn))).alias("u"))
-            left = pick.join(left, ["key", "u"])
-        right = rich.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("size").alias("sv"), F.col("parity").alias("pv"))
-        pairs = left.join(right, "key").where(f"ru <> rv and {'u < v and ' if last else ''}{close}")
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        more = scratch.save(links.unionByName(confirmed(pairs)), "links")
-        scratch.drop(state, links)
-        links = more
-        if last:
-            break
-    return links
+    return C.bucket_links(scratch, members, sets.select("node", "size", "parity"), close, confirmed)
 
 
 def keep_one(docs: DataFrame, p: MinHash = MinHash(shingle=5, percent=80, tables=11)) -> DataFrame:
