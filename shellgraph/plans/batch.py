@@ -12,7 +12,7 @@ from ..sources import files, structures
 from . import compare
 
 
-def run_batch(spark: SparkSession, root: str, template: DataFrame, network: DataFrame, prefix: str = "stmqnc", cutoff: float = 2.0) -> tuple[DataFrame, DataFrame]:
+def run_batch(spark: SparkSession, root: str, template: DataFrame, network: DataFrame, prefix: str = "batch", cutoff: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """(manifest, summary) of all runs below ``root``.
 
     manifest: run_dir, job_name, seed, sample, ranking_score, model_path, status (ok, skipped, failed), message, the

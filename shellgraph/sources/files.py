@@ -37,9 +37,9 @@ def atoms_path(template: str) -> str:
     return f"{stem}_atoms{dot}{suffix}" if dot else f"{template}_atoms"
 
 
-def sidecar(folder: str) -> dict:
-    """Settings in ``sscna.yaml`` (if PyYAML is there) or ``sscna.json``; none or unreadable: empty."""
-    for name in ("sscna.yaml", "sscna.json"):
+def sidecar(folder: str, names: Sequence[str] = ("network.yaml", "network.json")) -> dict:
+    """Settings in the first readable of the named YAML (if PyYAML is there) or JSON files; none: empty."""
+    for name in names:
         try:
             with open(os.path.join(folder, name), encoding="utf-8") as f:
                 if name.endswith(".json"):

@@ -1,6 +1,6 @@
 """New model files as they arrive: each micro-batch is compared like a batch and appended.
 
-The reference data model has no streams; this wraps the batch plan for folders that grow.
+This wraps the batch plan for folders that grow.
 """
 
 from __future__ import annotations

@@ -232,7 +232,7 @@ def test_batch(spark, runs):
     manifest, summary = batch.run_batch(spark, runs, _template(spark), _network(spark))
     got = {os.path.basename(r.run_dir): r for r in manifest.collect()}
     assert {k: r.status for k, r in got.items()} == {"a": "ok", "b": "skipped", "c": "skipped", "d": "failed"}
-    assert (got["a"].sample, got["a"].iptm, got["a"].job_name) == ("0", 0.5, "stmqnc__a__seed1_sample0") and got["a"].rmsd < 1e-6
+    assert (got["a"].sample, got["a"].iptm, got["a"].job_name) == ("0", 0.5, "batch__a__seed1_sample0") and got["a"].rmsd < 1e-6
     assert (got["a"].total, got["a"].matched, got["a"].percent) == (6, 6, 100.0)
     assert got["b"].message.startswith("No valid rows") and got["c"].message.startswith("Model file not found")
     assert [r.run_dir for r in summary.collect()] == [got["a"].run_dir]
@@ -256,7 +256,7 @@ def test_files(spark, tmp_path, monkeypatch):
     with pytest.raises(FileNotFoundError):
         files.resolve(str(tmp_path / "2abc"))
     assert files.atoms_path("a/b.csv") == "a/b_atoms.csv" and files.sidecar(str(tmp_path)) == {}
-    (tmp_path / "sscna.json").write_text('{"cofactor_resname": "ZN", "distance_cutoff": 4.0, "exclude_moieties": []}')
+    (tmp_path / "network.json").write_text('{"cofactor_resname": "ZN", "distance_cutoff": 4.0, "exclude_moieties": []}')
     s = network.Settings.from_options(files.sidecar(str(tmp_path)), {"distance_cutoff": None})
     assert (s.cofactors, s.cutoff, s.exclude_moieties) == (("ZN",), 4.0, ())
     names = str(tmp_path / "names.txt")
