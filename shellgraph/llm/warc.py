@@ -144,7 +144,7 @@ def write(pages: DataFrame, root: str, layout: Layout = Layout()) -> DataFrame:
     n, total = pages.select(F.count("*"), F.sum(F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))))).first()
     ranges = max(1, -(-(total or 0) // layout.range_bytes))
     ids = pages.select(F.col("page_id").cast("long").alias("i")).where("i is not null")
-    picked = sorted(r[0] for r in ids.where(F.pmod(F.xxhash64("i"), F.lit(max(1, n // (64 * ranges)))) == 0).collect())
+    picked = sorted(r[0] for r in ids.where(F.pmod(F.xxhash64("i"), F.lit(max(1, n // (64 * ranges)))) == 0).distinct().collect())
     bounds = sorted({picked[k * len(picked) // ranges] for k in range(1, ranges)}) if picked else []
     place = F.size(F.filter(F.lit(bounds).cast("array<bigint>") if bounds else F.array().cast("array<bigint>"), lambda b: b <= F.coalesce("page_id", F.lit(-(1 << 63))))) if len(bounds) < 256 else None
     if place is None:  # many ranges: width_bucket searches the bounds in logarithmic time
