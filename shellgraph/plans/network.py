@@ -101,8 +101,9 @@ def coordination_network(atoms: DataFrame, s: Settings) -> Network:
         one, two = cofactor_atoms(atoms, s.cofactors), cofactor_atoms(atoms, s.cofactors2)
         near = [distance.within(a, b, ["structure_id"], s.combinatorial_cutoff, s.strategy).drop("min_distance") for a, b in ((one, two), (two, one))]
         core = near[0].unionByName(near[1])
-    pcs = seeds(atoms, core, core, s)
-    scs = seeds(atoms, pcs, core.select(*RESIDUE).unionByName(pcs.select(*RESIDUE)), s)
+    # the spheres are small and read again by every later step
+    pcs = seeds(atoms, core, core, s).persist()
+    scs = seeds(atoms, pcs, core.select(*RESIDUE).unionByName(pcs.select(*RESIDUE)), s).persist()
     edges = links(core, pcs, "cofactor->pcs", s).unionByName(links(pcs, scs, "pcs->scs", s))
     if s.expand:
         pcs, scs = (expand(atoms, x, s.exclude_moieties) for x in (pcs, scs))

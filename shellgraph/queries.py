@@ -101,9 +101,9 @@ def _sphere(p: DataFrame, around: DataFrame, cutoff: float) -> DataFrame:
 def _two_hops(spark, d, cutoff):
     p = points(spark, d)
     core, able = p.where("label = 0"), p.where("label not in (0, 9)")
-    first = _sphere(able, core, cutoff)
+    first = _sphere(able, core, cutoff).persist()  # read by the second hop and both kinds of edges
     rest = able.join(first.select("label", "resnum").distinct(), ["label", "resnum"], "left_anti")
-    return core, first, _sphere(rest, first, cutoff)
+    return core, first, _sphere(rest, first, cutoff).persist()
 
 
 def _edges(sources, targets, kind):
