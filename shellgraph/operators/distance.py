@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,31 +28,31 @@ def distance(a: str, b: str) -> Column:
     return F.sqrt(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2])
 
 
-def _packed(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    return df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.struct(*df.columns).alias(name))
-
-
-def pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float, strategy: str = "auto") -> DataFrame:
-    """(l, r, d): structs of the left and right rows of equal ``keys`` at most ``cutoff`` apart
-    (inclusive, on the root), with their distance. Null coordinates and null keys match nothing."""
-    a, b = _packed(left, keys, "l"), _packed(right, keys, "r")
-    on = [f"__k{i}" for i in range(len(keys))]
-    if strategy == "auto":
-        strategy = "broadcast" if bounded(right) else "grid"
+def _sides(left: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float | None, strategy: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides as structs ``l`` and ``r`` beside their keys (and cells), and the condition that joins them."""
+    packed = lambda df, n: df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.struct(*df.columns).alias(n))
+    a, b, on = packed(left, "l"), packed(right, "r"), [f"__k{i}" for i in range(len(keys))]
     if strategy == "grid":
         cell = lambda s, c: F.floor(F.col(f"{s}.{c}") / F.lit(float(cutoff))).cast("long")
-        near = lambda c: F.sequence(cell("r", c) - 1, cell("r", c) + 1)
         a = a.select("*", *[cell("l", c).alias(f"__{c}") for c in "xyz"])
-        b = b.where("r.x is not null and r.y is not null and r.z is not null")
         for c in "xyz":
-            b = b.select("*", F.explode(near(c)).alias(f"__{c}"))
+            b = b.select("*", F.explode(F.sequence(cell("r", c) - 1, cell("r", c) + 1)).alias(f"__{c}"))
         on = [*on, "__x", "__y", "__z"]
     elif strategy == "broadcast":
         b = F.broadcast(b)
     elif strategy != "keyed":
         raise ValueError(f"no strategy {strategy}")
-    joined = a.join(b, on) if on else a.crossJoin(b)
-    return joined.select("l", "r", distance("l", "r").alias("d")).where(F.col("d") <= cutoff)
+    near = distance("l", "r") <= cutoff if cutoff is not None else distance("l", "r").isNotNull()
+    return a.alias("a"), b.alias("b"), reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on], near)
+
+
+def pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float, strategy: str = "auto") -> DataFrame:
+    """(l, r, d): structs of the left and right rows of equal ``keys`` at most ``cutoff`` apart
+    (inclusive, on the root), with their distance. Null coordinates and null keys match nothing."""
+    if strategy == "auto":
+        strategy = "broadcast" if bounded(right) else "grid"
+    a, b, near = _sides(left, right, keys, cutoff, strategy)
+    return a.join(b, near).select("l", "r", distance("l", "r").alias("d"))
 
 
 def within(left: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float, strategy: str = "auto", name: str = "min_distance") -> DataFrame:
@@ -69,19 +70,13 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Seque
     Equally near rows of ``right`` go by ``order``. Without a right row of equal keys (within the
     cutoff, if one is given) ``r`` and ``d`` are null. Left rows equal in all columns count as one.
     """
-    keys = list(keys)
-    if cutoff is None:
-        if strategy == "auto":
-            strategy = "broadcast" if bounded(right) else "grid"
-        if strategy == "grid":
-            return _widening(left, right, keys, order)
-        a, b = _packed(left, keys, "l"), _packed(right, keys, "r")
-        on = [f"__k{i}" for i in range(len(keys))]
-        b = F.broadcast(b) if strategy == "broadcast" else b
-        found = (a.join(b, on) if on else a.crossJoin(b)).select("l", "r", distance("l", "r").alias("d")).where("d is not null")
-    else:
-        found = pairs(left, right, keys, cutoff, strategy)
-    return _closest(left, found, order)
+    if strategy == "auto":
+        strategy = "broadcast" if bounded(right) else "grid"
+    if cutoff is None and strategy == "grid":
+        return _widening(left, right, keys, order)
+    a, b, near = _sides(left, right, keys, cutoff, strategy)
+    found = a.join(b, near, "left").select("l", "r", distance("l", "r").alias("d"))
+    return found.groupBy("l").agg(F.min_by("r", F.struct("d", *[F.col(f"r.{c}") for c in order])).alias("r"), F.min("d").alias("d"))
 
 
 def _widening(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -96,16 +91,10 @@ def _widening(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Seq
     cutoff = widest / max(1.0, n ** (1 / 3))
     open_, done = left.distinct(), None
     while True:
-        step = _closest(open_, pairs(open_, right, keys, cutoff, "grid"), order).persist()
+        step = nearest(open_, right, keys, order, cutoff, "grid").persist()
         hit = step.where("r is not null")
         done = hit if done is None else done.unionByName(hit)
         open_ = step.where("r is null").select("l.*")
         if cutoff >= widest or open_.isEmpty():
             return done.unionByName(step.where("r is null"))
         cutoff *= 2
-
-
-def _closest(left: DataFrame, found: DataFrame, order: Sequence[str]) -> DataFrame:
-    best = found.groupBy("l").agg(F.min_by("r", F.struct("d", *[F.col(f"r.{c}") for c in order])).alias("r"), F.min("d").alias("d"))
-    every = left.select(F.struct(*left.columns).alias("l")).distinct()
-    return every.alias("e").join(best.alias("b"), F.expr("e.l <=> b.l"), "left").select("e.l", "b.r", "b.d")

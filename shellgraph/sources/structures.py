@@ -37,21 +37,22 @@ def element_of(element: Column, atom_name: Column) -> Column:
 
 
 def best_altloc(atoms: DataFrame) -> DataFrame:
-    """One row per atom: that of the highest occupancy, the first of equal ones."""
+    """One row per atom with alternative locations: that of the highest occupancy, the first of equal ones. Only these
+    few rows are shuffled; an atom without a location mark stands for itself."""
     key = ["structure_id", "model", "chain", "resname", "resnum", "icode", "atom_name"]
-    plain = atoms.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("occupancy"), "ordinal")))
-    return plain.where("__n = 1").drop("__n")
+    several = atoms.where("altloc <> ''").withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("occupancy"), "ordinal")))
+    return atoms.where("altloc = ''").unionByName(several.where("__n = 1").drop("__n"))
 
 
 def read_pdb(spark: SparkSession, paths: str | Sequence[str], altloc: bool = True) -> DataFrame:
     """Atoms of PDB files (also gzipped), in the schema of ``schema.ATOM``; ``ordinal`` is the order in the
     file. Lines whose coordinates don't parse are left out. ``altloc``: resolve alternative locations."""
-    text = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select(structure_id(F.col("_metadata.file_path")).alias("structure_id"), F.split("value", r"\r?\n").alias("lines"))
-    lines = text.select("structure_id", F.posexplode("lines").alias("n", "line"))
-    # the model a line is in: the last MODEL line before it, in its own file
-    lines = lines.where(F.substring("line", 1, 6).isin("ATOM  ", "HETATM", "MODEL "))
-    model = F.when(F.col("line").startswith("MODEL "), F.expr("try_cast(trim(substr(line, 7, 8)) as int)"))
-    lines = lines.withColumn("model", F.coalesce(F.last(model, True).over(W.partitionBy("structure_id").orderBy("n")), F.lit(1)) - 1).where(~F.col("line").startswith("MODEL "))
+    text = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select(structure_id(F.col("_metadata.file_path")).alias("structure_id"), F.split("value", r"(?m)^(?=MODEL )").alias("parts"))
+    # a part for each model, so that its number needs no look at other rows
+    lines = text.select("structure_id", F.posexplode("parts").alias("m", "part"))
+    model = F.when(F.col("part").startswith("MODEL "), F.expr("try_cast(trim(substr(part, 7, 8)) as int)"))
+    lines = lines.select("structure_id", (F.coalesce(model, F.lit(1)) - 1).alias("model"), "m", F.posexplode(F.split("part", r"\r?\n")).alias("n", "line"))
+    lines = lines.where(F.substring("line", 1, 6).isin("ATOM  ", "HETATM"))
     cut = lambda a, n: F.substring("line", a, n)
     rows = lines.select(
         "structure_id", F.col("model").cast("int").alias("model"), F.trim(cut(22, 1)).alias("chain"),
@@ -59,7 +60,7 @@ def read_pdb(spark: SparkSession, paths: str | Sequence[str], altloc: bool = Tru
         F.trim(cut(18, 3)).alias("resname"), F.expr("try_cast(trim(substr(line, 23, 4)) as int)").alias("resnum"), F.trim(cut(27, 1)).alias("icode"),
         F.trim(cut(13, 4)).alias("atom_name"), F.trim(cut(17, 1)).alias("altloc"), element_of(cut(77, 2), cut(13, 4)).alias("element"),
         _float("trim(substr(line, 31, 8))").alias("x"), _float("trim(substr(line, 39, 8))").alias("y"), _float("trim(substr(line, 47, 8))").alias("z"),
-        F.coalesce(F.expr("try_cast(trim(substr(line, 55, 6)) as double)"), F.lit(1.0)).alias("occupancy"), F.col("n").cast("long").alias("ordinal"),
+        F.coalesce(F.expr("try_cast(trim(substr(line, 55, 6)) as double)"), F.lit(1.0)).alias("occupancy"), (F.col("m").cast("long") * (1 << 32) + F.col("n")).alias("ordinal"),
     ).where("x is not null and y is not null and z is not null")
     return best_altloc(rows) if altloc else rows
 
