@@ -200,7 +200,7 @@ def bucket_links(scratch: Scratch, members: DataFrame, facts: DataFrame, close:
         mixed = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         state = scratch.save(state.join(mixed, "key"), "mixed")
         sums = state.groupBy("key", "root").agg(F.count("*").alias("c"))
-        work = sums.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.sum("n")).first()
+        work = sums.groupBy("key").agg(F.sum("c").cast("double").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("q")).agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.sum("n")).first()
         if not work[1]:
             break
         last = work[0] <= 200 * work[1] or turn == 7
