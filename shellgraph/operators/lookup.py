@@ -22,6 +22,26 @@ def label_moieties(atoms: DataFrame, table: DataFrame | None = None, default: st
     return out.withColumn("moiety", F.coalesce("__m", backbone, F.lit(default))).drop("__r", "__a", "__m")
 
 
+def co_moiety(atoms: DataFrame, keys: Sequence[str], table: DataFrame | None = None) -> DataFrame:
+    """(keys, atom_name, moiety, together): each atom's moiety with wildcards, and the sorted names of its residue's atoms
+    of that label.
+
+    OXT is the c_terminus where the residue has O, else nothing; O is the c_terminus where it has OXT, else water in
+    HOH, else backbone; other names go by (residue, name), then ("ANY", name). Atoms without moiety have null."""
+    table = table or chemistry.moiety_table(atoms.sparkSession)
+    exact = table.select(F.col("resname").alias("__r"), F.col("atom_name").alias("__a"), F.col("moiety").alias("__exact"))
+    some = table.where("resname = 'ANY'").select(F.col("atom_name").alias("__b"), F.col("moiety").alias("__any"))
+    rows = atoms.select(*keys, *([] if "resname" in keys else ["resname"]), "atom_name").join(F.broadcast(exact), (F.col("resname") == F.col("__r")) & (F.col("atom_name") == F.col("__a")), "left")
+    rows = rows.join(F.broadcast(some), F.col("atom_name") == F.col("__b"), "left")
+    named = rows.groupBy(*keys).agg(F.bool_or(F.col("atom_name") == "O").alias("__o"), F.bool_or(F.col("atom_name") == "OXT").alias("__oxt"))
+    name = F.col("atom_name")
+    oxygen = F.when(F.col("__oxt"), "c_terminus").when(F.col("resname") == "HOH", "water").otherwise("backbone")
+    moiety = F.when(name == "OXT", F.when(F.col("__o"), F.lit("c_terminus"))).when(name == "O", oxygen).otherwise(F.coalesce("__exact", "__any"))
+    rows = rows.join(named, list(keys)).withColumn("moiety", moiety)
+    labelled = rows.where("__exact is not null").groupBy(*keys, F.col("__exact").alias("moiety")).agg(F.array_sort(F.collect_set("atom_name")).alias("together"))
+    return rows.join(labelled, [*keys, "moiety"], "left").select(*keys, "atom_name", "moiety", "together")
+
+
 def synonyms(spark, groups: Sequence[Sequence[str]]) -> DataFrame:
     """(synonym, canonical) of groups whose first name is canonical; a name in two groups belongs to
     the later one."""

@@ -41,3 +41,15 @@ def argmax(df: DataFrame, keys: Sequence[str], value: str, score: Column, order:
     numbers. A combining aggregate, no sort."""
     best = df.where(score.isNotNull() & ~F.isnan(score.cast("double")))
     return best.groupBy(*keys).agg(F.max_by(value, F.struct(score, *[-o for o in order])).alias(name))
+
+
+def keep_closest(df: DataFrame, group: Sequence[str], d: str, preference: Column, name: str, digits: int = 6) -> DataFrame:
+    """The nearest row of each group; of rows as near to ``digits`` decimals the one of the lowest ``preference``, then by
+    name."""
+    return first_by(df, group, [F.round(d, digits), preference, name])
+
+
+def preference_of(kind: str, name: str, table: dict[str, list[str]]) -> Column:
+    """The place of ``name`` among the preferred names of ``kind``; names that aren't listed come after all."""
+    pairs = [x for k, names in table.items() for i, n in enumerate(names) for x in (F.lit(f"{k}|{n}"), F.lit(i))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.concat_ws("|", kind, name)), F.lit(1_000))

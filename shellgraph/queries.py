@@ -311,7 +311,7 @@ def preference_tiebreak(spark, d):
     p = points(spark, d)
     near = distance.within(p.where("label <> 0"), p.where("label = 0").select("x", "y", "z"), [], 2.0)
     rank = F.when(F.col("label") == 5, 0).when(F.col("label") == 3, 1).otherwise(9)
-    return topk.first_by(near, ["resnum"], [F.round("min_distance", 6), rank, "vec_id"]).select("resnum", "vec_id", "label")
+    return topk.keep_closest(near, ["resnum"], "min_distance", rank, "vec_id").select("resnum", "vec_id", "label")
 
 
 def run_status_counts(spark, d):

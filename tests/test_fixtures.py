@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shellgraph import schema
 from shellgraph.functions import chemistry
-from shellgraph.operators import distance, matching, residues, topk
+from shellgraph.operators import distance, lookup, matching, residues, topk
 from shellgraph.plans import batch, compare, dedup, network
 from shellgraph.sources import files, reports, structures
 from shellgraph.streaming import watch
@@ -286,3 +286,17 @@ def test_signatures_empty_mask(spark):
     df = spark.createDataFrame([("x", ["a"], ["m"]), ("y", ["a"], ["n"])], "id string, signature array<string>, present array<string>")
     g = residues.duplicate_groups(df, [], "id").first()
     assert g.canonical == "x" and g.matching == []
+
+
+def test_co_moiety(spark):
+    a = atoms(spark, [("ASP", 1, "A", n, n[0], (0, 0, 0)) for n in ("N", "O", "OXT", "OD1", "OD2", "XX")] + [("HOH", 2, "A", "O", "O", (0, 0, 0)), ("GLY", 3, "A", "O", "O", (0, 0, 0)), ("GLY", 4, "A", "OXT", "O", (0, 0, 0))])
+    got = {(r.resnum, r.atom_name): (r.moiety, r.together) for r in lookup.co_moiety(a, schema.RESIDUE).collect()}
+    assert got[1, "OD1"] == got[1, "OD2"] == ("COO", ["OD1", "OD2"]) and got[1, "N"] == ("backbone", ["N", "O", "OXT"])
+    assert got[1, "O"][0] == got[1, "OXT"][0] == "c_terminus" and got[1, "XX"] == (None, None)
+    assert (got[2, "O"][0], got[3, "O"][0], got[4, "OXT"][0]) == ("water", "backbone", None)
+
+
+def test_preference(spark):
+    df = spark.createDataFrame([(1, "COO", "OD2", 2.0), (1, "COO", "OD1", 2.0000000001), (1, "COO", "ZZ", 2.0), (2, "x", "B", 1.0), (2, "x", "A", 1.0), (2, "x", "C", 0.9)], "g long, moiety string, name string, d double")
+    best = topk.keep_closest(df, ["g"], "d", topk.preference_of("moiety", "name", chemistry.PREFERRED), "name")
+    assert {(r.g, r.name) for r in best.collect()} == {(1, "OD1"), (2, "C")}
