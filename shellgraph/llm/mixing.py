@@ -142,7 +142,8 @@ def taken(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; rows not taken go."""
     planned = C.Scratch(docs.sparkSession).save(plan(docs, mix).where("full > 0 or extra"), "plan")
-    key = lambda crc: F.struct(F.col("doc_id").cast("long").alias("d"), F.col("source").cast("string").alias("s"), crc.alias("c"))
+    # one string, so that the window and the join ask for the same partitioning and texts move once
+    key = lambda crc: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("n")), crc.cast("string"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
     times = mixture(planned, mix).select(key(F.col("text_crc32")).alias("__key")).groupBy("__key").agg(F.count("*").alias("__times"))
     rows = docs.withColumn("__key", key(F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
     # rows equal in the key share its draws evenly, the first ones getting one more
