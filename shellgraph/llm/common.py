@@ -33,6 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL_DIR[0]}"
 
 
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what Spark sends Python at once by bytes, in this session: its own bound is a number of rows, which
+    says nothing where texts are long. A smaller bound that is set already stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if not (now and now.isdigit() and int(now) <= ARROW_BYTES):
+        spark.conf.set(key, ARROW_BYTES)
+
+
 class Scratch:
     """Tables written once and read again: lineage ends there, so a lost executor costs no
     recomputation of earlier steps. ``drop`` frees tables that nothing lazy reads any more."""

@@ -216,6 +216,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) ->
     """One row for each document of ``docs(doc_id, text)`` and each test item it leaks, for the best
     passage. Documents without leaks have no row; null and empty texts leak nothing; repeated rows
     give repeated rows; without items there are no leaks. Documents are independent: no shuffle."""
+    C.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(build_index(benchmark, rules))  # max_items items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,6 +236,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) ->
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``docs`` without the documents that leak an item, columns unchanged."""
+    C.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(build_index(benchmark, rules))  # max_items items
     names = docs.columns
 

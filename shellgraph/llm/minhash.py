@@ -132,8 +132,8 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     components then meet each other, after more leaders where a table holds many. A bound on the
     symmetric difference keeps hopeless pairs from being formed. No bucket is capped.
     """
-    spark = docs.sparkSession
-    scratch = C.Scratch(spark)
+    scratch = C.Scratch(docs.sparkSession)
+    C.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = scratch.save(docs.mapInArrow(_sketch(p, False), f"{_BASE}, half_keys array<long>"), "sketch")
     nodes = sketch.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("low_doc"), F.min(F.expr(_KEY)).alias("any_doc"), F.first("half_keys").alias("half_keys"))

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common as C
+
 ROUNDS = 10
 
 
@@ -248,6 +250,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     names), which replace columns of these names. Texts without private values, empty and null ones
     come back as they are, with 0 and an empty list. Whole texts are searched, one at a time; rows
     are independent, so repeated rows and ties change nothing."""
+    C.small_batches(docs.sparkSession)
     own = [f for f in docs.schema.fields if f.name not in _NEW.names]
     names = [f.name for f in own]
 

@@ -139,6 +139,7 @@ def write(pages: DataFrame, root: str, layout: Layout = Layout()) -> DataFrame:
     sha256). Equal input gives equal files however it is partitioned. An empty table gives a
     manifest without files. ``root`` must be a new folder that all executors reach."""
     spark = pages.sparkSession
+    C.small_batches(spark)
     rows = classify(pages, layout)
     # bounds: of a sample by hash, the same whatever the partitioning; at most about 64 a range
     n, total = pages.select(F.count("*"), F.sum(F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))))).first()
