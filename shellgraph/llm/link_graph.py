@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import count
+from sys import float_info
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,12 +63,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return out.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def propagate(scratch: C.Scratch, edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, rounds: int = 60) -> DataFrame:
+def propagate(scratch: C.Scratch, edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int | None = None) -> DataFrame:
     """(host, rank): personalised PageRank from ``seeds(host, mass)`` along ``edges(src, dst, weight)``.
 
     A host's rank goes to its links by weight; what a host without links holds returns to the
-    seeds. Rounds end when ranks change by less than ``tolerance`` in sum. Sums over a hub's links
-    combine before they shuffle. No seeds: no ranks. Seeds without any edge keep their mass.
+    seeds. Rounds end when no host is newly reached and no rank changes by more than ``tolerance`` of
+    itself, however small it is, or after ``rounds`` if given. Sums over a hub's links combine before
+    they shuffle. No seeds: no ranks. Seeds without any edge keep their mass.
     """
     seeds = seeds.groupBy("host").agg(F.sum("mass").alias("mass")).where("mass > 0")
     total = seeds.agg(F.sum("mass")).first()[0]
@@ -76,16 +79,18 @@ def propagate(scratch: C.Scratch, edges: DataFrame, seeds: DataFrame, damping: f
     out = edges.groupBy("src").agg(F.sum("weight").alias("all"))
     shares = scratch.save(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")), "shares")
     rank = scratch.save(seeds.select("host", F.col("seed").alias("rank")), "rank")
-    for _ in range(rounds):
+    now, before = F.coalesce("now", F.lit(0.0)), F.coalesce("rank", F.lit(0.0))
+    for _ in count() if rounds is None else range(rounds):
         given = shares.join(rank.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
         arrived = given.agg(F.sum("given")).first()[0] or 0.0
         lost = 1.0 - damping * arrived  # jumps, and ranks of hosts without links
         new = given.join(seeds, "host", "full").select("host", (F.coalesce("given", F.lit(0.0)) * damping + F.coalesce("seed", F.lit(0.0)) * lost).alias("rank"))
         new = scratch.save(new, "rank")
-        moved = new.withColumnRenamed("rank", "now").join(rank, "host", "full").agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0))))).first()[0]
+        moving = new.withColumnRenamed("rank", "now").join(rank, "host", "full").where(F.abs(now - before) > now * tolerance + float_info.min)
+        settled = moving.isEmpty()
         scratch.drop(rank)
         rank = new
-        if moved < tolerance:
+        if settled:
             break
     return rank
 

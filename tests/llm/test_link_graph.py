@@ -54,6 +54,26 @@ def test_pagerank(spark):
     assert all(abs(got.get(h, 0) - want[h]) < 1e-5 for h in want)
 
 
+def propagated(spark, edges, seeds, **limits):
+    got = M.propagate(common.Scratch(spark), spark.createDataFrame(edges, "src string, dst string, weight long"), spark.createDataFrame(list(seeds.items()), "host string, mass double"), **limits)
+    return {r.host: r["rank"] for r in got.collect()}
+
+
+def test_small_seeds_reach_all(spark):
+    """A seed with little of the mass is followed to its last host, by the default limits."""
+    edges, seeds = [("b", "x1", 1), ("x1", "x2", 1), ("x2", "x3", 1), ("x3", "x2", 1), ("x3", "x4", 9)], {"big": 40000.0, "b": 1.0}
+    got, want = propagated(spark, edges, seeds), slow_rank(edges, seeds)
+    assert got == pytest.approx(want, rel=1e-5, abs=0)
+
+
+def test_pagerank_closely(spark):
+    rng = np.random.default_rng(3)
+    edges = [(f"h{a}", f"h{b}", int(w)) for a, b, w in zip(rng.integers(0, 30, 90), rng.integers(0, 30, 90), rng.integers(1, 9, 90), strict=True) if a != b]
+    seeds = {"h1": 2.0, "h5": 1.0, "alone": 1.0}
+    got, want = propagated(spark, edges, seeds, tolerance=1e-9), slow_rank(edges, seeds)
+    assert all(abs(got.get(h, 0) - want[h]) < 1e-6 for h in want)
+
+
 def test_distrust_runs_backwards(spark):
     a = lambda *to: "".join(f'<a class="x" href="{t}">t</a>' for t in to)
     rows = [(1, "http://good.com/ok/", a("http://friend.com/x", "/local")), (2, "http://bad.com/no/", None), (3, "http://fan.com/", a("http://bad.com/1", "//bad.com/2")), (4, "http://friend.com/", ""), (5, "http://other.com/", "<a href='mailto:x'>")]
