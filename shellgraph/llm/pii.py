@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import date
 from functools import lru_cache
 
@@ -181,6 +181,8 @@ KINDS: dict[str, tuple[str, Callable[[str, Move], str | None]]] = {
     "phone": (r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}", _phone),
 }
 _EACH = {k: re.compile(f"(?:{p}){_ASCII_EDGE[1]}") for k, (p, _) in KINDS.items()}
+_SHORTER = ("card", "phone", "iban")  # kinds whose longest match may run into what follows
+_WHOLE = ("secret", "date", "ip", "ssn")  # kinds whose format leaves no doubt where they begin
 _START = re.compile(r"(?<![0-9A-Za-z])(?:[0-9]|\+[0-9]|\([0-9]|[A-Z]{2}[0-9]{2}|[a-fA-F][0-9A-Fa-f]{31})")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -223,11 +225,40 @@ class Pseudonyms:
                 pos = taken[k][1]
                 continue
             pos = a + 1
-            for kind, pattern in _EACH.items():
-                if (v := pattern.match(text, a)) and (new := self.one(kind, v.group())) is not None:
-                    yield a, v.end(), kind, new
-                    pos = v.end()
-                    break
+            limit = taken[k][0] if k < len(taken) else len(text)
+            if found := self._first(text, a, limit):
+                yield found
+                pos = found[1]
+
+    def _first(self, text: str, a: int, limit: int) -> tuple[int, int, str, str] | None:
+        """The value that starts at ``a`` and ends by ``limit``: of the first kind whose longest match validates, else of
+        the first of which a match that ends with an earlier group does."""
+        rest = []
+        for kind, pattern in _EACH.items():
+            if v := pattern.match(text, a):
+                if kind in _SHORTER:
+                    if (new := self.one(kind, v.group())) is not None and v.end() <= limit and not self._cuts(text, a, v.end(), KINDS):
+                        return a, v.end(), kind, new
+                    rest.append((kind, v.end()))
+                elif v.end() <= limit and (new := self.one(kind, v.group())) is not None:
+                    return a, v.end(), kind, new
+        for kind, last in rest:
+            ends = [last, *(e for e in range(last - 1, a, -1) if text[e] in " .-()" and text[e - 1].isalnum())]
+            good = [(e, new) for e in ends if e <= limit and _EACH[kind].fullmatch(text, a, e) and (new := self.one(kind, text[a:e])) is not None and not self._cuts(text, a, e, _WHOLE)]
+            if good:
+                e, new = next(g for g in good if not self._cuts(text, good[-1][0], g[0], KINDS))  # the last cuts nothing
+                return a, e, kind, new
+        return None
+
+    def _cuts(self, text: str, a: int, end: int, kinds: Iterable[str]) -> bool:
+        """Whether a value of ``kinds`` starts after a and before end and goes on beyond end."""
+        for m in _START.finditer(text, a + 1):
+            if m.start() >= end:
+                break
+            for kind in kinds:
+                if (v := _EACH[kind].match(text, m.start())) and v.end() > end and self.one(kind, v.group()) is not None:
+                    return True
+        return False
 
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym), in order, disjoint."""

@@ -45,6 +45,20 @@ def test_clean_stays(text):
     assert M.Pseudonyms(b"key").replace(text) == (text, [])
 
 
+@pytest.mark.parametrize("value,kind,after,kinds", [
+    ("4539 1488 0343 6467", "card", " 12/27", []), ("4111 1111 1111 1111", "card", " 123", []), ("4539148803436467", "card", " 190.1.2.3", ["ip"]), ("4111-1111-1111-1111", "card", " 123-45-6789", ["ssn"]),
+    ("340000000000009", "card", " 4111 1111 1111 1111", ["card"]), ("4111111111111111", "card", " 123@x.org", ["email"]), ("+44 20 7946 0958", "phone", " 2024 12", []),
+    ("+1 (826) 555-4081", "phone", " 190.137.223.204", ["ip"]), ("+1 (826) 555-4081", "phone", " 19.1.2.3", ["ip"]), ("+1 (826) 555-4081", "phone", " 4111 1111 1111 1111", ["card"]), ("BE68 5390 0754 7034", "iban", " PAID BY", []),
+])
+def test_values_before_more_digits(value, kind, after, kinds):
+    """What follows a value neither hides it nor changes its pseudonym, and isn't cut."""
+    p = M.Pseudonyms(b"key")
+    alone = p.one(kind, value)
+    text, found = p.replace(f"see {value}{after}, ok")
+    assert [k for *_, k, _ in found] == [kind, *kinds] and text.startswith(f"see {alone} ")
+    assert found[-1][1] == len(f"see {value}{after}") or not kinds
+
+
 def test_case_and_links():
     p = M.Pseudonyms(b"key")
     assert p.one("email", "Bob@X.org").lower() == p.one("email", "bob@x.org")
