@@ -18,8 +18,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, its edited text and the next document."""
-    return edit_embedding.with_next(_table(spark, sf_dir, "documents"))
+    """Every document, its edited text and the next document, and its class of near copies."""
+    return edit_embedding.with_classes(_table(spark, sf_dir, "documents"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
