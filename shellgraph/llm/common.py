@@ -75,6 +75,18 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that ``df`` has not got, letter case aside."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 # ---------------------------------------------------------------- hashing of text buffers
 
 
@@ -190,43 +202,56 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         e = new
 
 
-def bucket_links(scratch: Scratch, members: DataFrame, facts: DataFrame, close: str, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_links(scratch: Scratch, members: DataFrame, facts: DataFrame, close: str, first: str, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (u, v), u < v, between nodes that share a bucket: enough that their components are those of all
     confirmed pairs of all buckets.
 
-    ``members(key, node, lead)`` has the buckets of several nodes, lead being one of them; ``facts(node, ...)`` what is
-    known of a node, whose columns ``close`` names with the suffix _u or _v: a condition that every link meets.
-    ``confirm`` turns pairs (u, v) into the links among them.
+    ``members(key, part, node, lead)`` has the buckets of several nodes: part says which of its keys a node is in the
+    bucket for, lead is one of its nodes. ``facts(node, ...)`` is what is known of a node, whose columns two conditions
+    name with the suffix _u or _v: ``close`` holds for every link; ``first`` for just one ``part`` of those that two
+    nodes share, so that a pair of many common buckets is made once. ``confirm`` turns pairs (u, v) into the links
+    among them.
 
-    First every member meets its bucket's lead. After that only members of different components need to meet:
-    while a bucket would make many such pairs, members meet another lead first, which joins most of what
-    belongs together; then the rest meet directly. No bucket is capped.
+    First every member meets its bucket's lead. After that only members of different components need to meet.
+    Rounds in which members meet another lead join most of what belongs together, and go on while each halves the
+    pairs that are left; then those outside a bucket's largest component meet all others of it. No bucket is capped.
     """
     names = [c for c in facts.columns if c != "node"]
     side = lambda df, x: df.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names])
     stars = members.where("lead <> node").select(F.least("lead", "node").alias("u"), F.greatest("lead", "node").alias("v")).distinct()
     links = scratch.save(confirm(stars.join(side(facts, "v"), "v").join(side(facts, "u"), "u").where(close).select("u", "v")), "links")
-    for turn in range(8):
+    before, turn = float("inf"), 0
+    while True:
         roots = components(scratch, links)
-        state = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        state = members.select("key", "part", "node").join(roots, "node", "left").select("key", "part", "node", F.coalesce("root", "node").alias("root"))
         mixed = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         state = scratch.save(state.join(mixed, "key"), "mixed")
         sums = state.groupBy("key", "root").agg(F.count("*").alias("c"))
-        work = sums.groupBy("key").agg(F.sum("c").cast("double").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("q")).agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.sum("n")).first()
-        if not work[1]:
-            break
-        last = work[0] <= 200 * work[1] or turn == 7
+        sums = sums.groupBy("key").agg(F.sum("c").cast("double").alias("n"), F.max(F.struct("c", "root")).alias("top"))
+        sums = scratch.save(sums.select("key", "n", ((F.col("n") - F.col("top.c")) * F.col("n")).alias("pairs"), F.col("top.root").alias("top")), "sums")
+        work, rows = sums.agg(F.sum("pairs"), F.sum("n")).first()
+        if not rows:
+            return links
+        last = work <= 4 * rows or work > before / 2
+        before, turn = work, turn + 1
         rich = state.join(facts, "node").withColumnRenamed("root", "__root")
         left = rich.select("key", F.col("node").alias("u"), F.col("__root").alias("root_u"), *[F.col(c).alias(f"{c}_u") for c in names])
-        if not last:  # another lead for each bucket: a pseudo-random member
+        right = rich.select("key", "part", F.col("node").alias("v"), F.col("__root").alias("root_v"), *[F.col(c).alias(f"{c}_v") for c in names])
+        if last:
+            left = left.join(sums.select("key", "top"), "key").where("root_u <> top")
+            once = f"(root_v = top or u < v) and ({first})"
+        else:  # another lead for each bucket: a pseudo-random member
             pick = state.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node", F.lit(turn))).alias("u"))
-            left = pick.join(left, ["key", "u"])
-        right = rich.select("key", F.col("node").alias("v"), F.col("__root").alias("root_v"), *[F.col(c).alias(f"{c}_v") for c in names])
-        pairs = left.join(right, "key").where(f"root_u <> root_v and {'u < v and ' if last else ''}{close}")
+            left, once = pick.join(left, ["key", "u"]), "true"
+        pairs = left.join(right, "key").where(f"root_u <> root_v and {once} and {close}")
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         more = scratch.save(links.unionByName(confirm(pairs)), "links")
-        scratch.drop(state, links)
+        scratch.drop(state, sums, links)
         links = more
         if last:
-            break
-    return links
+            return links
+
+
+def first_equal(column: str, low: int, high: int) -> str:
+    """SQL: the first place from ``low`` to below ``high`` at which the arrays ``column``_u and ``column``_v agree."""
+    return "case " + " ".join(f"when {column}_u[{i}] = {column}_v[{i}] then {i}" for i in range(low, high)) + " end"

@@ -91,7 +91,7 @@ def _parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _sketch(p: MinHash, full: bool):
+def _sketch(p: MinHash, full: bool, own: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = C.text_buffer(batch.column("text"))
@@ -99,6 +99,7 @@ def _sketch(p: MinHash, full: bool):
                 sets = shingle_sets(data, off[i : j + 1], p.shingle)
                 ids = np.array([_set_id(s) for s in sets], C.U64).reshape(-1, 2)
                 cols = {"doc_id": batch.column("doc_id").slice(i, j - i), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "h1": C.signed(np.ascontiguousarray(ids[:, 0])), "h2": C.signed(np.ascontiguousarray(ids[:, 1]))}
+                cols |= {c: batch.column(c).slice(i, j - i) for c in own}
                 if full:
                     flat = np.concatenate(sets) if sets else np.zeros(0, C.U64)
                     ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
@@ -129,42 +130,56 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
 
     Equal sets are one node from the start, so a group of copies of any size costs one row per
     table. In a table each member is compared with one leader; members that are still in different
-    components then meet each other, after more leaders where a table holds many. A bound on the
-    symmetric difference keeps hopeless pairs from being formed. No bucket is capped.
+    components then meet each other, after more leaders where a table holds many, each pair in the first
+    table that it shares. A bound on the symmetric difference keeps hopeless pairs from being formed. No
+    bucket is capped.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = _named(docs, p).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _named(docs: DataFrame, p: MinHash, own: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, *own, root, component_id) per row of ``docs(doc_id, text, *own)``, own being long columns.
+    root names the component; it is null, as component_id is, where the set is empty."""
     scratch = C.Scratch(docs.sparkSession)
     C.small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = scratch.save(docs.mapInArrow(_sketch(p, False), f"{_BASE}, half_keys array<long>"), "sketch")
+    more = "".join(f", {c} long" for c in own)
+    sketch = scratch.save(docs.mapInArrow(_sketch(p, False, own), f"{_BASE}{more}, half_keys array<long>"), "sketch")
     nodes = sketch.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("low_doc"), F.min(F.expr(_KEY)).alias("any_doc"), F.first("half_keys").alias("half_keys"))
     nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-
-    t = p.tables
-    pair = nodes.select("node", "half_keys", F.explode(F.sequence(F.lit(0), F.lit(t * t - 1))).alias("ij"))
-    a = F.expr(f"half_keys[int(ij div {t})]")
-    b = F.expr(f"half_keys[{t} + int(ij % {t})]")
-    keys = pair.select(F.xxhash64("ij", a, b).alias("key"), "node")
-    shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
-    members = scratch.save(keys.join(shared, "key"), "members")
-
-    links = _verify(scratch, docs, nodes, members, p)
+    members = scratch.save(_members(nodes, p.tables), "members")
+    links = _verify(scratch, docs.select("doc_id", "text"), nodes, members, p)
     roots = C.components(scratch, links)
     named = nodes.select("h1", "h2", "node", "low_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("low_doc").alias("component_id"))
-    named = named.join(names, "root").select("h1", "h2", "component_id")
-    out = sketch.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = named.join(names, "root").select("h1", "h2", "root", "component_id")
+    return sketch.select("doc_id", "n_shingles", *own, "h1", "h2").join(named, ["h1", "h2"], "left")
+
+
+def _members(nodes: DataFrame, t: int) -> DataFrame:
+    """(key, part, node, lead) of the tables' buckets of several nodes; table ``part`` pairs half keys part div t and
+    t + part % t. Half keys that no other node has are struck out first, so that a node like no other costs 2 * t rows
+    and not t * t."""
+    half = nodes.select("node", F.posexplode("half_keys").alias("at", "half"))
+    twice = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    met = half.join(twice, "half").groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("met"))
+    some = nodes.select("node", "half_keys").join(met.where(f"met & {(1 << t) - 1} <> 0 and met >> {t} <> 0"), "node")
+    part = some.select("node", "half_keys", "met", F.explode(F.sequence(F.lit(0), F.lit(t * t - 1))).alias("part"))
+    part = part.where(f"getbit(met, int(part div {t})) = 1 and getbit(met, {t} + part % {t}) = 1")
+    keys = part.select(F.xxhash64("part", F.expr(f"half_keys[int(part div {t})]"), F.expr(f"half_keys[{t} + part % {t}]")).alias("key"), "part", "node")
+    shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
+    return keys.join(shared, "key")
 
 
 def _verify(scratch: C.Scratch, docs: DataFrame, nodes: DataFrame, members: DataFrame, p: MinHash) -> DataFrame:
     """Links (u, v) between nodes, enough that their components equal those of all links found in
     the tables."""
-    who = members.select("node").distinct().join(nodes.select("node", "h1", "h2", "any_doc"), "node")
+    who = members.select("node").distinct().join(nodes.select("node", "h1", "h2", "any_doc", "half_keys"), "node")
     texts = docs.join(who.select(F.col("any_doc").alias("k")).distinct(), F.expr(f"{_KEY} = k"), "left_semi")
     full = texts.mapInArrow(_sketch(p, True), f"{_BASE}, parity array<long>, shingles array<long>")
-    sets = who.select("node", "h1", "h2").join(full.select("h1", "h2", F.col("n_shingles").alias("size"), "parity", "shingles"), ["h1", "h2"]).dropDuplicates(["node"])
-    sets = scratch.save(sets.select("node", "size", "parity", "shingles"), "sets")
+    sets = who.select("node", "h1", "h2", "half_keys").join(full.select("h1", "h2", F.col("n_shingles").alias("size"), "parity", "shingles"), ["h1", "h2"]).dropDuplicates(["node"])
+    sets = scratch.save(sets.select("node", "size", "half_keys", "parity", "shingles"), "sets")
     # linked only if the symmetric difference is at most this share of the sizes' sum; its lower
     # bound by parities drops most pairs before their sets meet, and no linked one
     differ = " + ".join(f"bit_count(parity_u[{i}] ^ parity_v[{i}])" for i in range(PARITY_WORDS))
@@ -176,12 +191,27 @@ def _verify(scratch: C.Scratch, docs: DataFrame, nodes: DataFrame, members: Data
         joined = pairs.join(y, "v").join(x, "u").select("u", "v", F.size(F.array_intersect("xu", "xv")).alias("i"), (F.size("xu") + F.size("xv")).alias("s"))
         return joined.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * p.percent).select("u", "v")
 
-    return C.bucket_links(scratch, members, sets.select("node", "size", "parity"), close, confirmed)
+    t = p.tables
+    first = f"part = {t} * ({C.first_equal('half_keys', 0, t)}) + ({C.first_equal('half_keys', t, 2 * t)}) - {t}"
+    return C.bucket_links(scratch, members, sets.select("node", "size", "half_keys", "parity"), close, first, confirmed)
 
 
 def keep_one(docs: DataFrame, p: MinHash = MinHash(shingle=5, percent=80, tables=11)) -> DataFrame:
-    """``docs`` without near copies: one row of each group stays, that of the smallest doc_id; of
-    repeated rows with that doc_id one. A row without doc_id can't be named and stays."""
-    found = near_duplicates(docs, p).where("kept and doc_id is not null").select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.join(found, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """``docs`` without near copies: one row of each component stays, that of the smallest doc_id (null last), among
+    several texts of that doc_id the one of the smallest hash.
+
+    Rows of one doc_id (nulls alike) and one text (nulls alike) are one document and give one row, whatever their
+    other columns. Texts without words are near copies of nothing. Columns may have any names; an empty table
+    gives an empty result."""
+    a, b, keep_id, keep_a, keep_b = C.free_names(docs, "text_a", "text_b", "keep_id", "keep_a", "keep_b")
+    text = F.col("text").cast("string")
+    hashes = F.xxhash64(text.isNull(), text), F.xxhash64(text, F.lit(29))  # together the name of a text
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), hashes[0].alias("text_a"), hashes[1].alias("text_b"))
+    found = _named(rows, p, ("text_a", "text_b"))
+    which = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_a", "text_b")
+    kept = found.where("n_shingles > 0").groupBy("root").agg(F.min(which).alias("w")).select("w.doc_id", "w.text_a", "w.text_b")
+    kept = kept.unionByName(found.where("n_shingles = 0").select("doc_id", "text_a", "text_b")).distinct()
+    kept = kept.select(F.col("doc_id").alias(keep_id), F.col("text_a").alias(keep_a), F.col("text_b").alias(keep_b))
+    named = docs.withColumns({a: hashes[0], b: hashes[1]})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)) & (F.col(a) == F.col(keep_a)) & (F.col(b) == F.col(keep_b))
+    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", a, b]).drop(a, b)

@@ -71,10 +71,48 @@ def test_odd(odd, none):
     assert by[1] == {(1, True)} and by[2] == {(1, False)} and by[8] == {(7, False)} and by[9] == {(9, True)} and by[None] == {(None, True)}
     assert M.near_duplicates(none).collect() == []
     kept = M.keep_one(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 5, 6, 7, 9, 10] and kept.where("doc_id is null").count() == 2
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 5, 6, 7, 9, 9, 10] and kept.where("doc_id is null").count() == 2
+    assert all(r[c] == "x" for r in kept.collect() for c in odd.columns[5:])
     assert M.keep_one(none).collect() == []
 
 
+def test_keep_one_on_ties(spark):
+    """Of a component one row stays, also where its rows have no doc_id or share one; names clash with inner ones."""
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, words, 1), (None, words + " more", 2), (5, "other text of five words here", 3), (5, "Other text of five words here", 4), (5, "something else", 5), (5, "something else", 5), (None, None, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep_id int").selectExpr("*", "'x' as text_a", "'y' as Keep_B", "'z' as root")
+    kept = M.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.keep_id) for r in kept.collect()), key=str)
+    assert len(got) == 4 and (5, 5) in got and (None, 6) in got and len({(5, 3), (5, 4)} & set(got)) == 1 and len({(None, 1), (None, 2)} & set(got)) == 1
+
+
+def test_pairs_of_a_large_group_are_made_once(spark, monkeypatch):
+    """A thousand unequal near copies of one text: the pairs that are confirmed are distinct and few."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, rows = [word() for _ in range(120)], []
+    for n in range(1000):
+        w = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(120)] = word()
+        rows.append((n, " ".join(w)))
+    made, old = [], common.bucket_links
+
+    def spy(scratch, members, facts, close, first, confirm):
+        def counted(pairs):
+            kept = scratch.save(pairs, "pairs")
+            made.append((kept.count(), kept.distinct().count()))
+            return confirm(kept)
+
+        return old(scratch, members, facts, close, first, counted)
+
+    monkeypatch.setattr(common, "bucket_links", spy)
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == slow(rows, 3, 85)
+    assert all(n == d for n, d in made) and sum(n for n, _ in made) < 20 * len(rows)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (2000, 3000), (3000, 2000)]
