@@ -1,5 +1,6 @@
 """Behaviours that the shipped outputs don't exercise, on small made-up structures."""
 
+from collections import Counter
 import json
 import math
 import os
@@ -111,6 +112,10 @@ def test_chemistry():
     assert m["GLU", "OE1"] == "COO" and ("GLU", "CB") not in m and m["GLY", "HA2"] == "backbone" and ("PRO", "H") not in m and m["HEM", "NA"] == "heme_por" and m["HEM", "FE"] == "heme_fe"
     b = chemistry.bonds()
     assert ("GLY", "N", "CA") in b and len({r for r, *_ in b}) >= 30 and len(b) == len(set(b))
+    count = Counter(r for r, *_ in b)
+    assert {r: count[r] for r in ("HEM", "HEA", "HM1", "HM2", "SRM")} == {"HEM": 78, "HEA": 82, "HM1": 84, "HM2": 82, "SRM": 70}
+    assert {r: count[r] for r in ("GLY", "ASP", "HIS", "ARG", "TRP", "PRO", "SF4", "OEX", "ICS", "HCA", "SO3", "CU1")} == {"GLY": 8, "ASP": 12, "HIS": 15, "ARG": 15, "TRP": 18, "PRO": 12, "SF4": 12, "OEX": 15, "ICS": 33, "HCA": 11, "SO3": 3, "CU1": 1}
+    assert m["ANY", "O"] == m["ANY", "N"] == "backbone" and m["ANY", "OXT"] == "c_terminus"
 
 
 OEX = {"CA1": (0, 0, 0), "MN1": (1, 2, 0), "MN2": (3, 0, 1), "MN3": (0, 1, 4), "MN4": (2, 2, 2)}
