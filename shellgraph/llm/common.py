@@ -7,6 +7,7 @@ folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,6 +69,12 @@ class Scratch:
         for t in tables:
             delete(self.spark, t._scratch_path)
 
+    def free_shuffles(self) -> None:
+        """Let Spark free the shuffle files of plans that are done with: it does so once their objects are collected,
+        for which an idle driver sees no reason by itself."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
@@ -232,7 +239,7 @@ def bucket_links(scratch: Scratch, members: DataFrame, facts: DataFrame, close:
         work, rows = sums.agg(F.sum("pairs"), F.sum("n")).first()
         if not rows:
             return links
-        last = work <= 4 * rows or work > before / 2
+        last = work <= 64 * rows or work > before / 2
         before, turn = work, turn + 1
         rich = state.join(facts, "node").withColumnRenamed("root", "__root")
         left = rich.select("key", F.col("node").alias("u"), F.col("__root").alias("root_u"), *[F.col(c).alias(f"{c}_u") for c in names])
@@ -247,6 +254,7 @@ def bucket_links(scratch: Scratch, members: DataFrame, facts: DataFrame, close:
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         more = scratch.save(links.unionByName(confirm(pairs)), "links")
         scratch.drop(state, sums, links)
+        scratch.free_shuffles()
         links = more
         if last:
             return links
