@@ -9,6 +9,7 @@ import argparse
 import glob
 import os
 import sys
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
@@ -72,7 +73,15 @@ def run_network(spark: SparkSession, a: argparse.Namespace) -> None:
         raise SystemExit("--cofactor is needed")
     n = network.coordination_network(atoms.persist(), s)
     reports.save_csv(n.edges, f"{a.outdir}/links")
-    reports.save_csv(network.residue_report(n).select(F.col("category").alias("Residue Category"), F.col("resname").alias("Residue Name"), F.col("resnum").alias("Residue Number"), F.col("chain").alias("Chain"), F.col("moiety").alias("Chemical Moiety"), F.col("interactors").alias("Interactors"), "structure_id"), f"{a.outdir}/residues")
+    by_residue = ["order", "chain", "resnum", "resname"]
+    report = network.residue_report(n).persist()
+    own = network.residue_atoms(n).persist()
+    stem = f"{a.outdir}/{os.path.basename(path)}_Coord_Breakdown"
+    # one template, so one structure
+    reports.save_breakdown(spark, f"{stem}.csv", report.orderBy(*by_residue).select("category", "resname", "resnum", "chain", "moiety", "interactors"), own.orderBy("ordinal").select("category", "resname", "resnum", "chain", "atom_name", "x", "y", "z"))
+    atoms_csv = network.atom_report(n).orderBy("ordinal").select("category", "atom_name", "resname", "resnum", "chain", "moiety", "interactor", "x", "y", "z").toDF(*reports.ATOM_COLUMNS)
+    reports.write_text(spark, files.atoms_path(f"{stem}.csv"), reports.csv_text(atoms_csv))
+    reports.save_csv(report.select(F.col("category").alias("Residue Category"), F.col("resname").alias("Residue Name"), F.col("resnum").alias("Residue Number"), F.col("chain").alias("Chain"), F.col("moiety").alias("Chemical Moiety"), F.col("interactors").alias("Interactors"), "structure_id"), f"{a.outdir}/residues")
     reports.save_csv(network.atom_report(n).orderBy("structure_id", "ordinal").select(F.col("category").alias("Category"), F.col("atom_name").alias("Atom"), F.col("resname").alias("Residue"), F.col("resnum").alias("Residue Number"), F.col("chain").alias("Chain"), F.col("moiety").alias("Moiety"), F.col("interactor").alias("InteractorFlag"), "x", "y", "z", "structure_id"), f"{a.outdir}/atoms")
 
 
@@ -92,35 +101,36 @@ def run_compare(spark: SparkSession, a: argparse.Namespace) -> None:
     reports.save_csv(matches.orderBy("job_name", "ordinal").drop("ordinal"), f"{out}/network_match")
     flat = lambda d: d.withColumns({k: F.concat_ws(":", f"{k}.residue", F.col(f"{k}.resnum").cast("string"), f"{k}.chain") for k in ("template_centre", "query_centre")})
     reports.save_csv(flat(c.matrix).orderBy("structure_id", "atom"), f"{out}/alignment_matrix")
-    reports.save_csv(flat(c.fits), f"{out}/alignment_report")
+    reports.save_csv(compare.fit_report(c), f"{out}/alignment_report", mode="append")
     jobs = [r[0] for r in matches.select("job_name").distinct().sort("job_name").collect()]  # a page for each query file
     for job in jobs:
         text = reports.match_summary(job, c.rates.where(F.col("job_name") == job), matches.where((F.col("job_name") == job) & (F.col("matched_within_cutoff") == "N")).orderBy("ordinal"))
-        with open(f"{out}/{job}_results.md", "w", encoding="utf-8") as f:
-            f.write(text)
+        reports.write_text(spark, f"{out}/{job.strip('/').replace('/', '_')}_results.md", text)
 
 
 def run_batch(spark: SparkSession, a: argparse.Namespace) -> None:
     listed, net = _template(spark, a)
     manifest, summary = batch.run_batch(spark, a.root, listed, net, a.job_prefix, a.match_cutoff)
-    reports.save_csv(manifest.orderBy("run_dir"), f"{a.outdir}/manifest")
+    manifest = manifest.persist()
+    reports.save_csv(manifest.orderBy("run_dir"), f"{a.outdir}/manifest", mode="append")
     reports.save_csv(summary.orderBy("run_dir"), f"{a.outdir}/summary")
 
 
 def run_dedup(spark: SparkSession, a: argparse.Namespace) -> None:
-    paths = [a.path] if os.path.isfile(a.path) else sorted(p for s in (*structures.PDB_SUFFIXES, *structures.CIF_SUFFIXES) for p in glob.glob(f"{a.path}/**/*.{s}", recursive=True))
+    paths = [os.path.abspath(a.path)] if os.path.isfile(a.path) else sorted(p for s in (*structures.PDB_SUFFIXES, *structures.CIF_SUFFIXES) for p in glob.glob(f"{os.path.abspath(a.path)}/**/*.{s}", recursive=True))
     atoms = structures.read_structures(spark, paths, strict=True).persist()
     options = {"by": a.by, "mask": [m.upper() for m in a.mask_res], "mode": a.mask_mode, "collapse": not a.yes}
     if a.dry_run:
         dedup.keep_chains(atoms, **options).orderBy("structure_id", "chain").show(1000, False)
         return
-    lines = reports.pdb_lines(dedup.deduplicate(atoms, **options)).persist()
+    name = structures.naming(paths)
+    ids = {p: r[0] for p, r in zip(paths, spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string").sort("i").select(name(F.col("p"))).collect(), strict=True)}
+    targets, taken = {}, set()
     for path in paths:
-        stem = os.path.basename(path).rsplit(".", 1)[0]
-        own = lines.where(F.col("structure_id") == spark.createDataFrame([(path,)], "p string").select(structures.structure_id(F.col("p"))).first()[0])
-        with open(reports.free_path(a.outdir or os.path.dirname(path), stem, ".pdb"), "w", encoding="utf-8") as f:
-            f.writelines(r.value + "\n" for r in own.orderBy("ordinal").toLocalIterator())
-            f.write("END\n")
+        folder, stem = a.outdir or os.path.dirname(path), os.path.basename(path).rsplit(".", 1)[0]
+        targets[ids[path]] = reports.free_path(folder, stem, ".pdb", taken)
+        taken.add(targets[ids[path]])
+    reports.save_pdb(dedup.deduplicate(atoms, **options), targets, f"{a.outdir or os.path.dirname(paths[0])}/.dedup-{uuid.uuid4().hex}")
 
 
 def main(argv: Sequence[str] | None = None) -> None:

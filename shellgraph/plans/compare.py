@@ -85,6 +85,15 @@ def compare(template: DataFrame, network: DataFrame, query: DataFrame, cutoff: f
     return Comparison(matches, matrix, fits, rates)
 
 
+def fit_report(c: Comparison) -> DataFrame:
+    """A row for each fitted structure, with the headings of the report file: the two residues, how many atoms were
+    fitted and which, and their RMSD."""
+    used = c.matrix.groupBy("structure_id").agg(F.count("*").alias("n_atoms"), F.concat_ws(" ", F.array_sort(F.collect_list("atom"))).alias("atoms_used"))
+    centre = lambda n: [F.col(f"{n}_centre.{k}").alias(f"{n}_{v}") for k, v in (("residue", "residue"), ("resnum", "resnum"), ("chain", "chain"))]
+    rows = c.fits.join(used, "structure_id").orderBy("structure_id")
+    return rows.select(F.col("structure_id").alias("job_name"), *centre("template"), *centre("query"), "n_atoms", "atoms_used", "rmsd")
+
+
 def match_residues(template: DataFrame, query: DataFrame, cutoff: float, key: Sequence[str] = ("resnum",)) -> DataFrame:
     """Template residue centroids with the nearest query centroid within the cutoff, by structure. ``key`` names a
     residue: the number alone merges chains, (chain, resname, resnum) doesn't. Unmatched: null columns."""

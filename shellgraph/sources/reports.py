@@ -5,14 +5,17 @@ from __future__ import annotations
 import csv
 import io
 import os
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+# The headings of the report files.
 RESIDUE_COLUMNS = ["Residue Category", "Residue Name", "Residue Number", "Chain", "Chemical Moiety", "Interactors"]
 RESIDUE_ATOM_COLUMNS = ["Residue Category", "Residue Name", "Residue Number", "Chain", "Atom", "x", "y", "z"]
 ATOM_COLUMNS = ["Category", "Atom", "Residue", "Residue Number", "Chain", "Moiety", "InteractorFlag", "x", "y", "z"]
+FIT_COLUMNS = ["job_name", "template_residue", "template_resnum", "template_chain", "query_residue", "query_resnum", "query_chain", "n_atoms", "atoms_used", "rmsd"]
 
 
 def read_breakdown(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -65,6 +68,61 @@ def csv_text(*sections: DataFrame) -> str:
     return out.getvalue()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, in whatever store the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
+def save_breakdown(spark: SparkSession, path: str, residues: DataFrame, atoms: DataFrame) -> None:
+    """The two-section table of one structure's network, as ``read_breakdown`` reads it. Its atoms are those of a few
+    residues around a cofactor."""
+    write_text(spark, path, csv_text(residues.toDF(*RESIDUE_COLUMNS), atoms.toDF(*RESIDUE_ATOM_COLUMNS)))
+
+
+def save_evaluation(results: DataFrame, path: str) -> None:
+    """The table of an evaluation by query structure, sorted by name."""
+    save_csv(results.withColumnRenamed("structure_id", "Query_File").orderBy("Query_File"), path)
+
+
+def read_job_metrics(spark: SparkSession, outdir: str) -> DataFrame:
+    """(job_name, rmsd, matched, total, percent) of all comparisons below ``outdir``, from their alignment reports and
+    match tables. The first report of a job counts, as reports are appended to; what is missing is null."""
+    read = lambda name: spark.read.option("header", "true").option("recursiveFileLookup", "true").csv(f"{outdir}/*/{name}")
+    have = lambda name: bool(_glob(spark, f"{outdir}/*/{name}"))
+    fits = spark.createDataFrame([], "job_name string, rmsd double")
+    if have("alignment_report"):
+        rows = read("alignment_report").select("job_name", F.expr("try_cast(rmsd as double)").alias("rmsd"), F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("at"))
+        fits = rows.groupBy("job_name").agg(F.min_by("rmsd", "at").alias("rmsd"))
+    hits = spark.createDataFrame([], "job_name string, total long, matched long")
+    if have("network_match"):
+        hits = read("network_match").groupBy("job_name").agg(F.count("*").alias("total"), F.count_if(F.upper("matched_within_cutoff") == "Y").alias("matched"))
+    return fits.join(hits, "job_name", "full").select("job_name", "rmsd", "matched", "total", F.expr("try_divide(matched * 100.0D, cast(total as double))").alias("percent"))
+
+
+def _glob(spark: SparkSession, pattern: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return sorted(f.getPath().toString() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or [])
+
+
+def save_pdb(atoms: DataFrame, targets: dict[str, str], work: str) -> None:
+    """The atoms of each structure as a PDB file at its path in ``targets``, one task's work each; a structure without
+    atoms becomes an empty model. All are written in one job below the folder ``work``, then renamed."""
+    spark = atoms.sparkSession
+    numbers = spark.createDataFrame([(name, i) for i, name in enumerate(targets)], "structure_id string, n int")
+    ends = numbers.select("n", F.lit((1 << 63) - 1).alias("ordinal"), F.lit("END").alias("value"))
+    lines = pdb_lines(atoms).join(F.broadcast(numbers), "structure_id").select("n", "ordinal", "value").unionByName(ends)  # a row for each input file
+    lines.repartition("n").sortWithinPartitions("n", "ordinal").select("n", "value").write.mode("overwrite").partitionBy("n").text(work)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(work).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i, path in enumerate(targets.values()):
+        (part,) = _glob(spark, f"{work}/n={i}/part-*")
+        fs.rename(fs_path(part), fs_path(path))
+    fs.delete(fs_path(work), True)
+
+
 def pdb_lines(atoms: DataFrame) -> DataFrame:
     """(structure_id, ordinal, value): atoms as 80-column PDB lines."""
     name = F.when(F.length("atom_name") < 4, F.concat(F.lit(" "), F.rpad("atom_name", 3, " "))).otherwise(F.substring("atom_name", 1, 4))
@@ -74,10 +132,10 @@ def pdb_lines(atoms: DataFrame) -> DataFrame:
     return atoms.select("structure_id", "ordinal", line.alias("value"))
 
 
-def free_path(folder: str, stem: str, suffix: str) -> str:
-    """``<stem>_dedup<suffix>`` in ``folder``, numbered if it exists already."""
+def free_path(folder: str, stem: str, suffix: str, taken: Collection[str] = ()) -> str:
+    """``<stem>_dedup<suffix>`` in ``folder``, numbered if it exists already or is ``taken``."""
     n, path = 0, os.path.join(folder, f"{stem}_dedup{suffix}")
-    while os.path.exists(path):
+    while os.path.exists(path) or path in taken:
         n += 1
         path = os.path.join(folder, f"{stem}_dedup({n}){suffix}")
     return path

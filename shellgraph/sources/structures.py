@@ -1,11 +1,13 @@
 """Structure files as atom rows: fixed-width PDB through Spark's text reader, mmCIF through a tokenizer.
 
-Many files are read in one job; ``structure_id`` is the file's name without folders and suffixes.
+Many files are read in one job; ``structure_id`` is the file's name without folders and suffixes, or what another
+``name`` makes of its path, such as ``whole_path`` where files of several folders are called alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +25,16 @@ def structure_id(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), rf"(?i){_SUFFIX}", "")
 
 
+def whole_path(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def naming(paths: Sequence[str]) -> Callable[[Column], Column]:
+    """``structure_id`` where it tells all ``paths`` apart, else ``whole_path``."""
+    stems = [re.sub(_SUFFIX, "", p.rpartition("/")[2], flags=re.IGNORECASE) for p in set(paths)]
+    return structure_id if len(set(stems)) == len(stems) else whole_path
+
+
 def _float(name: str) -> Column:
     """Coordinates are single precision in the data model: text to float, then to double."""
     return F.expr(f"cast(try_cast({name} AS float) AS double)")
@@ -44,10 +56,10 @@ def best_altloc(atoms: DataFrame) -> DataFrame:
     return atoms.where("altloc = ''").unionByName(several.where("__n = 1").drop("__n"))
 
 
-def read_pdb(spark: SparkSession, paths: str | Sequence[str], altloc: bool = True) -> DataFrame:
+def read_pdb(spark: SparkSession, paths: str | Sequence[str], altloc: bool = True, name: Callable[[Column], Column] = structure_id) -> DataFrame:
     """Atoms of PDB files (also gzipped), in the schema of ``schema.ATOM``; ``ordinal`` is the order in the
     file. Lines whose coordinates don't parse are left out. ``altloc``: resolve alternative locations."""
-    text = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select(structure_id(F.col("_metadata.file_path")).alias("structure_id"), F.split("value", r"(?m)^(?=MODEL )").alias("parts"))
+    text = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select(name(F.col("_metadata.file_path")).alias("structure_id"), F.split("value", r"(?m)^(?=MODEL )").alias("parts"))
     # a part for each model, so that its number needs no look at other rows
     lines = text.select("structure_id", F.posexplode("parts").alias("m", "part"))
     model = F.when(F.col("part").startswith("MODEL "), F.expr("try_cast(trim(substr(part, 7, 8)) as int)"))
@@ -136,10 +148,10 @@ def _cif(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), *cols, pa.array(range(a, a + len(part)), pa.int64())], names=["structure_id", *fields, "ordinal"])
 
 
-def read_mmcif(spark: SparkSession, paths: str | Sequence[str], altloc: bool = True) -> DataFrame:
+def read_mmcif(spark: SparkSession, paths: str | Sequence[str], altloc: bool = True, name: Callable[[Column], Column] = structure_id) -> DataFrame:
     """Atoms of mmCIF files, named by the authors' identifiers. A file is one task's work: the format can't
     be split, since quoted blocks run over lines."""
-    text = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select(structure_id(F.col("_metadata.file_path")).alias("structure_id"), "value")
+    text = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select(name(F.col("_metadata.file_path")).alias("structure_id"), "value")
     return parse_mmcif(text, altloc)
 
 
@@ -158,14 +170,16 @@ def parse_mmcif(text: DataFrame, altloc: bool = True) -> DataFrame:
     return best_altloc(rows) if altloc else rows
 
 
-def read_structures(spark: SparkSession, paths: Sequence[str], strict: bool = False) -> DataFrame:
-    """Atoms of files by suffix: PDB, else mmCIF. ``strict``: other suffixes are errors."""
+def read_structures(spark: SparkSession, paths: Sequence[str], strict: bool = False, name: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Atoms of files by suffix: PDB, else mmCIF. ``strict``: other suffixes are errors. Files are named by
+    ``naming`` unless ``name`` is given."""
+    name = name or naming(paths)
     suffix = lambda p: p.lower().removesuffix(".gz").rpartition(".")[2]
     if strict and (bad := [p for p in paths if suffix(p) not in PDB_SUFFIXES + CIF_SUFFIXES]):
         raise ValueError(f"unknown structure format: {bad[0]}")
     pdb = [p for p in paths if suffix(p) in PDB_SUFFIXES]
     cif = [p for p in paths if suffix(p) not in PDB_SUFFIXES]
-    parts = ([read_pdb(spark, pdb)] if pdb else []) + ([read_mmcif(spark, cif)] if cif else [])
+    parts = ([read_pdb(spark, pdb, name=name)] if pdb else []) + ([read_mmcif(spark, cif, name=name)] if cif else [])
     if not parts:
         return spark.createDataFrame([], schema.ATOM)
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
