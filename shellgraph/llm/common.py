@@ -246,11 +246,11 @@ def bucket_links(scratch: Scratch, members: DataFrame, facts: DataFrame, close:
         right = rich.select("key", "part", F.col("node").alias("v"), F.col("__root").alias("root_v"), *[F.col(c).alias(f"{c}_v") for c in names])
         if last:
             left = left.join(sums.select("key", "top"), "key").where("root_u <> top")
-            once = f"(root_v = top or u < v) and ({first})"
+            once = f"(root_v = top or u < v) and {close} and {first}"
         else:  # another lead for each bucket: a pseudo-random member
             pick = state.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node", F.lit(turn))).alias("u"))
-            left, once = pick.join(left, ["key", "u"]), "true"
-        pairs = left.join(right, "key").where(f"root_u <> root_v and {once} and {close}")
+            left, once = pick.join(left, ["key", "u"]), close
+        pairs = left.join(right, "key").where(f"root_u <> root_v and {once}")
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         more = scratch.save(links.unionByName(confirm(pairs)), "links")
         scratch.drop(state, sums, links)
