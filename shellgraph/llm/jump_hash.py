@@ -8,24 +8,36 @@ Built-in expressions only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
+STEPS = 24
 
 
 def jump_shard(key: Column, shards: int, seed: int = 17) -> Column:
-    """The shard of ``key`` among ``shards``, an int. Equal keys share a shard; null is a key of
-    its own. A jump always moves on, so ``shards`` steps suffice for certain."""
+    """The shard of ``key`` among ``shards``, an int. Equal keys share a shard; null is a key of its own.
+
+    A key jumps about ln(shards) times; ln(shards) + STEPS steps are made for all, and the rest that could be needed
+    only for the few keys that aren't there by then (a jump always moves on)."""
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    start = F.struct(F.lit(0).cast("double").alias("b"), F.lit(0).cast("double").alias("j"))
+    steps = min(shards, int(math.log(shards)) + 1 + STEPS)
 
     def step(s: Column, i: Column) -> Column:
         u = (F.shiftrightunsigned(F.xxhash64(key, i, F.lit(seed)), 11).cast("double") + 1.0) * (2.0**-53)
         return F.when(s["j"] >= shards, s).otherwise(F.struct(s["j"].alias("b"), F.floor((s["j"] + 1.0) / u).cast("double").alias("j")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: s["b"].cast("int"))
+    def run(start: Column, low: int, high: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(low), F.lit(high)), start, step)
+
+    state = run(F.struct(F.lit(0).cast("double").alias("b"), F.lit(0).cast("double").alias("j")), 1, steps)
+    if steps < shards:  # the rare rest
+        rest = F.aggregate(F.array(state), F.struct(F.lit(0).cast("double").alias("b"), F.lit(0).cast("double").alias("j")), lambda _, s: F.when(s["j"] >= shards, s).otherwise(run(s, steps + 1, shards)))
+        return rest["b"].cast("int")
+    return state["b"].cast("int")
 
 
 def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:

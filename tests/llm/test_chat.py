@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +27,34 @@ def test_paths_of_a_tree(spark):
     assert {t for t, _ in got} == {1, 2}  # nothing on or below a cycle
 
 
+def test_random_trees(spark):
+    """Ranks, scores and paths of trees of up to 40 nodes against walking each leaf up to its root; in some trees nodes
+    hang on a cycle, and names clash with inner columns."""
+    rng, rows = random.Random(12), []
+    for tree in range(30):
+        n = rng.randrange(1, 41)
+        for i in range(n):
+            rows.append((tree, i, rng.randrange(i) if i and rng.random() < 0.95 else None, rng.choice([None, -1.0, 0.5, 2.0])))
+        if tree % 5 == 0:
+            rows += [(tree, 100, 101, 1.0), (tree, 101, 100, 1.0), (tree, 102, 101, 9.0)]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, score double").selectExpr("*", "1 as length", "2 as above", "3 as back")
+    up = {(t, i): p for t, i, p, _ in rows}
+    value = {(t, i): s or 0.0 for t, i, _, s in rows}
+    want = set()
+    for tree in range(30):
+        inner, found = {p for (t, _), p in up.items() if t == tree}, []
+        for t, leaf in up:
+            if t == tree and leaf not in inner and leaf < 100:
+                path = [leaf]
+                while up[tree, path[-1]] is not None:
+                    path.append(up[tree, path[-1]])
+                found.append((-sum(value[tree, x] for x in path), leaf, path[::-1]))
+        for rank, (_, leaf, path) in enumerate(sorted(found)[:3], 1):
+            want |= {(tree, leaf, rank, node, place) for place, node in enumerate(path)}
+    got = {(r.tree, r.leaf, r["rank"], r.node, r.place) for r in chat.best_paths(df, per_tree=3).collect()}
+    assert got == want
+
+
 def test_deep_chain(spark):
     nodes = spark.range(1, 301).selectExpr("1L as tree", "id as node", "if(id > 1, id - 1, null) as parent", "if(id % 2 = 1, 'user', 'assistant') as role", "cast(id as string) as text", "1D as score")
     turns, loss = back(chat.format_paths(nodes))[1, 1]

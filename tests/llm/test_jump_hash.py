@@ -35,3 +35,11 @@ def test_odd(odd, none):
     assert M.assign(none, 16).collect() == []
     with pytest.raises(ValueError):
         M.jump_shard(F.lit(1), 0)
+
+
+def test_many_shards(spark):
+    """With thousands of shards nearly all get keys, and one shard more takes keys only into itself."""
+    n = 3000
+    both = spark.range(20_000).select(M.jump_shard(F.col("id"), n).alias("a"), M.jump_shard(F.col("id"), n + 1).alias("b")).collect()
+    assert all(r.b in (r.a, n) for r in both) and 0 <= min(r.a for r in both) and max(r.a for r in both) < n
+    assert len({r.a for r in both}) > 0.99 * n
