@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import chemistry
 from .operators import distance, lookup, matching, residues, topk
+from .plans import batch, compare, network
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,55 +89,88 @@ def residue_anti_join(spark, d):
     return _t(spark, d, "customer").join(big, "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
 
 
-_GROUP = ["label", "resnum", "slot"]
+_RESIDUES = ("OEX", "ASP", "GLU", "HIS", "SER", "TYR", "LYS", "ASN", "ARG", "HOH")  # by label
+_NAMES = (("CA1", "MN1", "O5"), ("OD1", "OD2", "CB"), ("OE1", "OE2", "CG"), ("ND1", "NE2", "CB"), ("OG", "OG", "O"), ("OH", "CZ", "N"), ("NZ", "CE", "O"), ("OD1", "ND2", "CB"), ("NH1", "NH2", "NE"), ("O", "H1", "H2"))  # by label and slot
 
 
-def _sphere(p: DataFrame, around: DataFrame, cutoff: float) -> DataFrame:
-    """The first atoms of each group by distance from ``around``: two for labels 1 and 2, else one."""
-    policy = p.sparkSession.createDataFrame([("1", "any", 2), ("2", "any", 2)], "resname string, moiety string, k int")
-    near = distance.within(p, around.select("x", "y", "z"), [], cutoff)
-    near = near.withColumns({"__l": F.col("label").cast("string"), "__m": F.lit("any")})
-    return topk.policy_topk(near, policy, _GROUP, ["__l", "__m"], ["min_distance", "vec_id"], most=2).drop("rank", "__l", "__m")
+def atoms(spark: SparkSession, d: str) -> DataFrame:
+    """``points`` as atoms of one structure: the label gives the residue's name and chain, label and slot the atom's name."""
+    one = lambda names, i: F.element_at(F.array(*[F.lit(n) for n in names]), (i + 1).cast("int"))
+    name = one([n for three in _NAMES for n in three], F.col("label") * 3 + F.col("slot"))
+    return points(spark, d).select(
+        F.lit("e").alias("structure_id"), F.lit(0).alias("model"), F.col("label").cast("string").alias("chain"), F.lit(" ").alias("hetflag"), one(_RESIDUES, F.col("label")).alias("resname"),
+        F.col("resnum").cast("int").alias("resnum"), F.lit("").alias("icode"), name.alias("atom_name"), F.lit("").alias("altloc"), F.substring(name, 1, 1).alias("element"),
+        "x", "y", "z", F.lit(1.0).alias("occupancy"), F.col("vec_id").alias("ordinal"),
+    )
 
 
-def _two_hops(spark, d, cutoff):
-    p = points(spark, d)
-    core, able = p.where("label = 0"), p.where("label not in (0, 9)")
-    first = _sphere(able, core, cutoff).persist()  # read by the second hop and both kinds of edges
-    rest = able.join(first.select("label", "resnum").distinct(), ["label", "resnum"], "left_anti")
-    return core, first, _sphere(rest, first, cutoff).persist()
+def _atom_values() -> str:
+    """SQL: (label, slot, resname, atom_name, moiety, k) of every kind of atom."""
+    policy = {(r, m): k for r, m, k in chemistry.POLICY}
+    rows = []
+    for label, (r, names) in enumerate(zip(_RESIDUES, _NAMES, strict=True)):
+        for slot, n in enumerate(names):
+            m = chemistry.moieties().get((r, n), chemistry.UNKNOWN)
+            rows.append(f"({label}, {slot}, '{r}', '{n}', '{m}', {policy.get((r, m), policy.get(('ANY', m), 1))})")
+    return "v(label, slot, resname, atom_name, moiety, k) AS (VALUES " + ", ".join(rows) + ")"
 
 
-def _edges(sources, targets, kind):
-    near = distance.nearest(targets.select("vec_id", "x", "y", "z"), sources.select("vec_id", "x", "y", "z"), [], ["vec_id"]).where("r is not null")
-    return near.select(F.lit(kind).alias("link_type"), F.col("r.vec_id").alias("src"), F.col("l.vec_id").alias("dst"), F.round("d", 6).alias("distance"))
+_A = f"{_P}, {_atom_values()}, a AS (SELECT p.*, v.resname, v.atom_name, v.moiety, v.k FROM p JOIN v USING (label, slot))"
 
 
-def two_hop_network(spark, d):
-    core, first, second = _two_hops(spark, d, 0.3)
-    return _edges(core, first, "cofactor->pcs").unionByName(_edges(first, second, "pcs->scs"))
+def _network_edges(spark, d, cutoff):
+    n = network.coordination_network(atoms(spark, d), network.Settings(("OEX",), cutoff=cutoff))
+    return n.edges.select("link_type", *[f"{s}_{c}" for s in ("src", "dst") for c in ("resname", "resnum", "chain", "atom")], F.round("distance_A", 6).alias("distance"))
 
 
-def edge_list(spark, d):
-    core, first, second = _two_hops(spark, d, 0.5)
-    return _edges(core, first, "cofactor->pcs").unionByName(_edges(first, second, "pcs->scs"))
+def two_hop_network(spark, d):
+    return _network_edges(spark, d, 0.3)
 
 
-_SPHERE_SQL = """
-    {out}_n AS (SELECT a.*, min({dist}) AS d FROM {rows} a JOIN {around} b ON {dist} <= {cutoff} GROUP BY ALL),
-    {out} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, resnum, slot ORDER BY d, vec_id) AS rk FROM {out}_n)
-        WHERE rk <= CASE WHEN label IN (1, 2) THEN 2 ELSE 1 END)"""
+def edge_list(spark, d):
+    return _network_edges(spark, d, 0.5)
 
 
 def _network_sql(cutoff: float) -> str:
     dist = _D.format("a", "b")
-    hop = lambda rows, around, out: _SPHERE_SQL.format(rows=rows, around=around, out=out, dist=dist, cutoff=cutoff)
-    edge = lambda src, dst, kind: f"SELECT '{kind}' AS link_type, src, dst, round(d, 6) AS distance FROM (SELECT b.vec_id AS src, a.vec_id AS dst, {dist} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {dist}, b.vec_id) AS rn FROM {dst} a CROSS JOIN {src} b) WHERE rn = 1"
-    return f"""WITH {_P}, c AS (SELECT * FROM p WHERE label = 0), able AS (SELECT * FROM p WHERE label NOT IN (0, 9)), {hop('able', 'c', 'f')},
+    hop = lambda rows, around, out: f"""
+        {out}_n AS (SELECT a.*, min({dist}) AS d FROM {rows} a JOIN {around} b ON {dist} <= {cutoff} GROUP BY ALL),
+        {out} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, resnum, moiety ORDER BY d, vec_id) AS rk FROM {out}_n) WHERE rk <= k)"""
+    edge = lambda src, dst, kind: f"""SELECT '{kind}' AS link_type, src_resname, src_resnum, src_chain, src_atom, dst_resname, dst_resnum, dst_chain, dst_atom, round(d, 6) AS distance FROM
+        (SELECT b.resname AS src_resname, b.resnum AS src_resnum, CAST(b.label AS VARCHAR) AS src_chain, b.atom_name AS src_atom, a.resname AS dst_resname, a.resnum AS dst_resnum, CAST(a.label AS VARCHAR) AS dst_chain, a.atom_name AS dst_atom,
+            {dist} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {dist}, b.vec_id) AS rn FROM {dst} a CROSS JOIN {src} b) WHERE rn = 1"""
+    return f"""WITH {_A}, c AS (SELECT * FROM a WHERE label = 0), able AS (SELECT * FROM a WHERE label <> 0 AND atom_name NOT LIKE 'C%'), {hop('able', 'c', 'f')},
         rest AS (SELECT * FROM able r WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.label = r.label AND f.resnum = r.resnum)), {hop('rest', 'f', 's')}
         {edge('c', 'f', 'cofactor->pcs')} UNION ALL {edge('f', 's', 'pcs->scs')}"""
 
 
+def moiety_lookup(spark, d):
+    return lookup.label_moieties(atoms(spark, d)).select("ordinal", "resname", "atom_name", "moiety")
+
+
+def moiety_wildcards(spark, d):
+    """Each atom's moiety by the wildcard rules, and the names of its residue's atoms of that label."""
+    found = lookup.co_moiety(atoms(spark, d), ["resnum", "chain", "resname"])
+    return found.groupBy("resnum", "chain", "atom_name").agg(F.min("moiety").alias("moiety"), F.min(F.array_join("together", " ")).alias("together"), F.count("*").alias("n"))
+
+
+def centroid_match(spark, d):
+    """Residues of label 0 against those of the labels 1 to 3, each a structure of its own."""
+    p = points(spark, d).select(F.col("label").cast("string").alias("structure_id"), F.col("resnum").cast("int").alias("resnum"), F.lit("R").alias("resname"), F.col("vec_id").alias("ordinal"), "x", "y", "z")
+    near = compare.match_residues(p.where("structure_id = '0'").drop("structure_id"), p.where("structure_id in ('1', '2', '3')"), 0.6)
+    return near.select("structure_id", "template_resnum", "query_resnum", F.round("distance", 6).alias("distance"))
+
+
+def ca_evaluation(spark, d):
+    p = points(spark, d).select(F.col("label").cast("string").alias("structure_id"), F.when(F.col("slot") < 2, "CA").otherwise("CB").alias("atom_name"), F.col("vec_id").alias("ordinal"), "x", "y", "z")
+    out = compare.evaluate_ca(p.where("structure_id = '0'"), p.where("structure_id in ('1', '2', '3')"), 0.6)
+    return out.select("structure_id", "total", "matches", "misses", F.round("mean_distance", 6).alias("mean_distance"))
+
+
+def residues_of_interest(spark, d):
+    return network.residues_of_interest(atoms(spark, d), [3, 7, 20], ["OEX "]).select("ordinal", "resname", "resnum", "group")
+
+
 def lookup_with_wildcard_default(spark, d):
     policy = spark.createDataFrame([("Brand#1", "PROMO", 5), ("Brand#2", "LARGE", 4), ("ANY", "PROMO", 3), ("ANY", "SMALL", 2)], "resname string, moiety string, k int")
     return topk.policy_k(_t(spark, d, "part"), policy, ["p_brand", "p_type"]).select("p_partkey", "p_brand", "p_type", "k")
@@ -210,10 +245,8 @@ def cutoff_sweep(spark, d):
 
 
 def cube_filter(spark, d):
-    from .plans import network
-
     p = points(spark, d).withColumn("atom_name", F.when(F.col("vec_id") % 2 == 0, "CA").otherwise("N"))
-    return network.cube(p.where("label > 2"), p.where("label = 0 and vec_id < 200"), -0.5).select("vec_id", "label")
+    return network.cube(p.where("label > 2"), p.where("label = 0"), -0.5).select("vec_id", "label")
 
 
 _RULES = [("A", "1", "2"), ("A", "2", "3"), ("N", "1", "3"), ("R", "4", "5")]
@@ -260,6 +293,21 @@ def kabsch_alignment(spark, d):
     return f.select("label", "n", *[F.round(c, 6).alias(c) for c in f.columns[2:]])
 
 
+def kabsch_relations(spark, d):
+    """What makes a fit the best rotation: R R' = 1, det R = 1, R H symmetric; and means map onto means. 0 and 1 but for rounding."""
+    pairs = _fit_pairs(spark, d)
+    f = matching.fit(pairs, ["label"]).join(matching.moments(pairs, ["label"]).drop("n"), "label")
+    r = [[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)]
+    dot = lambda xs: sum(xs, F.lit(0.0))
+    bent = [F.abs(dot(r[i][k] * r[j][k] for k in range(3)) - float(i == j)) for i in range(3) for j in range(3)]
+    rh = [[dot(r[i][k] * F.col(f"h{k}{j}") for k in range(3)) for j in range(3)] for i in range(3)]
+    skew = [F.abs(rh[i][j] - rh[j][i]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    det = dot(r[0][i] * (r[1][(i + 1) % 3] * r[2][(i + 2) % 3] - r[1][(i + 2) % 3] * r[2][(i + 1) % 3]) for i in range(3))
+    off = [F.abs(dot(r[i][j] * F.col(f"m_p{c}") for j, c in enumerate("xyz")) + F.col(f"t{i}") - F.col(f"m_q{q}")) for i, q in enumerate("xyz")]
+    clean = lambda c: F.abs(F.round(c, 6))
+    return f.select("label", "n", clean(F.greatest(*bent)).alias("bent"), clean(det).alias("det"), clean(F.greatest(*skew)).alias("skew"), clean(F.greatest(*off)).alias("off"))
+
+
 def set_ops(spark, d):
     o = _t(spark, d, "orders")
     urgent = o.where("o_orderpriority = '1-URGENT'").select("o_custkey")
@@ -270,19 +318,15 @@ def set_ops(spark, d):
     for k, df in parts.items():
         part = df.agg(F.lit(k).alias("op"), F.count("*").alias("n"), F.sum("o_custkey").alias("total")).select("op", "n", "total")
         out = part if out is None else out.unionByName(part)
-    whole = urgent.agg(F.collect_set("o_custkey").alias("a")).crossJoin(every.agg(F.collect_set("o_custkey").alias("b")))  # one row each
-    subset = whole.select(F.lit("subset").alias("op"), F.when(F.size(F.array_except("a", "b")) == 0, 1).otherwise(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total"))
+    subset = urgent.join(every, "o_custkey", "left_anti").agg(F.lit("subset").alias("op"), F.when(F.count("*") == 0, 1).otherwise(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total"))
     return out.unionByName(subset)
 
 
 def expansion_union(spark, d):
-    """Seeds (near the centre), with what shares their residue and slot (the slot 2 is excluded), and slot 0."""
-    p = points(spark, d)
-    chosen = distance.within(p.where("label <> 0"), p.where("label = 0").select("x", "y", "z"), [], 0.3).drop("min_distance")
-    own = chosen.where("slot <> 2").groupBy("resnum").agg(F.collect_set("slot").alias("slots"))
-    rows = p.join(chosen.select("resnum").distinct(), "resnum", "left_semi").join(own, "resnum", "left")
-    more = rows.where("slot = 0 or coalesce(array_contains(slots, slot), false)").select(*p.columns)
-    return topk.first_by(chosen.select(*p.columns).unionByName(more), ["vec_id"], ["vec_id"]).select("vec_id", "label", "resnum", "slot")
+    """Seeds near the cofactor with the backbone of their residues and what shares a moiety with a seed, hydroxyls excluded."""
+    rows = lookup.label_moieties(atoms(spark, d))
+    chosen = distance.within(rows.where("chain <> '0'"), rows.where("chain = '0'").select("structure_id", "x", "y", "z"), ["structure_id"], 0.3).drop("min_distance")
+    return network.expand(rows, chosen, ["Hydroxyl"]).select("ordinal", "resname", "resnum", "atom_name", "moiety")
 
 
 def json_priority_coalesce(spark, d):
@@ -315,11 +359,10 @@ def preference_tiebreak(spark, d):
 
 
 def run_status_counts(spark, d):
-    """Orders as runs: first rows per customer, and how many ended in which state."""
+    """Orders as runs, the first of each customer: how many are done, were skipped, or failed."""
     first = topk.first_by(_t(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
-    seg = _t(spark, d, "customer").join(first, F.col("c_custkey") == F.col("o_custkey"), "left")
-    ok, skipped = F.col("o_orderstatus") == "F", F.col("o_orderstatus").isNull()
-    return seg.groupBy("c_mktsegment").agg(F.count_if(ok).alias("ok"), F.count_if(skipped).alias("skipped"), F.count_if(~F.coalesce(ok, F.lit(False)) & ~skipped).alias("failed"))
+    runs = _t(spark, d, "customer").join(first, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return batch.status_counts(runs.select(F.when(F.col("o_orderstatus").isNull(), "skipped").when(F.col("o_orderstatus") == "F", "ok").otherwise("failed").alias("status")))
 
 
 _NEAREST = f"""SELECT a.vec_id, a.label, b.vec_id AS nearest, {_D.format('a', 'b')} AS d,
@@ -356,7 +399,7 @@ ORACLE = {
     "cutoff_sweep": f"""WITH {_P}, n AS ({_NEAREST} WHERE a.label <> 0 AND b.label = 0), c AS (SELECT i * CAST(0.2 AS DOUBLE) AS cutoff FROM range(21) t(i)),
         k AS (SELECT label, cutoff, sum(CASE WHEN d <= cutoff THEN 1 ELSE 0 END) AS m FROM n CROSS JOIN c WHERE rn = 1 GROUP BY label, cutoff)
         SELECT round(cutoff, 1) AS cutoff, round(avg(m), 6) AS mean_matches, round(stddev_pop(m), 6) AS std_matches FROM k GROUP BY cutoff""",
-    "cube_filter": f"WITH {_P}, w AS (SELECT max(greatest(abs(x), abs(y), abs(z))) AS w FROM p WHERE label = 0 AND vec_id < 200 AND vec_id % 2 = 0) SELECT vec_id, label FROM p, w WHERE label > 2 AND vec_id % 2 = 0 AND greatest(abs(x), abs(y), abs(z)) <= w - 0.5",
+    "cube_filter": f"WITH {_P}, w AS (SELECT max(greatest(abs(x), abs(y), abs(z))) AS w FROM p WHERE label = 0 AND vec_id % 2 = 0) SELECT vec_id, label FROM p, w WHERE label > 2 AND vec_id % 2 = 0 AND greatest(abs(x), abs(y), abs(z)) <= w - 0.5",
     "bond_rule_join": """WITH o AS (SELECT l_orderkey, l_returnflag, l_linenumber, arg_max(l_extendedprice, row(l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount)) AS x FROM lineitem GROUP BY ALL),
         r(f, a1, a2) AS (VALUES ('A', 1, 2), ('A', 2, 3), ('N', 1, 3), ('R', 4, 5))
         SELECT a.l_orderkey, a.l_returnflag, CAST(a1 AS VARCHAR) AS a1, CAST(a2 AS VARCHAR) AS a2, a.x AS x1, b.x AS x2 FROM r JOIN o a ON a.l_returnflag = f AND a.l_linenumber = a1 JOIN o b ON b.l_orderkey = a.l_orderkey AND b.l_returnflag = f AND b.l_linenumber = a2""",
@@ -368,13 +411,30 @@ ORACLE = {
         a AS (SELECT 'union' AS op, k FROM (SELECT k FROM u UNION SELECT k FROM o) UNION ALL SELECT 'union_all', k FROM (SELECT k FROM u UNION ALL SELECT k FROM o) UNION ALL SELECT 'intersect', k FROM (SELECT k FROM u INTERSECT SELECT k FROM o)
             UNION ALL SELECT 'except', k FROM (SELECT k FROM c EXCEPT SELECT k FROM u) UNION ALL SELECT 'except_distinct', k FROM (SELECT k FROM o EXCEPT SELECT k FROM u))
         SELECT op, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM a GROUP BY op UNION ALL SELECT 'subset', CAST(count(*) = 0 AS BIGINT), 0 FROM (SELECT k FROM u EXCEPT SELECT k FROM c)""",
-    "expansion_union": f"""WITH {_P}, s AS (SELECT a.* FROM p a WHERE a.label <> 0 AND EXISTS (SELECT 1 FROM p b WHERE b.label = 0 AND {_D.format('a', 'b')} <= 0.3))
-        SELECT vec_id, label, resnum, slot FROM s UNION SELECT p.vec_id, p.label, p.resnum, p.slot FROM p WHERE EXISTS (SELECT 1 FROM s WHERE s.resnum = p.resnum) AND (p.slot = 0 OR EXISTS (SELECT 1 FROM s WHERE s.resnum = p.resnum AND s.slot = p.slot AND s.slot <> 2))""",
+    "expansion_union": f"""WITH {_A}, s AS (SELECT a.* FROM a WHERE a.label <> 0 AND EXISTS (SELECT 1 FROM a b WHERE b.label = 0 AND {_D.format('a', 'b')} <= 0.3)),
+        m AS (SELECT a.* FROM a WHERE EXISTS (SELECT 1 FROM s WHERE s.label = a.label AND s.resnum = a.resnum AND (a.atom_name IN {chemistry.BACKBONE} OR (s.moiety = a.moiety AND s.moiety <> 'hydroxyl')))),
+        u AS (SELECT * FROM s UNION SELECT * FROM m)
+        SELECT vec_id AS ordinal, resname, resnum, atom_name, moiety FROM (SELECT *, row_number() OVER (PARTITION BY label, resnum, atom_name ORDER BY vec_id) AS n FROM u) WHERE n = 1""",
+    "moiety_lookup": f"WITH {_A} SELECT vec_id AS ordinal, resname, atom_name, moiety FROM a",
+    "moiety_wildcards": f"""WITH {_A}, x AS (SELECT *, moiety <> '{chemistry.UNKNOWN}' AS known FROM a),
+        w AS (SELECT *, CASE WHEN atom_name = 'O' THEN CASE WHEN resname = 'HOH' THEN 'water' ELSE 'backbone' END WHEN known THEN moiety WHEN atom_name = 'N' THEN 'backbone' END AS m FROM x),
+        t AS (SELECT label, resnum, moiety, string_agg(DISTINCT atom_name, ' ' ORDER BY atom_name) AS together FROM x WHERE known GROUP BY ALL)
+        SELECT w.resnum, CAST(w.label AS VARCHAR) AS chain, atom_name, min(m) AS moiety, min(together) AS together, count(*) AS n
+        FROM w LEFT JOIN t ON t.label = w.label AND t.resnum = w.resnum AND t.moiety = m GROUP BY ALL""",
+    "centroid_match": f"""WITH {_P}, c AS (SELECT label, resnum, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY ALL),
+        n AS (SELECT b.label, a.resnum AS template_resnum, b.resnum AS query_resnum, {_D.format('a', 'b')} AS d FROM c a JOIN c b ON a.label = 0 AND b.label IN (1, 2, 3) AND {_D.format('a', 'b')} <= 0.6),
+        r AS (SELECT *, row_number() OVER (PARTITION BY label, template_resnum ORDER BY d, query_resnum) AS rn FROM n)
+        SELECT CAST(j.label AS VARCHAR) AS structure_id, c.resnum AS template_resnum, r.query_resnum, round(r.d, 6) AS distance
+        FROM c CROSS JOIN (SELECT DISTINCT label FROM p WHERE label IN (1, 2, 3)) j LEFT JOIN r ON r.label = j.label AND r.template_resnum = c.resnum AND rn = 1 WHERE c.label = 0""",
+    "ca_evaluation": f"""WITH {_P}, n AS (SELECT b.label, a.vec_id, min({_D.format('a', 'b')}) AS d FROM p a JOIN p b ON a.label = 0 AND b.label IN (1, 2, 3) AND a.slot < 2 AND b.slot < 2 GROUP BY ALL)
+        SELECT CAST(label AS VARCHAR) AS structure_id, count(*) AS total, count(*) FILTER (d <= 0.6) AS matches, count(*) FILTER (d > 0.6) AS misses, round(avg(d) FILTER (d <= 0.6), 6) AS mean_distance FROM n GROUP BY label""",
+    "residues_of_interest": f"""WITH {_A} SELECT vec_id AS ordinal, resname, resnum, CASE WHEN resname = 'OEX' THEN 'cofactor' ELSE 'residue' END AS "group" FROM a WHERE resname = 'OEX' OR resnum IN (4, 8, 21)""",
+    "kabsch_relations": "SELECT label, count(*) AS n, CAST(0 AS DOUBLE) AS bent, CAST(1 AS DOUBLE) AS det, CAST(0 AS DOUBLE) AS skew, CAST(0 AS DOUBLE) AS off FROM embeddings GROUP BY label",
     "json_priority_coalesce": "SELECT user_id, sum(coalesce(CAST(json_extract_string(props, '$.missing') AS DOUBLE), CAST(json_extract_string(props, '$.k') AS DOUBLE), 0)) AS total, count(json_extract_string(props, '$.k')) AS present FROM events GROUP BY user_id",
     "combinatorial_pairs": f"WITH {_P} SELECT a.vec_id, a.label, round(min({_D.format('a', 'b')}), 6) AS min_distance FROM p a JOIN p b ON (a.label, b.label) IN ((3, 4), (4, 3)) AND {_D.format('a', 'b')} <= 0.4 GROUP BY a.vec_id, a.label",
     "interactor_self_join": f"WITH {_P}, q AS (SELECT * FROM p WHERE label < 6), h AS (SELECT a.vec_id, string_agg(DISTINCT CAST(b.label AS VARCHAR), ', ' ORDER BY CAST(b.label AS VARCHAR)) AS names FROM q a JOIN q b ON a.slot = b.slot AND a.vec_id <> b.vec_id AND {_D.format('a', 'b')} <= 0.35 GROUP BY a.vec_id) SELECT q.vec_id, coalesce(names, '') AS names, names IS NOT NULL AS interacts FROM q LEFT JOIN h ON q.vec_id = h.vec_id",
     "preference_tiebreak": f"WITH {_P}, n AS ({_NEAREST} WHERE a.label <> 0 AND b.label = 0) SELECT vec_id // 5 AS resnum, vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY round(d, 6), CASE label WHEN 5 THEN 0 WHEN 3 THEN 1 ELSE 9 END, vec_id) AS r FROM n WHERE rn = 1 AND d <= 2.0) WHERE r = 1",
-    "run_status_counts": "WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1) SELECT c_mktsegment, count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus IS NULL) AS skipped, count(*) FILTER (o_orderstatus <> 'F') AS failed FROM customer LEFT JOIN f ON c_custkey = o_custkey GROUP BY c_mktsegment",
+    "run_status_counts": "WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1) SELECT count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus IS NULL) AS skipped, count(*) FILTER (o_orderstatus <> 'F') AS failed FROM customer LEFT JOIN f ON c_custkey = o_custkey",
 }
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
@@ -382,5 +442,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     residue_anti_join, two_hop_network, edge_list, lookup_with_wildcard_default, synonym_canonicalise, argmax_group_pick, match_rate_rollup, residue_centroid,
     residue_breakdown, category_precedence, first_by_key_dedup, duplicate_signature_groups, mask_preferred_canonical, cutoff_sweep, cube_filter, bond_rule_join,
     pivot_matrix, frequency_breakdown, rmsd_by_group, covariance_3x3, kabsch_alignment, set_ops, expansion_union, json_priority_coalesce, combinatorial_pairs,
-    interactor_self_join, preference_tiebreak, run_status_counts,
+    interactor_self_join, preference_tiebreak, run_status_counts, moiety_lookup, moiety_wildcards, centroid_match, ca_evaluation, residues_of_interest,
+    kabsch_relations,
 )}

@@ -88,13 +88,16 @@ def locate_models(spark: SparkSession, root: str, samples: DataFrame) -> DataFra
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
     have = list_files(spark, root, "*.cif").select(plain(F.col("path")).alias("path"))
     listed = spark.read.schema("sample_dir string, model_relpath string").option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "scores.csv").option("enforceSchema", "false").csv(root)
-    listed = listed.select(_folder(plain(F.col("_metadata.file_path"))).alias("run_dir"), "sample_dir", "model_relpath").dropDuplicates(["run_dir", "sample_dir"])
+    listed = listed.select(_folder(plain(F.col("_metadata.file_path"))).alias("run_dir"), "sample_dir", "model_relpath", F.monotonically_increasing_id().alias("line"))
     name = F.concat(F.lit("seed-"), F.col("seed"), F.lit("_sample-"), F.col("sample"))
+    first = F.struct(~F.coalesce("h2", F.lit(False)), "line")  # of several rows the first whose file is there
+    listed = listed.withColumn("p2", F.concat_ws("/", "run_dir", F.col("model_relpath"))).where("model_relpath is not null")
+    listed = listed.join(have.select(F.col("path").alias("p2"), F.lit(True).alias("h2")), "p2", "left")
+    listed = listed.groupBy("run_dir", "sample_dir").agg(F.min_by(F.when(F.col("h2"), F.col("p2")), first).alias("other"))
     rows = samples.withColumn("sample_dir", name).join(listed, ["run_dir", "sample_dir"], "left")
-    direct, other = F.concat_ws("/", "run_dir", "sample_dir", F.lit("model.cif")), F.concat_ws("/", "run_dir", "model_relpath")
-    rows = rows.withColumn("p1", direct).withColumn("p2", F.when(F.col("model_relpath").isNotNull(), other))
-    rows = rows.join(have.select(F.col("path").alias("p1"), F.lit(True).alias("h1")), "p1", "left").join(have.select(F.col("path").alias("p2"), F.lit(True).alias("h2")), "p2", "left")
-    return rows.withColumn("model_path", F.when(F.col("h1"), F.col("p1")).when(F.col("h2"), F.col("p2"))).drop("p1", "p2", "h1", "h2", "sample_dir", "model_relpath")
+    rows = rows.withColumn("p1", F.concat_ws("/", "run_dir", "sample_dir", F.lit("model.cif")))
+    rows = rows.join(have.select(F.col("path").alias("p1"), F.lit(True).alias("h1")), "p1", "left")
+    return rows.withColumn("model_path", F.when(F.col("h1"), F.col("p1")).otherwise(F.col("other"))).drop("p1", "h1", "other", "sample_dir")
 
 
 def confidences(spark: SparkSession, root: str, samples: DataFrame) -> DataFrame:
