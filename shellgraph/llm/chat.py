@@ -8,6 +8,8 @@ text can hold a marker or another control string; reading back reverses this exa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -47,41 +49,44 @@ def best_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
 
     ``nodes(tree, node, parent, score)``: a node without parent, or whose parent isn't in the tree,
     is a root; a leaf is nobody's parent. Self-joins double the distance covered in each round, so a
-    path of n turns takes about log2(n) of them, on ids alone. A path's score is the sum of its
+    path of n turns takes about log2(n) of them, on ids alone; a round takes only nodes that have something above them
+    still, and looks it up in trees large enough to hold it. A path's score is the sum of its
     nodes' scores, null counting 0, and doubles along with the distance; the best ``per_tree`` leaves of a tree are
     chosen, ties to the smaller leaf, before any path is enumerated. (tree, node) identifies a node. Nodes on or below a cycle have no root above them and,
     like empty tables, give no path.
     """
     scratch = C.Scratch(nodes.sparkSession)
     own = scratch.save(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
-    largest = own.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    up = own.join(own.select("tree", F.col("node").alias("parent")), ["tree", "parent"]).select("tree", "node", F.col("parent").alias("above"))
-    ups = [scratch.save(up, "up")]  # ups[k]: from each node to the one 2**k above it
-    # of the path from a node upwards, as far as it is known: its length, the sum of its scores, what is above it
-    sums = own.join(ups[0], ["tree", "node"], "left").select("tree", "node", F.lit(1).cast("long").alias("length"), "score", "above")
-    sums = scratch.save(sums, "sums")
-    while 1 << len(ups) - 1 < largest and not ups[-1].isEmpty():
-        up = ups[-1]
-        twice = up.select("tree", F.col("node").alias("low"), F.col("above").alias("node")).join(up, ["tree", "node"])
-        ups.append(scratch.save(twice.select("tree", F.col("low").alias("node"), "above"), "up"))
-        more = sums.select("tree", F.col("node").alias("above"), F.col("length").alias("l"), F.col("score").alias("s"), F.col("above").alias("further"))
-        far = sums.join(more, ["tree", "above"], "left").select("tree", "node", (F.col("length") + F.coalesce("l", F.lit(0))).alias("length"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"), F.col("further").alias("above"))
-        far = scratch.save(far, "sums")
-        scratch.drop(sums)
-        sums = far
-    # who still has something above after as many steps as its tree has nodes is on or below a cycle
-    endless = ups[-1].select("tree", "node")
+    sizes = scratch.save(own.groupBy("tree").agg(F.count("*").alias("size")), "sizes")
+    largest = sizes.agg(F.max("size")).first()[0] or 0
+    found = own.select("tree", F.col("node").alias("parent"), F.col("node").alias("above"))
+    start = own.join(sizes, "tree").join(found, ["tree", "parent"], "left")
+    # levels[k]: of nodes with something 2**k - 1 above them, what is known of the path from there upwards: its length, the
+    # sum of its scores, what is above it
+    levels = [scratch.save(start.select("tree", "node", "size", F.lit(1).cast("long").alias("length"), "score", "above"), "level")]
+    while 1 << len(levels) - 1 < largest:
+        active = levels[-1].where("above is not null")
+        if active.isEmpty():
+            break
+        state = reduce(DataFrame.unionByName, [x.where("above is null") for x in levels[:-1]], levels[-1])
+        state = state.where(F.col("size") > 1 << len(levels) - 1)
+        more = state.select("tree", F.col("node").alias("above"), F.col("length").alias("l"), F.col("score").alias("s"), F.col("above").alias("further"))
+        far = active.join(more, ["tree", "above"]).select("tree", "node", "size", (F.col("length") + F.col("l")).alias("length"), (F.col("score") + F.col("s")).alias("score"), F.col("further").alias("above"))
+        levels.append(scratch.save(far, "level"))
+    # what still has something above it after as many steps as its tree has nodes is on or below a cycle
+    rooted = reduce(DataFrame.unionByName, [x.where("above is null") for x in levels])
     parents = own.select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
-    leaves = sums.select("tree", "node", "length", "score").join(parents, ["tree", "node"], "left_anti").join(endless, ["tree", "node"], "left_anti")
+    leaves = rooted.select("tree", "node", "length", "score").join(parents, ["tree", "node"], "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "node"))
     chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= per_tree).select("tree", F.col("node").alias("leaf"), "rank", "length", "node")
-    paths = scratch.save(chosen.withColumn("back", F.lit(0).cast("long")), "paths")  # only the chosen are enumerated
-    for k, up in enumerate(ups):
-        further = paths.join(up, ["tree", "node"]).select("tree", "leaf", "rank", "length", F.col("above").alias("node"), (F.col("back") + (1 << k)).alias("back"))
-        longer = scratch.save(paths.unionByName(further), "paths")
-        scratch.drop(paths, up) if k < len(ups) - 1 else scratch.drop(paths)
-        paths = longer
-    return paths.select("tree", "leaf", "rank", "node", (F.col("length") - 1 - F.col("back")).alias("place"))
+    paths = [scratch.save(chosen.withColumn("back", F.lit(0).cast("long")), "paths")]  # only the chosen are enumerated
+    for k, level in enumerate(levels):
+        up = level.where("above is not null").select("tree", "node", "above")
+        low = reduce(DataFrame.unionByName, paths).where(F.col("back") + (1 << k) < F.col("length"))
+        further = low.join(up, ["tree", "node"]).select("tree", "leaf", "rank", "length", F.col("above").alias("node"), (F.col("back") + (1 << k)).alias("back"))
+        paths.append(scratch.save(further, "paths"))
+    scratch.drop(own, sizes, *levels)
+    return reduce(DataFrame.unionByName, paths).select("tree", "leaf", "rank", "node", (F.col("length") - 1 - F.col("back")).alias("place"))
 
 
 def format_paths(nodes: DataFrame, per_tree: int = 1, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
