@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import chat, decontam, edit_embedding, jump_hash, langid, link_graph, minhash, mixing, pii, warc
+from . import chat, decontam, edit_embedding, jump_hash, langid, line_dedup, link_graph, minhash, mixing, pii, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,6 +99,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.MinHash(shingle=3, percent=85))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ten documents or more, dropped from all documents."""
+    out = line_dedup.drop_common(_table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.Lines(min_docs=10, min_chars=1))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_edit_embedding": op1_edit_embedding,
@@ -111,6 +117,7 @@ def queries() -> dict[str, Query]:
         "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
         "op9_language_id": op9_language_id,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op11_line_dedup": op11_line_dedup,
     }
 
 
@@ -145,4 +152,12 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
             SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
             FROM s JOIN m ON s.doc_id = m.d""",
+        "op11_line_dedup": """
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+            x AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+            k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
+            f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+            m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f ON k.key = f.key)
+            SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r, doc_id""",
     }
