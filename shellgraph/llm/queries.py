@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import chat, decontam, edit_embedding, jump_hash, langid, line_dedup, link_graph, merkle, minhash, mixing, pii, warc
+from . import chat, decontam, edit_embedding, jump_hash, langid, line_dedup, link_graph, merkle, minhash, mixing, pii, token_align, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +105,11 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of both vocabularies, grouped and linked."""
+    return token_align.align(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf and proof; those whose id's checksum 5 divides are folded from a tampered text."""
     changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -124,6 +129,7 @@ def queries() -> dict[str, Query]:
         "op9_language_id": op9_language_id,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
         "op11_line_dedup": op11_line_dedup,
+        "op12_token_alignment": op12_token_alignment,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
