@@ -4,7 +4,7 @@ Both tokenizers are cut before a space that a visible character follows, whateve
 space. So a text is a row of words, each with its leading space, and its alignment is that of its words, one after
 the other. Texts are written as codes of words in chunks of bounded size, each with its own list of words; what the lists have
 in common is tokenised and aligned once, by relational steps: tokens exploded with their places, windowed sums of lengths as
-ends, an equi-join on word and end as cuts, running counts of cuts as group ids, and a join by group for the links.
+ends, an equi-join on word and end as cuts, running counts of cuts as group ids, whose ranges of both sides are linked.
 Chunks and the facts of their words then meet again, and documents are summed up there.
 """
 
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,10 @@ from . import common as C
 FOLDER = "/opt/tokenizers"
 SPACE = "▁"
 WORDS = re.compile(r"(?<=[^ ])(?= \S)")
+#: Texts in which not every space begins a word: one is first or last, or white space follows it (fixed values: all code
+#: points that either tokenizer or Python takes for it).
+UNEVEN = r"^ | $| [\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+MANY = 1_000_000  # counts of pairs that may be broadcast, counted
 
 
 @dataclass(frozen=True)
@@ -58,6 +63,8 @@ class Tokenizers:
         self.a_bytes = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(SPACE, " ").encode()
         self.b_bytes = [piece(i) for i in range(self.b.vocab_size())]
+        self.a_lens = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)], np.int32)
+        self.b_lens = np.array([len(x) for x in self.b_bytes], np.int32)
 
     def splits(self) -> bool:
         """Whether no token of B runs over a boundary between a character and a space, and A splits words as usual."""
@@ -65,63 +72,87 @@ class Tokenizers:
         return pre.get("type") == "ByteLevel" and pre.get("use_regex", False) and not any(re.search(rf"[^{SPACE}]{SPACE}", self.b.id_to_piece(i)) for i in range(len(self.b_bytes)))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int], bool]]:
-        """For each text, which begins with a space: ids and byte lengths of A and B, and whether both give its bytes."""
-        a = self.a.encode_batch(texts, add_special_tokens=False)
-        b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        """For each text, without the space before it: ids and byte lengths of A and B, and whether both give its bytes and
+        the space's."""
+        a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        b = self.b.encode(texts, num_threads=1)
         for t, x, y in zip(texts, a, b, strict=True):
             p, q = [self.a_bytes[i] for i in x.ids], [self.b_bytes[i] for i in y]
-            raw = t.encode()
+            raw = b" " + t.encode()
             yield x.ids, [len(k) for k in p], y, [len(k) for k in q], b"".join(p) == raw and b"".join(q) == raw
 
-
-def _text(raw: bytes | None) -> str | None:
-    try:
-        return raw.decode() if raw else None
-    except UnicodeDecodeError:
-        return None
+    def encode_row(self, words: list[str]) -> list[pa.ListArray] | None:
+        """Ids and lengths of both sides of many words as lists, encoded as one text and cut at the words' ends; None
+        if they don't come out whole."""
+        text = " ".join(words)
+        raw = (" " + text).encode()
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        out = []
+        for ids, table, lens in ((self.a.encode(" " + text, add_special_tokens=False).ids, self.a_bytes, self.a_lens), (self.b.encode(text), self.b_bytes, self.b_lens)):
+            if b"".join([table[i] for i in ids]) != raw:
+                return None
+            flat = np.array(ids, np.int32)
+            at = np.cumsum(lens[flat])
+            cut = np.searchsorted(at, ends)
+            if (at[cut] != ends).any():
+                return None
+            off = pa.array(np.concatenate([[0], cut + 1]).astype(np.int32))
+            out += [pa.ListArray.from_arrays(off, pa.array(flat)), pa.ListArray.from_arrays(off, pa.array(lens[flat]))]
+        return out
+
+
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """The words of each text, without the space before each; none of a null or empty text."""
+    uneven = pc.fill_null(pc.match_substring_regex(texts, UNEVEN), False).to_numpy(zero_copy_only=False)
+    parts = pc.split_pattern(texts, " ")
+    odd = [[w[1:] for w in WORDS.split(" " + t)] for t in texts.filter(pa.array(uneven)).to_pylist()]
+    at = np.arange(len(texts))
+    at[uneven] = len(texts) + 1 + np.arange(len(odd))
+    at[pc.fill_null(pc.equal(pc.binary_length(texts), 0), True).to_numpy(zero_copy_only=False)] = len(texts)
+    return pa.concat_arrays([parts, pa.array([[], *odd], parts.type)]).take(pa.array(at))
 
 
 def code_chunks(docs: DataFrame, scratch: C.Scratch, p: Pair, split: bool) -> tuple[DataFrame, DataFrame]:
-    """(chunk, doc_id, codes) of every row and (chunk, code, word): codes are the words of a text in order. A text that is
-    null, empty or not valid UTF-8 has none."""
+    """(chunk, doc_id, codes) of every row and (chunk, code, word): codes are the words of a text in order, each without the
+    space before it. A text that is null, empty or not valid UTF-8 has none."""
     C.small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.is_valid_utf8(text), text).alias("text"))
     names = ["kind", "chunk", "doc_id", "codes", "code", "word"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.string()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, n = TaskContext.get().partitionId() << 32, 0
-        known: dict[str, int] = {}
-        ids: list = []
-        codes: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            k, words = len(ids), list(known)
-            ends = np.cumsum([0, *map(len, codes)]).astype(np.int32)
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-            null = lambda t, m: pa.nulls(m, t)
-            yield pa.RecordBatch.from_arrays([pa.array(["doc"] * k), pa.array([base + n] * k, types[1]), pa.array(ids, types[2]), pa.ListArray.from_arrays(ends, flat), null(types[4], k), null(types[5], k)], names=names)
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                m = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(["word"] * m), pa.array([base + n] * m, types[1]), null(types[2], m), null(types[3], m), pa.array(range(i, i + m), types[4]), pa.array(part, types[5])], names=names)
+    def whole(texts: pa.Array) -> pa.ListArray:
+        some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+        ends = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))]).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, texts.filter(some))
+
+    def coded(chunk: int, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        lists = split_words(texts) if split else whole(texts)
+        flat = lists.flatten().dictionary_encode()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        k, words = len(ids), flat.dictionary.cast(pa.string())
+        null = lambda t, m: pa.nulls(m, t)
+        yield pa.RecordBatch.from_arrays([pa.array(["doc"] * k, types[0]), pa.array([chunk] * k, types[1]), ids, pa.ListArray.from_arrays(ends, flat.indices), null(types[4], k), null(types[5], k)], names=names)
+        for i in range(0, len(words), 50_000):
+            part = words[i : i + 50_000]
+            m = len(part)
+            yield pa.RecordBatch.from_arrays([pa.array(["word"] * m), pa.array([chunk] * m, types[1]), null(types[2], m), null(types[3], m), pa.array(range(i, i + m), types[4]), part], names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, n, size = TaskContext.get().partitionId() << 32, 0, 0
+        held: list[pa.RecordBatch] = []
+        column = lambda c, t: pa.concat_arrays([b.column(c).cast(t) for b in held])
         for batch in batches:
-            for i, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                text = _text(raw)
-                if size and size + len(raw or b"") > p.chunk_bytes:
-                    yield from flush()
-                    known, ids, codes, size, n = {}, [], [], 0, n + 1
-                words = [] if not text else WORDS.split(" " + text) if split else [" " + text]
-                ids.append(i)
-                codes.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
-                size += len(raw or b"")
-        if ids:
-            yield from flush()
+            if size and size + batch.nbytes > p.chunk_bytes:
+                yield from coded(base + n, column("doc_id", types[1]), column("text", pa.large_string()))
+                held, size, n = [], 0, n + 1
+            held.append(batch)
+            size += batch.nbytes
+        if size:
+            yield from coded(base + n, column("doc_id", types[1]), column("text", pa.large_string()))
 
     path = scratch.path("codes")
-    rows.mapInArrow(run, "kind string, chunk long, doc_id long, codes array<int>, code int, word string").write.partitionBy("kind").parquet(path)
+    rows.mapInArrow(run, "kind string, chunk long, doc_id long, codes array<int>, code int, word string").write.partitionBy("kind").option("compression", "zstd").parquet(path)
     back = lambda kind, *cols: docs.sparkSession.read.schema(f"{', '.join(cols)}, kind string").parquet(path).where(F.col("kind") == kind).drop("kind")
     return back("doc", "chunk long", "doc_id long", "codes array<int>"), back("word", "chunk long", "code int", "word string")
 
@@ -133,12 +164,24 @@ def tokenise(words: DataFrame, a: str, b: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tokenizers(*files.value)
-        ints = pa.list_(pa.int32())
+        ints, names = pa.list_(pa.int32()), ["word", "a", "a_len", "b", "b_len", "ok"]
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.column("word").slice(i, 2000)
+            # words that begin with a visible character and don't end with a space may stand in a row
+            word = batch.column("word")
+            plain = pc.invert(pc.match_substring_regex(word, r"^$|^[\x00-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{3000}]| $|" + SPACE))
+            alone = word.filter(pc.invert(plain))
+            word = word.filter(plain)
+            for i in range(0, len(word), 2000):
+                part = word.slice(i, 2000)
+                row = t.encode_row(part.to_pylist())
+                if row is None:
+                    alone = pa.concat_arrays([alone, part])
+                else:
+                    yield pa.RecordBatch.from_arrays([part, *row, pa.array(np.ones(len(part), bool))], names=names)
+            for i in range(0, len(alone), 2000):
+                part = alone.slice(i, 2000)
                 cols = list(zip(*t.encode(part.to_pylist()), strict=True))
-                yield pa.RecordBatch.from_arrays([part, *(pa.array(c, ints) for c in cols[:4]), pa.array(cols[4], pa.bool_())], names=["word", "a", "a_len", "b", "b_len", "ok"])
+                yield pa.RecordBatch.from_arrays([part, *(pa.array(c, ints) for c in cols[:4]), pa.array(cols[4], pa.bool_())], names=names)
 
     return words.mapInArrow(run, "word string, a array<int>, a_len array<int>, b array<int>, b_len array<int>, ok boolean")
 
@@ -156,22 +199,19 @@ def _joined_in_place(spark: SparkSession):
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """(id, a, b, gid): the groups of each row of ``tokens(id, a, a_len, b, b_len)`` whose two sides have equal bytes, with
-    the ids of both sides in order. A group ends where a token of A and one of B end. Rows lie by id throughout."""
+    """(id, gid, a_from, a_to, b_from, b_to): the groups of each row of ``tokens(id, a, a_len, b, b_len)`` whose two sides
+    have equal bytes, as ranges of places of both sides (from excluded). A group ends where a token of A and one of B end.
+    Rows lie by id throughout."""
     by = W.partitionBy("id")
 
     def ends(side: str) -> DataFrame:
-        one = tokens.select("id", F.col(f"{side}_len").alias("lens"), F.posexplode(side).alias("pos", "tok"))
-        return one.select("id", "pos", "tok", F.sum(F.col("lens")[F.col("pos")]).over(by.orderBy("pos")).alias("end"))
-
-    def grouped(own: DataFrame, other: DataFrame, side: str) -> DataFrame:
-        cut = own.join(other.select("id", "end", F.lit(1).alias("cut")).hint("merge"), ["id", "end"], "left")
-        gid = F.coalesce(F.sum("cut").over(by.orderBy("end").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        rows = cut.select("id", "end", "tok", gid.alias("gid"))
-        return rows.groupBy("id", "gid").agg(F.transform(F.array_sort(F.collect_list(F.struct("end", "tok"))), lambda s: s["tok"]).alias(side))
+        one = tokens.select("id", F.posexplode(f"{side}_len").alias("pos", "len"))
+        return one.select("id", (F.col("pos") + 1).alias(f"{side}_to"), F.sum("len").over(by.orderBy("pos")).alias("end"))
 
-    a, b = ends("a"), ends("b")
-    return grouped(a, b, "a").join(grouped(b, a, "b").hint("merge"), ["id", "gid"]).select("id", "a", "b", "gid")
+    cuts = ends("a").join(ends("b").hint("merge"), ["id", "end"])
+    along = by.orderBy("end")
+    before = lambda c: F.lag(c, 1, 0).over(along)
+    return cuts.select("id", F.row_number().over(along).alias("gid"), before("a_to").alias("a_from"), "a_to", before("b_to").alias("b_from"), "b_to")
 
 
 def pair_of(a, b):
@@ -180,14 +220,15 @@ def pair_of(a, b):
 
 
 def word_facts(tokens: DataFrame) -> DataFrame:
-    """(id, n_a, n_b, n_groups, groups, pairs) of each of ``tokens``: groups as text, pairs of every link, as often as they
-    occur."""
-    g = aligned(tokens)
-    ids = lambda c: F.array_join(c, ",")
-    links = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: pair_of(x, y))))
-    rows = g.select("id", F.struct("gid", F.concat(ids("a"), F.lit("|"), ids("b")).alias("s"), links.alias("links")).alias("g"), F.size("a").alias("a"), F.size("b").alias("b"))
-    out = rows.groupBy("id").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.count("*").alias("n_groups"), F.array_sort(F.collect_list("g")).alias("g"))
-    return out.select("id", "n_a", "n_b", "n_groups", F.array_join(F.transform("g", lambda s: s["s"]), ";").alias("groups"), F.flatten(F.transform("g", lambda s: s["links"])).alias("pairs"))
+    """(id, word, ok, n_a, n_b, n_groups, groups, pairs) of each of ``tokens``: groups as text, pairs of every link, as often
+    as they occur; without groups where not ok."""
+    ranges = aligned(tokens.where("ok")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("gid", "a_from", "a_to", "b_from", "b_to"))).alias("r"))
+    rows = tokens.join(ranges.hint("merge"), "id", "left")
+    part = lambda side: F.transform("r", lambda g: F.slice(side, g[f"{side}_from"] + 1, g[f"{side}_to"] - g[f"{side}_from"]))
+    rows = rows.select("id", "word", "ok", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("r").alias("n_groups"), F.arrays_zip(part("a").alias("a"), part("b").alias("b")).alias("g"))
+    text = F.array_join(F.transform("g", lambda g: F.concat(F.array_join(g["a"], ","), F.lit("|"), F.array_join(g["b"], ","))), ";")
+    links = F.flatten(F.transform("g", lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: pair_of(x, y))))))
+    return rows.select("id", "word", "ok", "n_a", "n_b", "n_groups", text.alias("groups"), links.alias("pairs"))
 
 
 def _by_code(entries: pa.Table) -> pa.Table:
@@ -260,8 +301,8 @@ def align(docs: DataFrame, p: Pair = Pair()) -> DataFrame:
     words = scratch.save(words, "words")
     scratch.free_shuffles()
     with _joined_in_place(spark):
-        facts = word_facts(words.where("ok").select("id", "a", "a_len", "b", "b_len").repartition("id"))
-        facts = scratch.save(words.select("id", "word", "ok").join(facts, "id", "left"), "facts")
+        facts = scratch.save(word_facts(words.repartition("id")), "facts")
+    scratch.drop(words)
     scratch.free_shuffles()
     listed = lists.join(facts.select("word", "id", "ok", "pairs"), "word")
     nothing = F.array().cast("array<bigint>")
@@ -271,9 +312,12 @@ def align(docs: DataFrame, p: Pair = Pair()) -> DataFrame:
     scratch.free_shuffles()
     top = F.max("n").over(W.partitionBy(F.shiftright("pair", 32)))
     ranked = counts.select("pair", "n", (F.col("n") == top).cast("long").alias("best"))
-    links = facts.where("ok").select("id", F.explode("pairs").alias("pair")).groupBy("id", "pair").agg(F.count("*").alias("m"))
-    sums = links.join(ranked, "pair").groupBy("id").agg(F.sum("m").alias("n_links"), F.sum(F.col("m") * F.col("best")).alias("n_best"), F.sum(F.col("m") * F.col("n")).alias("count_sum"))
+    if counts.count() <= MANY:
+        ranked = F.broadcast(ranked)
+    links = facts.where("ok").select("id", F.explode("pairs").alias("pair")).join(ranked, "pair")
+    sums = links.groupBy("id").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
     full = scratch.save(facts.drop("pairs").join(sums, "id", "left").fillna(0, ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]), "sums")
+    scratch.drop(facts)
     scratch.free_shuffles()
     met = lists.join(full, "word").select("chunk", "code", "ok", *SUMS, F.coalesce("groups", F.lit("")).alias("groups"))
     return coded.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_sum_up, "doc_id long, " + ", ".join(f"{c} long" for c in SUMS) + ", groups_sha256 string")
