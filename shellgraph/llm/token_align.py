@@ -43,7 +43,7 @@ class Pair:
 
     a: str = f"{FOLDER}/byte_bpe_50k.json"
     b: str = f"{FOLDER}/piece_bpe_32k.model"
-    chunk_bytes: int = 16 << 20
+    chunk_bytes: int = 32 << 20
 
 
 class Tokenizers:
@@ -214,20 +214,16 @@ def aligned(tokens: DataFrame) -> DataFrame:
     return cuts.select("id", F.row_number().over(along).alias("gid"), before("a_to").alias("a_from"), "a_to", before("b_to").alias("b_from"), "b_to")
 
 
-def pair_of(a, b):
-    """One number for a pair of ids."""
-    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
-
-
-def word_facts(tokens: DataFrame) -> DataFrame:
+def word_facts(tokens: DataFrame, size_a: int, size_b: int) -> DataFrame:
     """(id, word, ok, n_a, n_b, n_groups, groups, pairs) of each of ``tokens``: groups as text, pairs of every link, as often
-    as they occur; without groups where not ok."""
+    as they occur, as a * size_b + b; without groups where not ok."""
+    kind = "int" if size_a * size_b < 1 << 31 else "long"
     ranges = aligned(tokens.where("ok")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("gid", "a_from", "a_to", "b_from", "b_to"))).alias("r"))
     rows = tokens.join(ranges.hint("merge"), "id", "left")
     part = lambda side: F.transform("r", lambda g: F.slice(side, g[f"{side}_from"] + 1, g[f"{side}_to"] - g[f"{side}_from"]))
     rows = rows.select("id", "word", "ok", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("r").alias("n_groups"), F.arrays_zip(part("a").alias("a"), part("b").alias("b")).alias("g"))
     text = F.array_join(F.transform("g", lambda g: F.concat(F.array_join(g["a"], ","), F.lit("|"), F.array_join(g["b"], ","))), ";")
-    links = F.flatten(F.transform("g", lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: pair_of(x, y))))))
+    links = F.flatten(F.transform("g", lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: x.cast(kind) * F.lit(size_b).cast(kind) + y)))))
     return rows.select("id", "word", "ok", "n_a", "n_b", "n_groups", text.alias("groups"), links.alias("pairs"))
 
 
@@ -296,27 +292,29 @@ def align(docs: DataFrame, p: Pair = Pair()) -> DataFrame:
     scratch = C.Scratch(spark)
     with open(p.a, encoding="utf-8") as f, open(p.b, "rb") as g:  # the tokenizers' own files, on the driver
         a, b = f.read(), g.read()
-    coded, lists = code_chunks(docs, scratch, p, Tokenizers(a, b).splits())
+    t = Tokenizers(a, b)
+    size_b = len(t.b_bytes)
+    coded, lists = code_chunks(docs, scratch, p, t.splits())
     words = tokenise(lists.select("word").distinct(), a, b).withColumn("id", F.monotonically_increasing_id())
-    words = scratch.save(words, "words")
+    words = scratch.save(words, "words", compression="zstd")
     scratch.free_shuffles()
     with _joined_in_place(spark):
-        facts = scratch.save(word_facts(words.repartition("id")), "facts")
+        facts = scratch.save(word_facts(words.repartition("id"), len(t.a_lens), size_b), "facts", compression="zstd")
     scratch.drop(words)
     scratch.free_shuffles()
     listed = lists.join(facts.select("word", "id", "ok", "pairs"), "word")
-    nothing = F.array().cast("array<bigint>")
+    nothing = F.array().cast(facts.schema["pairs"].dataType)
     met = listed.select("chunk", "code", "ok", F.coalesce("pairs", nothing).alias("pairs"))
     parts = coded.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_count_pairs, "pair long, n long")
     counts = scratch.save(parts.groupBy("pair").agg(F.sum("n").alias("n")), "counts")
     scratch.free_shuffles()
-    top = F.max("n").over(W.partitionBy(F.shiftright("pair", 32)))
+    top = F.max("n").over(W.partitionBy(F.expr(f"pair div {size_b}")))
     ranked = counts.select("pair", "n", (F.col("n") == top).cast("long").alias("best"))
     if counts.count() <= MANY:
         ranked = F.broadcast(ranked)
     links = facts.where("ok").select("id", F.explode("pairs").alias("pair")).join(ranked, "pair")
     sums = links.groupBy("id").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    full = scratch.save(facts.drop("pairs").join(sums, "id", "left").fillna(0, ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]), "sums")
+    full = scratch.save(facts.drop("pairs").join(sums, "id", "left").fillna(0, ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]), "sums", compression="zstd")
     scratch.drop(facts)
     scratch.free_shuffles()
     met = lists.join(full, "word").select("chunk", "code", "ok", *SUMS, F.coalesce("groups", F.lit("")).alias("groups"))
