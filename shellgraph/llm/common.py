@@ -65,8 +65,19 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def save_buckets(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+        """``df``, which lies in ``n`` partitions by ``key``, as a table that is known to do so: joins and sums by the key
+        don't move it. Its name is forgotten by ``drop``."""
+        path, table = self.path(name), f"sg_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("compression", "zstd").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+        out = self.spark.table(table)
+        out._scratch_path, out._scratch_table = path, table
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
+            if table := getattr(t, "_scratch_table", None):
+                self.spark.sql(f"drop table if exists {table}")
             delete(self.spark, t._scratch_path)
 
     def free_shuffles(self) -> None:

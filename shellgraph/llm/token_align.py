@@ -299,7 +299,8 @@ def align(docs: DataFrame, p: Pair = Pair()) -> DataFrame:
     words = scratch.save(words, "words", compression="zstd")
     scratch.free_shuffles()
     with _joined_in_place(spark):
-        facts = scratch.save(word_facts(words.repartition("id"), len(t.a_lens), size_b), "facts", compression="zstd")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        facts = scratch.save_buckets(word_facts(words.repartition(n, "id"), len(t.a_lens), size_b), "facts", "id", n)
     scratch.drop(words)
     scratch.free_shuffles()
     listed = lists.join(facts.select("word", "id", "ok", "pairs"), "word")
