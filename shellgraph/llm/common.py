@@ -65,11 +65,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def save_buckets(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-        """``df``, which lies in ``n`` partitions by ``key``, as a table that is known to do so: joins and sums by the key
-        don't move it. Its name is forgotten by ``drop``."""
+    def save_buckets(self, df: DataFrame, name: str, key: str, n: int, *folders: str) -> DataFrame:
+        """``df`` as a table in ``n`` buckets by ``key``, and in folders: joins and sums by the key don't move it. Each task
+        writes a file for each bucket it has rows of. The table's name is forgotten by ``drop``."""
         path, table = self.path(name), f"sg_{uuid.uuid4().hex}"
-        df.write.format("parquet").option("compression", "zstd").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+        out = df.write.format("parquet").option("compression", "zstd").bucketBy(n, key).option("path", path)
+        (out.partitionBy(*folders) if folders else out).saveAsTable(table)
         out = self.spark.table(table)
         out._scratch_path, out._scratch_table = path, table
         return out

@@ -43,7 +43,7 @@ class Pair:
 
     a: str = f"{FOLDER}/byte_bpe_50k.json"
     b: str = f"{FOLDER}/piece_bpe_32k.model"
-    chunk_bytes: int = 32 << 20
+    chunk_bytes: int = 16 << 20
 
 
 class Tokenizers:
@@ -151,10 +151,12 @@ def code_chunks(docs: DataFrame, scratch: C.Scratch, p: Pair, split: bool) -> tu
         if size:
             yield from coded(base + n, column("doc_id", types[1]), column("text", pa.large_string()))
 
-    path = scratch.path("codes")
-    rows.mapInArrow(run, "kind string, chunk long, doc_id long, codes array<int>, code int, word string").write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    back = lambda kind, *cols: docs.sparkSession.read.schema(f"{', '.join(cols)}, kind string").parquet(path).where(F.col("kind") == kind).drop("kind")
-    return back("doc", "chunk long", "doc_id long", "codes array<int>"), back("word", "chunk long", "code int", "word string")
+    made = rows.mapInArrow(run, "kind string, chunk long, doc_id long, codes array<int>, code int, word string")
+    # a chunk is one task's, so its rows are written to their bucket as they come
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = scratch.save_buckets(made, "codes", "chunk", n, "kind")
+    again = docs.sparkSession.table(table._scratch_table)
+    return table.where("kind = 'doc'").select("chunk", "doc_id", "codes"), again.where("kind = 'word'").select("chunk", "code", "word")
 
 
 def tokenise(words: DataFrame, a: str, b: bytes) -> DataFrame:
@@ -240,12 +242,13 @@ def _rows(docs: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
 
 def _count_pairs(docs: pa.Table, entries: pa.Table) -> pa.Table:
     """(pair, n): in how many of a chunk's documents a pair is linked."""
-    entries = _by_code(entries)
+    entries = _by_code(entries.select(["code", "ok", "pairs"]))
     ok = entries.column("ok").to_numpy()
     col = entries.column("pairs").combine_chunks()
-    off = col.offsets.to_numpy().astype(np.int64)
-    names, flat = np.unique(col.values.to_numpy(zero_copy_only=False), return_inverse=True)
-    flat = flat.reshape(-1)
+    del entries
+    off = col.offsets.to_numpy()
+    named = col.values.dictionary_encode()
+    flat, names = named.indices.to_numpy(zero_copy_only=False), named.dictionary
     hits = np.zeros(len(names), np.int64)
     _, codes, ends = _rows(docs)
     for i, j in zip(ends[:-1], ends[1:], strict=True):
@@ -254,8 +257,8 @@ def _count_pairs(docs: pa.Table, entries: pa.Table) -> pa.Table:
             lens = off[u + 1] - off[u]
             at = np.repeat(off[u] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
             hits[np.unique(flat[at])] += 1
-    some = hits > 0
-    return pa.table({"pair": pa.array(names[some].astype(np.int64)), "n": pa.array(hits[some])})
+    some = pa.array(hits > 0)
+    return pa.table({"pair": names.filter(some).cast(pa.int64()), "n": pa.array(hits).filter(some)})
 
 
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
