@@ -113,7 +113,7 @@ def split_words(texts: pa.Array) -> pa.ListArray:
 
 
 def code_chunks(docs: DataFrame, scratch: C.Scratch, p: Pair, split: bool) -> tuple[DataFrame, DataFrame]:
-    """(chunk, doc_id, codes) of every row and (chunk, code, word): codes are the words of a text in order, each without the
+    """(chunk, doc_id, codes) of every row and (part, code, word), part a chunk: codes are the words of a text in order, each without the
     space before it. A text that is null, empty or not valid UTF-8 has none."""
     C.small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
@@ -156,7 +156,7 @@ def code_chunks(docs: DataFrame, scratch: C.Scratch, p: Pair, split: bool) -> tu
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = scratch.save_buckets(made, "codes", "chunk", n, "kind")
     again = docs.sparkSession.table(table._scratch_table)
-    return table.where("kind = 'doc'").select("chunk", "doc_id", "codes"), again.where("kind = 'word'").select("chunk", "code", "word")
+    return table.where("kind = 'doc'").select("chunk", "doc_id", "codes"), again.where("kind = 'word'").select(F.col("chunk").alias("part"), "code", "word")
 
 
 def tokenise(words: DataFrame, a: str, b: bytes) -> DataFrame:
@@ -308,8 +308,8 @@ def align(docs: DataFrame, p: Pair = Pair()) -> DataFrame:
     scratch.free_shuffles()
     listed = lists.join(facts.select("word", "id", "ok", "pairs"), "word")
     nothing = F.array().cast(facts.schema["pairs"].dataType)
-    met = listed.select("chunk", "code", "ok", F.coalesce("pairs", nothing).alias("pairs"))
-    parts = coded.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_count_pairs, "pair long, n long")
+    met = listed.select("part", "code", "ok", F.coalesce("pairs", nothing).alias("pairs"))
+    parts = coded.groupBy("chunk").cogroup(met.groupBy("part")).applyInArrow(_count_pairs, "pair long, n long")
     counts = scratch.save(parts.groupBy("pair").agg(F.sum("n").alias("n")), "counts")
     scratch.free_shuffles()
     top = F.max("n").over(W.partitionBy(F.expr(f"pair div {size_b}")))
@@ -321,5 +321,5 @@ def align(docs: DataFrame, p: Pair = Pair()) -> DataFrame:
     full = scratch.save(facts.drop("pairs").join(sums, "id", "left").fillna(0, ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]), "sums", compression="zstd")
     scratch.drop(facts)
     scratch.free_shuffles()
-    met = lists.join(full, "word").select("chunk", "code", "ok", *SUMS, F.coalesce("groups", F.lit("")).alias("groups"))
-    return coded.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_sum_up, "doc_id long, " + ", ".join(f"{c} long" for c in SUMS) + ", groups_sha256 string")
+    met = lists.join(full, "word").select("part", "code", "ok", *SUMS, F.coalesce("groups", F.lit("")).alias("groups"))
+    return coded.groupBy("chunk").cogroup(met.groupBy("part")).applyInArrow(_sum_up, "doc_id long, " + ", ".join(f"{c} long" for c in SUMS) + ", groups_sha256 string")
