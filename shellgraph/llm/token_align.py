@@ -242,9 +242,9 @@ def _rows(docs: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
 
 def _count_pairs(docs: pa.Table, entries: pa.Table) -> pa.Table:
     """(pair, n): in how many of a chunk's documents a pair is linked."""
-    entries = _by_code(entries.select(["code", "ok", "pairs"]))
-    ok = entries.column("ok").to_numpy()
+    entries = _by_code(entries.select(["code", "pairs"]))
     col = entries.column("pairs").combine_chunks()
+    ok = col.is_valid().to_numpy(zero_copy_only=False)
     del entries
     off = col.offsets.to_numpy()
     named = col.values.dictionary_encode()
@@ -265,10 +265,12 @@ SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
 def _sum_up(docs: pa.Table, entries: pa.Table) -> pa.Table:
-    """A row for each of a chunk's documents."""
-    entries = _by_code(entries)
-    ok, text = entries.column("ok").to_numpy(), entries.column("groups").to_pylist()
-    facts = np.stack([entries.column(c).to_numpy() for c in SUMS], axis=1).astype(np.int64) if len(text) else np.zeros((0, len(SUMS)), np.int64)
+    """A row for each of a chunk's documents. ``facts`` of a word: SUMS and its groups as one text, null if it has none."""
+    entries = _by_code(entries.select(["code", "facts"]))
+    parts = pc.split_pattern(pc.fill_null(entries.column("facts").combine_chunks(), "0 0 0 0 0 0 "), " ")
+    ok = entries.column("facts").is_valid().to_numpy()
+    facts = np.stack([pc.list_element(parts, k).cast(pa.int64()).to_numpy() for k in range(len(SUMS))], axis=1)
+    text = pc.list_element(parts, len(SUMS)).to_pylist()
     ids, codes, ends = _rows(docs)
     sums, shas = np.zeros((len(ids), len(SUMS)), np.int64), []
     for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
@@ -306,9 +308,7 @@ def align(docs: DataFrame, p: Pair = Pair()) -> DataFrame:
         facts = scratch.save_buckets(word_facts(words.repartition(n, "id"), len(t.a_lens), size_b), "facts", "id", n)
     scratch.drop(words)
     scratch.free_shuffles()
-    listed = lists.join(facts.select("word", "id", "ok", "pairs"), "word")
-    nothing = F.array().cast(facts.schema["pairs"].dataType)
-    met = listed.select("part", "code", "ok", F.coalesce("pairs", nothing).alias("pairs"))
+    met = lists.join(facts.select("word", "pairs"), "word").select("part", "code", "pairs")
     parts = coded.groupBy("chunk").cogroup(met.groupBy("part")).applyInArrow(_count_pairs, "pair long, n long")
     counts = scratch.save(parts.groupBy("pair").agg(F.sum("n").alias("n")), "counts")
     scratch.free_shuffles()
@@ -318,8 +318,10 @@ def align(docs: DataFrame, p: Pair = Pair()) -> DataFrame:
         ranked = F.broadcast(ranked)
     links = facts.where("ok").select("id", F.explode("pairs").alias("pair")).join(ranked, "pair")
     sums = links.groupBy("id").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    full = scratch.save(facts.drop("pairs").join(sums, "id", "left").fillna(0, ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]), "sums", compression="zstd")
+    # one text, which takes less room on its way to the chunks than seven columns
+    told = F.when(F.col("ok"), F.concat_ws(" ", *SUMS, "groups")).alias("facts")
+    full = scratch.save(facts.drop("pairs").join(sums, "id", "left").select("word", told), "sums", compression="zstd")
     scratch.drop(facts)
     scratch.free_shuffles()
-    met = lists.join(full, "word").select("part", "code", "ok", *SUMS, F.coalesce("groups", F.lit("")).alias("groups"))
+    met = lists.join(full, "word").select("part", "code", "facts")
     return coded.groupBy("chunk").cogroup(met.groupBy("part")).applyInArrow(_sum_up, "doc_id long, " + ", ".join(f"{c} long" for c in SUMS) + ", groups_sha256 string")
