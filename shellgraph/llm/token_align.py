@@ -155,8 +155,11 @@ def code_chunks(docs: DataFrame, scratch: C.Scratch, p: Pair, split: bool) -> tu
     # a chunk is one task's, so its rows are written to their bucket as they come
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = scratch.save_buckets(made, "codes", "chunk", n, "kind")
-    again = docs.sparkSession.table(table._scratch_table)
-    return table.where("kind = 'doc'").select("chunk", "doc_id", "codes"), again.where("kind = 'word'").select(F.col("chunk").alias("part"), "code", "word")
+    lists = docs.sparkSession.table(table._scratch_table).where("kind = 'word'").select(F.col("chunk").alias("part"), "code", "word")
+    lists = scratch.save_buckets(lists.repartition(n, "word"), "lists", "word", n)
+    C.delete(docs.sparkSession, f"{table._scratch_path}/kind=word")
+    scratch.free_shuffles()
+    return table.where("kind = 'doc'").select("chunk", "doc_id", "codes"), lists
 
 
 def tokenise(words: DataFrame, a: str, b: bytes) -> DataFrame:
@@ -201,32 +204,32 @@ def _joined_in_place(spark: SparkSession):
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """(id, gid, a_from, a_to, b_from, b_to): the groups of each row of ``tokens(id, a, a_len, b, b_len)`` whose two sides
+    """(word, gid, a_from, a_to, b_from, b_to): the groups of each row of ``tokens(word, a, a_len, b, b_len)`` whose two sides
     have equal bytes, as ranges of places of both sides (from excluded). A group ends where a token of A and one of B end.
-    Rows lie by id throughout."""
-    by = W.partitionBy("id")
+    Rows lie by word throughout."""
+    by = W.partitionBy("word")
 
     def ends(side: str) -> DataFrame:
-        one = tokens.select("id", F.posexplode(f"{side}_len").alias("pos", "len"))
-        return one.select("id", (F.col("pos") + 1).alias(f"{side}_to"), F.sum("len").over(by.orderBy("pos")).alias("end"))
+        one = tokens.select("word", F.posexplode(f"{side}_len").alias("pos", "len"))
+        return one.select("word", (F.col("pos") + 1).alias(f"{side}_to"), F.sum("len").over(by.orderBy("pos")).alias("end"))
 
-    cuts = ends("a").join(ends("b").hint("merge"), ["id", "end"])
+    cuts = ends("a").join(ends("b").hint("merge"), ["word", "end"])
     along = by.orderBy("end")
     before = lambda c: F.lag(c, 1, 0).over(along)
-    return cuts.select("id", F.row_number().over(along).alias("gid"), before("a_to").alias("a_from"), "a_to", before("b_to").alias("b_from"), "b_to")
+    return cuts.select("word", F.row_number().over(along).alias("gid"), before("a_to").alias("a_from"), "a_to", before("b_to").alias("b_from"), "b_to")
 
 
 def word_facts(tokens: DataFrame, size_a: int, size_b: int) -> DataFrame:
-    """(id, word, ok, n_a, n_b, n_groups, groups, pairs) of each of ``tokens``: groups as text, pairs of every link, as often
+    """(word, ok, n_a, n_b, n_groups, groups, pairs) of each of ``tokens``: groups as text, pairs of every link, as often
     as they occur, as a * size_b + b; without groups where not ok."""
     kind = "int" if size_a * size_b < 1 << 31 else "long"
-    ranges = aligned(tokens.where("ok")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("gid", "a_from", "a_to", "b_from", "b_to"))).alias("r"))
-    rows = tokens.join(ranges.hint("merge"), "id", "left")
+    ranges = aligned(tokens.where("ok")).groupBy("word").agg(F.sort_array(F.collect_list(F.struct("gid", "a_from", "a_to", "b_from", "b_to"))).alias("r"))
+    rows = tokens.join(ranges.hint("merge"), "word", "left")
     part = lambda side: F.transform("r", lambda g: F.slice(side, g[f"{side}_from"] + 1, g[f"{side}_to"] - g[f"{side}_from"]))
-    rows = rows.select("id", "word", "ok", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("r").alias("n_groups"), F.arrays_zip(part("a").alias("a"), part("b").alias("b")).alias("g"))
+    rows = rows.select("word", "ok", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("r").alias("n_groups"), F.arrays_zip(part("a").alias("a"), part("b").alias("b")).alias("g"))
     text = F.array_join(F.transform("g", lambda g: F.concat(F.array_join(g["a"], ","), F.lit("|"), F.array_join(g["b"], ","))), ";")
     links = F.flatten(F.transform("g", lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: x.cast(kind) * F.lit(size_b).cast(kind) + y)))))
-    return rows.select("id", "word", "ok", "n_a", "n_b", "n_groups", text.alias("groups"), links.alias("pairs"))
+    return rows.select("word", "ok", "n_a", "n_b", "n_groups", text.alias("groups"), links.alias("pairs"))
 
 
 def _by_code(entries: pa.Table) -> pa.Table:
@@ -300,12 +303,13 @@ def align(docs: DataFrame, p: Pair = Pair()) -> DataFrame:
     t = Tokenizers(a, b)
     size_b = len(t.b_bytes)
     coded, lists = code_chunks(docs, scratch, p, t.splits())
-    words = tokenise(lists.select("word").distinct(), a, b).withColumn("id", F.monotonically_increasing_id())
-    words = scratch.save(words, "words", compression="zstd")
+    # lists, words and their facts lie by word, so that they meet without moving
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = tokenise(lists.select("word").distinct(), a, b).repartition(n, "word")
+    words = scratch.save_buckets(words, "words", "word", n)
     scratch.free_shuffles()
     with _joined_in_place(spark):
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        facts = scratch.save_buckets(word_facts(words.repartition(n, "id"), len(t.a_lens), size_b), "facts", "id", n)
+        facts = scratch.save_buckets(word_facts(words, len(t.a_lens), size_b), "facts", "word", n)
     scratch.drop(words)
     scratch.free_shuffles()
     met = lists.join(facts.select("word", "pairs"), "word").select("part", "code", "pairs")
@@ -316,11 +320,11 @@ def align(docs: DataFrame, p: Pair = Pair()) -> DataFrame:
     ranked = counts.select("pair", "n", (F.col("n") == top).cast("long").alias("best"))
     if counts.count() <= MANY:
         ranked = F.broadcast(ranked)
-    links = facts.where("ok").select("id", F.explode("pairs").alias("pair")).join(ranked, "pair")
-    sums = links.groupBy("id").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    links = facts.where("ok").select("word", F.explode("pairs").alias("pair")).join(ranked, "pair")
+    sums = links.groupBy("word").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
     # one text, which takes less room on its way to the chunks than seven columns
     told = F.when(F.col("ok"), F.concat_ws(" ", *SUMS, "groups")).alias("facts")
-    full = scratch.save(facts.drop("pairs").join(sums, "id", "left").select("word", told), "sums", compression="zstd")
+    full = scratch.save_buckets(facts.drop("pairs").join(sums.hint("merge"), "word", "left").select("word", told).repartition(n, "word"), "sums", "word", n)
     scratch.drop(facts)
     scratch.free_shuffles()
     met = lists.join(full, "word").select("part", "code", "facts")
