@@ -58,9 +58,9 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path, compression=compression)
+        df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -69,7 +69,7 @@ class Scratch:
         """``df`` as a table in ``n`` buckets by ``key``, and in folders: joins and sums by the key don't move it. Each task
         writes a file for each bucket it has rows of. The table's name is forgotten by ``drop``."""
         path, table = self.path(name), f"sg_{uuid.uuid4().hex}"
-        out = df.write.format("parquet").option("compression", "zstd").bucketBy(n, key).option("path", path)
+        out = df.write.format("parquet").bucketBy(n, key).option("path", path)
         (out.partitionBy(*folders) if folders else out).saveAsTable(table)
         out = self.spark.table(table)
         out._scratch_path, out._scratch_table = path, table

@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,12 @@ class Tokenizers:
         return out
 
 
+@lru_cache(maxsize=1)
+def _loaded(a: str, b: bytes) -> Tokenizers:
+    """One pair of tokenizers a worker process."""
+    return Tokenizers(a, b)
+
+
 def split_words(texts: pa.Array) -> pa.ListArray:
     """The words of each text, without the space before each; none of a null or empty text."""
     uneven = pc.fill_null(pc.match_substring_regex(texts, UNEVEN), False).to_numpy(zero_copy_only=False)
@@ -168,7 +175,7 @@ def tokenise(words: DataFrame, a: str, b: bytes) -> DataFrame:
     files = words.sparkSession.sparkContext.broadcast((a, b))  # the two vocabulary files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tokenizers(*files.value)
+        t = _loaded(*files.value)
         ints, names = pa.list_(pa.int32()), ["word", "a", "a_len", "b", "b_len", "ok"]
         for batch in batches:
             # words that begin with a visible character and don't end with a space may stand in a row
