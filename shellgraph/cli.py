@@ -9,7 +9,6 @@ import argparse
 import glob
 import os
 import sys
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
@@ -130,7 +129,7 @@ def run_dedup(spark: SparkSession, a: argparse.Namespace) -> None:
         folder, stem = a.outdir or os.path.dirname(path), os.path.basename(path).rsplit(".", 1)[0]
         targets[ids[path]] = reports.free_path(folder, stem, ".pdb", taken)
         taken.add(targets[ids[path]])
-    reports.save_pdb(dedup.deduplicate(atoms, **options), targets, f"{a.outdir or os.path.dirname(paths[0])}/.dedup-{uuid.uuid4().hex}")
+    reports.save_pdb(dedup.deduplicate(atoms, **options), targets, a.outdir or os.path.dirname(paths[0]))
 
 
 def main(argv: Sequence[str] | None = None) -> None:

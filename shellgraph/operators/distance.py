@@ -1,8 +1,10 @@
 """Joins by distance between points with columns x, y, z, within groups of equal keys.
 
-Two strategies with equal results: *keyed* joins on the keys and filters, good where groups are
-small or one side can be broadcast; *grid* also joins on cells as wide as the cutoff, good where
-both sides of a group are large. ``auto`` broadcasts a side only after counting it.
+With a cutoff, both sides meet on a grid of cells as wide as the cutoff, however large their groups. Without one, the
+right side is laid out as an octree whose cells split by count; every left row gets a bound from the points its
+cells are known by, and meets only the leaves within it. Neither compares a whole group with another, keeps
+tables, or gathers rows outside Spark; a side is broadcast only after counting it. Rows are a bag: equal left rows come
+out as often as they are there.
 """
 
 from __future__ import annotations
@@ -13,8 +15,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 BROADCAST_ROWS = 50_000
+LEAF = 32  # points above which a cell of the octree is split
+DEPTH = 20  # levels below which it isn't
+ONE = 500  # points that are one leaf to all tasks
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -28,73 +34,148 @@ def distance(a: str, b: str) -> Column:
     return F.sqrt(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2])
 
 
-def _sides(left: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float | None, strategy: str) -> tuple[DataFrame, DataFrame, Column]:
-    """Both sides as structs ``l`` and ``r`` beside their keys (and cells), and the condition that joins them."""
-    packed = lambda df, n: df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.struct(*df.columns).alias(n))
-    a, b, on = packed(left, "l"), packed(right, "r"), [f"__k{i}" for i in range(len(keys))]
-    if strategy == "grid":
-        cell = lambda s, c: F.floor(F.col(f"{s}.{c}") / F.lit(float(cutoff))).cast("long")
-        a = a.select("*", *[cell("l", c).alias(f"__{c}") for c in "xyz"])
-        for c in "xyz":
-            b = b.select("*", F.explode(F.sequence(cell("r", c) - 1, cell("r", c) + 1)).alias(f"__{c}"))
-        on = [*on, "__x", "__y", "__z"]
-    elif strategy == "broadcast":
-        b = F.broadcast(b)
-    elif strategy != "keyed":
+def _names(keys: Sequence[str]) -> list[str]:
+    return [f"__k{i}" for i in range(len(keys))]
+
+
+def _packed(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Rows as a struct beside their keys."""
+    return df.select(*[F.col(k).alias(n) for k, n in zip(keys, _names(keys), strict=True)], F.struct(*df.columns).alias(name))
+
+
+def _numbered(left: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left rows with a number of their own, given once and carried along."""
+    return _packed(left, keys, "l").withColumn("__id", F.monotonically_increasing_id())
+
+
+def _grid(a: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float, how: str, broadcast: bool) -> DataFrame:
+    """``a`` (keys, l, ...) joined with the rows of ``right`` at most ``cutoff`` away, as r. Right rows go to the 27 cells
+    around theirs."""
+    width = F.lit(float(cutoff) if cutoff > 0 else 1.0)
+    cell = lambda s, c: F.floor(F.col(f"{s}.{c}") / width).cast("long")
+    at = [f"__{c}" for c in "xyz"]
+    a = a.select("*", *[cell("l", c).alias(f"__{c}") for c in "xyz"])
+    b = _packed(right, keys, "r")
+    for c in "xyz":
+        b = b.select("*", F.explode(F.sequence(cell("r", c) - 1, cell("r", c) + 1)).alias(f"__{c}"))
+    b = F.broadcast(b) if broadcast else b
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*_names(keys), *at]]
+    found = a.alias("a").join(b.alias("b"), reduce(lambda x, y: x & y, [*on, distance("a.l", "b.r") <= cutoff]), how)
+    return found.select(*[f"a.{c}" for c in a.columns if c not in at], "b.r")
+
+
+def _strategy(strategy: str, right: DataFrame) -> bool:
+    if strategy not in ("auto", "grid", "broadcast"):
         raise ValueError(f"no strategy {strategy}")
-    near = distance("l", "r") <= cutoff if cutoff is not None else distance("l", "r").isNotNull()
-    return a.alias("a"), b.alias("b"), reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on], near)
+    return strategy == "broadcast" or strategy == "auto" and bounded(right, BROADCAST_ROWS // 27)
 
 
 def pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float, strategy: str = "auto") -> DataFrame:
     """(l, r, d): structs of the left and right rows of equal ``keys`` at most ``cutoff`` apart
-    (inclusive, on the root), with their distance. Null coordinates and null keys match nothing."""
-    if strategy == "auto":
-        strategy = "broadcast" if bounded(right) else "grid"
-    a, b, near = _sides(left, right, keys, cutoff, strategy)
-    return a.join(b, near).select("l", "r", distance("l", "r").alias("d"))
+    (inclusive, on the root), with their distance. Null coordinates and null keys match nothing.
 
+    ``strategy``: ``broadcast`` sends the right side's cells to all tasks, ``grid`` shuffles them, ``auto`` counts first."""
+    found = _grid(_packed(left, keys, "l"), right, keys, cutoff, "inner", _strategy(strategy, right))
+    return found.select("l", "r", distance("l", "r").alias("d"))
 
-def within(left: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float, strategy: str = "auto", name: str = "min_distance") -> DataFrame:
-    """Rows of ``left`` with a row of ``right`` at most ``cutoff`` away, and the least distance.
 
-    Rows equal in all columns count as one.
-    """
-    found = pairs(left, right, keys, cutoff, strategy)
-    return found.groupBy("l").agg(F.min("d").alias(name)).select("l.*", name)
+def within(left: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float, strategy: str = "auto", name: str = "min_distance") -> DataFrame:
+    """Rows of ``left`` with a row of ``right`` at most ``cutoff`` away, and the least distance."""
+    found = _grid(_numbered(left, keys), right, keys, cutoff, "inner", _strategy(strategy, right))
+    return found.groupBy("__id").agg(F.first("l").alias("l"), F.min(distance("l", "r")).alias(name)).select("l.*", name)
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str], cutoff: float | None = None, strategy: str = "auto") -> DataFrame:
     """Every row of ``left`` as ``l`` with its nearest row of ``right`` as ``r`` and their distance ``d``.
 
-    Equally near rows of ``right`` go by ``order``. Without a right row of equal keys (within the
-    cutoff, if one is given) ``r`` and ``d`` are null. Left rows equal in all columns count as one.
-    """
-    if strategy == "auto":
-        strategy = "broadcast" if bounded(right) else "grid"
-    if cutoff is None and strategy == "grid":
-        return _widening(left, right, keys, order)
-    a, b, near = _sides(left, right, keys, cutoff, strategy)
-    found = a.join(b, near, "left").select("l", "r", distance("l", "r").alias("d"))
-    return found.groupBy("l").agg(F.min_by("r", F.struct("d", *[F.col(f"r.{c}") for c in order])).alias("r"), F.min("d").alias("d"))
-
-
-def _widening(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Nearest rows by grid joins whose cutoff doubles: a hit within the cutoff is the nearest of all, so only
-    rows without one go on. Starts at the spacing of evenly spread points and ends when the cutoff spans all."""
-    limits = [f(F.col(c)) for c in "xyz" for f in (F.min, F.max)]
-    box = left.select("x", "y", "z").unionByName(right.select("x", "y", "z")).agg(*limits).first()
-    widest = math.sqrt(sum(((b or 0.0) - (a or 0.0)) ** 2 for a, b in zip(box[::2], box[1::2], strict=True)))
-    n = right.count()
-    if not n or widest == 0.0:
-        return nearest(left, right, keys, order, cutoff=1.0, strategy="keyed")
-    cutoff = widest / max(1.0, n ** (1 / 3))
-    open_, done = left.distinct(), None
-    while True:
-        step = nearest(open_, right, keys, order, cutoff, "grid").persist()
-        hit = step.where("r is not null")
-        done = hit if done is None else done.unionByName(hit)
-        open_ = step.where("r is null").select("l.*")
-        if cutoff >= widest or open_.isEmpty():
-            return done.unionByName(step.where("r is null"))
-        cutoff *= 2
+    Equally near rows of ``right`` go by ``order``. Without a right row of equal keys (within the cutoff, if one is given)
+    ``r`` and ``d`` are null; so they are for null keys and coordinates."""
+    a = _numbered(left, keys)
+    if cutoff is None:
+        found = _octree(a, right, keys)
+    else:
+        found = _grid(a, right, keys, cutoff, "left", _strategy(strategy, right))
+    d = distance("l", "r")
+    best = F.struct(d, *[F.col(f"r.{c}") for c in order])
+    return found.groupBy("__id").agg(F.first("l").alias("l"), F.min_by("r", F.when(F.col("r").isNotNull(), best)).alias("r"), F.min(d).alias("d")).drop("__id")
+
+
+def _cells(s: str, low: Sequence[float], width: float, level: Column) -> Column:
+    """The cell of point ``s`` at a level, as a struct; level 0 is one cell of ``width``."""
+    return F.struct(*[F.floor((F.col(f"{s}.{c}") - F.lit(a)) / F.lit(width) * F.pow(F.lit(2.0), level)).cast("long").alias(c) for c, a in zip("xyz", low, strict=True)])
+
+
+def _gap(s: str, farthest: bool = False) -> Column:
+    """Distance of point ``s`` to the nearest (or farthest) place of the box in columns lo, hi."""
+    parts = []
+    for c in "xyz":
+        p, lo, hi = F.col(f"{s}.{c}"), F.col(f"lo.{c}"), F.col(f"hi.{c}")
+        parts.append(F.greatest(F.abs(p - lo), F.abs(p - hi)) if farthest else F.greatest(lo - p, p - hi, F.lit(0.0)))
+    return F.sqrt(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2])
+
+
+def octree(right: DataFrame, keys: Sequence[str], low: Sequence[float], width: float, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, leaves) over the rows of ``right``: nodes (keys, lvl, cell, lo, hi, some, leaf) with the box of their points, one
+    of these, and whether they aren't split; leaves (keys, lvl, cell, r). A cell is split where it has more
+    than LEAF points, down to ``depth``; counts are one aggregate over all levels."""
+    names = _names(keys)
+    b = _packed(right, keys, "r").where(reduce(lambda x, y: x & y, [F.col(f"r.{c}").isNotNull() & ~F.isnan(f"r.{c}") for c in "xyz"]))
+    every = b.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("cell", _cells("r", low, width, F.col("lvl")))
+    box = lambda f: F.struct(*[f(f"r.{c}").alias(c) for c in "xyz"])
+    point = F.struct(*[F.col(f"r.{c}").alias(c) for c in "xyz"])
+    made = every.groupBy(*names, "lvl", "cell").agg(F.count("*").alias("n"), box(F.min).alias("lo"), box(F.max).alias("hi"), F.min(point).alias("some"))
+    up = [F.shiftright(F.col(f"cell.{c}"), 1) for c in "xyz"]
+    # a cell's count is that of its parts
+    above = F.sum("n").over(W.partitionBy(*names, "lvl", *up))
+    kept = made.withColumn("above", above).where((F.col("lvl") == 0) | (F.col("above") > LEAF))
+    nodes = kept.select(*names, "lvl", "cell", "lo", "hi", "some", ((F.col("n") <= LEAF) | (F.col("lvl") == depth)).alias("leaf"))
+    own = nodes.where("leaf").select(*names, "lvl", "cell")
+    return nodes, every.join(own, [*names, "lvl", "cell"])
+
+
+def _octree(a: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``a`` (keys, l, __id) with every row of ``right`` that may be its nearest as r, and null where there is none.
+
+    First each left row meets the nodes whose cell it lies in; the distance to a point of theirs is a bound. Then it meets the
+    leaves below the cells that its ball of that radius touches, at the level where these are few; the least
+    farthest distance to a leaf's box tightens the bound, and only leaves whose box is within it give their points."""
+    names = _names(keys)
+    xyz = ["x", "y", "z"]
+    ends = right.select(*xyz).agg(F.count("*"), *[f(F.when(~F.isnan(c), F.col(c))) for c in xyz for f in (F.min, F.max)]).first()
+    if not ends[0] or ends[1] is None:
+        return a.withColumn("r", F.lit(None).cast(_packed(right, keys, "r").schema["r"].dataType))
+    low = [float(v) for v in ends[1::2]]
+    width = max(float(hi) - lo for lo, hi in zip(low, ends[2::2], strict=True)) * 1.0000001 or 1.0
+    # a point outside the tree's cube is judged by the nearest place inside
+    inside = F.struct(*[F.greatest(F.lit(lo), F.least(F.lit(lo + width * (1 - 1e-9)), F.col(f"l.{c}"))).alias(c) for c, lo in zip(xyz, low, strict=True)])
+    if ends[0] <= ONE:  # the root is the only leaf
+        b = _packed(right, keys, "r").withColumn("cell", _cells("r", low, width, F.lit(0)))
+        known = F.col("l.x").isNotNull() & F.col("l.y").isNotNull() & F.col("l.z").isNotNull()
+        root = a.withColumn("__in", inside).withColumn("cell", F.when(known, _cells("__in", low, width, F.lit(0))))
+        return root.join(F.broadcast(b), [*names, "cell"], "left").select("__id", "l", "r")
+    depth = min(DEPTH, math.ceil(math.log2(max(1.0, ends[0] / LEAF)) / 3) + 4 if ends[0] > LEAF else 0)
+    nodes, leaves = octree(right, keys, low, width, depth)
+
+    up = a.withColumn("__in", inside).withColumn("lvl", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("cell", _cells("__in", low, width, F.col("lvl"))).drop("__in")
+    met = up.join(nodes.select(*names, "lvl", "cell", "some"), [*names, "lvl", "cell"], "left")
+    bound = met.groupBy("__id", *names).agg(F.first("l").alias("l"), (F.min(distance("l", "some")) * (1 + 1e-9) + 1e-300).alias("u"))
+    bound = bound.withColumn("u", F.when(~F.isnan("u"), F.col("u")))
+
+    # the deepest level whose cells are at least as wide as the ball: it touches at most three of them along an axis
+    fit = F.greatest(F.lit(0), F.least(F.lit(depth), F.floor(F.log2(F.lit(width) / F.greatest(F.col("u"), F.lit(width * 2.0**-40)))).cast("int")))
+    steps = bound.withColumn("__top", F.when(F.col("u").isNotNull(), fit)).withColumn("lvl", F.explode_outer(F.sequence(F.lit(0), F.col("__top"))))
+    edge = (F.lit(width) / F.pow(F.lit(2.0), F.col("lvl")))
+    last = (F.pow(F.lit(2.0), F.col("lvl")) - 1).cast("long")
+    for c, lo in zip(xyz, low, strict=True):
+        at = lambda v: F.greatest(F.lit(0).cast("long"), F.least(last, F.floor((v - F.lit(lo)) / edge).cast("long")))  # noqa: B023, E731
+        steps = steps.withColumn(f"__{c}", F.explode_outer(F.sequence(at(F.col(f"l.{c}") - F.col("u")), at(F.col(f"l.{c}") + F.col("u")))))
+    steps = steps.withColumn("cell", F.struct(*[F.col(f"__{c}").alias(c) for c in xyz])).drop("__x", "__y", "__z")
+    # a leaf is known by its own cell, and by those above it
+    own = nodes.where("leaf").select(*names, F.col("lvl").alias("leaf_lvl"), F.col("cell").alias("leaf_cell"), "lo", "hi")
+    above = own.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.col("leaf_lvl"))))
+    above = above.withColumn("cell", F.struct(*[F.expr(f"shiftright(leaf_cell.{c}, leaf_lvl - lvl)").alias(c) for c in xyz]))
+    near = steps.join(above, [*names, "lvl", "cell"], "left").where("u is null or lo is not null and (lvl = __top or lvl = leaf_lvl)").where(F.col("u").isNull() | (_gap("l") <= F.col("u")))
+    tight = F.least("u", F.min(_gap("l", True)).over(W.partitionBy("__id")) * (1 + 1e-9))
+    near = near.withColumn("u", F.when(F.col("u").isNotNull(), tight)).where(F.col("u").isNull() | (_gap("l") <= F.col("u")))
+    points = leaves.select(*names, F.col("lvl").alias("leaf_lvl"), F.col("cell").alias("leaf_cell"), "r")
+    return near.join(points, [*names, "leaf_lvl", "leaf_cell"], "left").select("__id", "l", "r")

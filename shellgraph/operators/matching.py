@@ -72,10 +72,18 @@ def match_rates(df: DataFrame, category: str, matched: Column, keys: Sequence[st
 
 def cutoff_sweep(nearest: DataFrame, group: str, d: str, most: float = 4.0, step: float = 0.2) -> DataFrame:
     """(cutoff, mean_matches, std_matches): for each cutoff the mean and population deviation over groups
-    of how many distances are at most that far. Distances are computed once, not once a cutoff."""
+    of how many distances are at most that far; null distances never are. Each distance is counted once, at the first
+    cutoff that holds it, and the counts are summed up from there."""
     n = int(round(most / step))
-    cut = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: i * F.lit(float(step)))).alias("cutoff")
-    per = nearest.select(group, d, cut).groupBy(group, "cutoff").agg(F.sum(F.when(F.col(d) <= F.col("cutoff"), 1).otherwise(0)).alias("__n"))
+    edge = lambda i: i * F.lit(float(step))
+    # the first cutoff that holds a distance, found beside the quotient, whose last digit may be off
+    near = F.ceil(F.col(d) / F.lit(float(step))).cast("int")
+    first = F.greatest(F.lit(0), F.when(F.col(d) <= edge(near - 1), near - 1).when(F.col(d) <= edge(near), near).otherwise(near + 1))
+    counts = nearest.select(group, F.when(F.col(d).isNotNull(), first).alias("__i")).groupBy(group, "__i").agg(F.count("*").alias("__c"))
+    steps = counts.groupBy(group).agg(F.map_from_entries(F.collect_list(F.when(F.col("__i") <= n, F.struct("__i", "__c")))).alias("__m"))
+    # at most n + 1 counts a group
+    ends = F.aggregate(F.sequence(F.lit(0), F.lit(n)), F.array().cast("array<bigint>"), lambda a, i: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long")) + F.coalesce(F.try_element_at("__m", i), F.lit(0).cast("long")))))
+    per = steps.select(group, F.posexplode(ends).alias("__i", "__n")).withColumn("cutoff", edge(F.col("__i")))
     return per.groupBy("cutoff").agg(F.avg("__n").alias("mean_matches"), F.stddev_pop("__n").alias("std_matches"))
 
 

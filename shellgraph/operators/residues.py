@@ -35,22 +35,32 @@ def signatures(rows: DataFrame, keys: Sequence[str], element: Column, order: Seq
     return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(e)), lambda s: s["__e"]).alias("signature"))
 
 
-def duplicate_groups(signed: DataFrame, scope: Sequence[str], member: str, mask: Sequence[str] = (), mode: str = "all", present: str = "present") -> DataFrame:
-    """Members of one scope and signature, where there are several: (scope, signature, members,
-    canonical, matching). The arrays themselves are the group key, so no hash can collide.
-
-    canonical: the smallest member whose set ``present`` holds the whole mask (mode ``all``) or any of
-    it (``any``), else the smallest. An empty mask matches nothing.
-    """
+def _fits(mask: Sequence[str], mode: str, present: str) -> Column:
     m = F.array(*[F.lit(x) for x in mask]).cast("array<string>")
     if not mask:
-        fits = F.lit(False)
-    elif mode == "all":
-        fits = F.size(F.array_except(m, F.col(present))) == 0
-    elif mode == "any":
-        fits = F.arrays_overlap(m, F.col(present))
-    else:
-        raise ValueError(f"mode {mode}")
-    rows = signed.select(*scope, "signature", member, fits.alias("__fits"))
-    out = rows.groupBy(*scope, "signature").agg(F.array_sort(F.collect_list(member)).alias("members"), F.array_sort(F.collect_list(F.when(F.col("__fits"), F.col(member)))).alias("matching"))
-    return out.where("size(members) > 1").withColumn("canonical", F.coalesce(F.try_element_at("matching", F.lit(1)), F.element_at("members", 1)))
+        return F.lit(False)
+    if mode == "all":
+        return F.size(F.array_except(m, F.col(present))) == 0
+    if mode == "any":
+        return F.arrays_overlap(m, F.col(present))
+    raise ValueError(f"mode {mode}")
+
+
+def duplicate_groups(signed: DataFrame, scope: Sequence[str], member: str, mask: Sequence[str] = (), mode: str = "all", present: str = "present") -> DataFrame:
+    """Groups of several members of one scope and signature: (scope, signature, n, n_matching, canonical).
+
+    canonical: the smallest member whose set ``present`` holds the whole mask (mode ``all``) or any of it (``any``), else
+    the smallest. An empty mask matches nothing. The arrays themselves are the group key, so no hash can collide; counts
+    and minima combine before they move, so a signature of any share is no large row."""
+    rows = signed.select(*scope, "signature", member, _fits(mask, mode, present).alias("__fits"))
+    out = rows.groupBy(*scope, "signature").agg(F.count(member).alias("n"), F.count_if("__fits").alias("n_matching"), F.min(member).alias("__least"), F.min(F.when(F.col("__fits"), F.col(member))).alias("__fit"))
+    return out.where("n > 1").select(*scope, "signature", "n", "n_matching", F.coalesce("__fit", "__least").alias("canonical"))
+
+
+def duplicates(signed: DataFrame, scope: Sequence[str], member: str, mask: Sequence[str] = (), mode: str = "all", present: str = "present") -> DataFrame:
+    """(scope, member, canonical): every member of a duplicate group but the canonical one. Members meet their group by a
+    name of 128 bits of the signature, and by the arrays."""
+    name = lambda: [F.xxhash64("signature").alias("__h1"), F.xxhash64(F.lit(1), "signature").alias("__h2")]
+    groups = duplicate_groups(signed, scope, member, mask, mode, present).select(*scope, F.col("signature").alias("__s"), "canonical", *name())
+    rows = signed.select(*scope, "signature", member, *name())
+    return rows.join(groups, [*scope, "__h1", "__h2"]).where(F.col("signature") == F.col("__s")).where(F.col(member) != F.col("canonical")).select(*scope, member, "canonical")

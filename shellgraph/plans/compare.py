@@ -69,7 +69,7 @@ def compare(template: DataFrame, network: DataFrame, query: DataFrame, cutoff: f
     placed = fits.crossJoin(net)  # jobs times the network's atoms: what is to be reported
     placed = placed.select("structure_id", "n_ordinal", "category", "t_resname", "t_resnum", "t_chain", "t_atom", "moiety", "interactor", *[c.alias(n) for c, n in zip(matching.moved(), "xyz", strict=True)])
     dry = query.where(~F.upper(F.trim("resname")).isin(*chemistry.WATERS)).select("structure_id", "ordinal", F.upper(F.trim("resname")).alias("resname"), "resnum", "chain", F.upper(F.trim("atom_name")).alias("atom_name"), "element", "x", "y", "z")
-    near = distance.nearest(placed, dry, ["structure_id"], ["ordinal"], strategy="keyed")
+    near = distance.nearest(placed, dry, ["structure_id"], ["ordinal"])
     hit = F.coalesce(F.col("d") <= cutoff, F.lit(False))
     yes = lambda c: F.when(F.coalesce(c, F.lit(False)), "Y").otherwise("N")
     matches = near.select(
@@ -100,7 +100,7 @@ def match_residues(template: DataFrame, query: DataFrame, cutoff: float, key: Se
     t = residues.centroids(template, list(key))
     q = residues.centroids(query, ["structure_id", *key])
     jobs = query.select("structure_id").distinct()
-    near = distance.nearest(jobs.crossJoin(t), q, ["structure_id"], [*key], cutoff=cutoff, strategy="keyed")
+    near = distance.nearest(jobs.crossJoin(t), q, ["structure_id"], [*key], cutoff=cutoff)
     return near.select("l.structure_id", F.col("l.resnum").alias("template_resnum"), F.col("l.resname").alias("template_resname"), F.col("r.resnum").alias("query_resnum"), F.col("r.resname").alias("query_resname"), F.col("d").alias("distance"))
 
 
@@ -110,6 +110,6 @@ def evaluate_ca(template: DataFrame, query: DataFrame, cutoff: float) -> DataFra
     ca = F.col("atom_name") == "CA"
     jobs = query.select("structure_id").distinct()
     t = template.where(ca).select(F.col("ordinal").alias("t"), "x", "y", "z")
-    near = distance.nearest(jobs.crossJoin(t), query.where(ca).select("structure_id", "ordinal", "x", "y", "z"), ["structure_id"], ["ordinal"], strategy="keyed")
-    hit = F.coalesce(F.col("d") <= cutoff, F.lit(False))
+    near = distance.nearest(jobs.crossJoin(t), query.where(ca).select("structure_id", "ordinal", "x", "y", "z"), ["structure_id"], ["ordinal"], cutoff)
+    hit = F.col("d").isNotNull()
     return near.groupBy("l.structure_id").agg(F.count("*").alias("total"), F.count_if(hit).alias("matches"), F.count_if(~hit).alias("misses"), F.avg(F.when(hit, F.col("d"))).alias("mean_distance"))

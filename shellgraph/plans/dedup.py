@@ -37,15 +37,14 @@ def keep_chains(atoms: DataFrame, by: str = "sequence", mask: Sequence[str] = ()
     holds the mask, else the first. ``collapse``: where several kept chains hold the mask, only the smallest stays,
     and nothing else of that structure."""
     signed = chains(atoms, by)
-    groups = residues.duplicate_groups(signed, ["structure_id"], "chain", mask, mode)
-    extra = groups.select("structure_id", "canonical", F.explode("members").alias("chain")).where("chain <> canonical")
+    extra = residues.duplicates(signed, ["structure_id"], "chain", mask, mode)
     kept = atoms.select("structure_id", "chain").distinct().join(extra, ["structure_id", "chain"], "left_anti")
     if not (collapse and mask):
         return kept
     m = F.array(*[F.lit(x) for x in mask])
     fits = (F.size(F.array_except(m, "present")) == 0) if mode == "all" else F.arrays_overlap(m, "present")
     holding = signed.where(fits).join(kept, ["structure_id", "chain"], "left_semi").groupBy("structure_id").agg(F.min("chain").alias("only"), F.count("*").alias("n")).where("n > 1")
-    touched = holding.join(groups.select("structure_id").distinct(), "structure_id", "left_semi")
+    touched = holding.join(extra.select("structure_id").distinct(), "structure_id", "left_semi")
     out = kept.join(touched, "structure_id", "left")
     return out.where("only is null or chain = only").select("structure_id", "chain")
 

@@ -76,8 +76,8 @@ def seeds(atoms: DataFrame, around: DataFrame, excluded: DataFrame, s: Settings)
 
 
 def links(sources: DataFrame, targets: DataFrame, kind: str, s: Settings) -> DataFrame:
-    """An edge from the nearest source to each target, the first source of equally near ones."""
-    found = distance.nearest(targets, sources, ["structure_id"], ["ordinal"], strategy=s.strategy).where("r is not null")
+    """An edge from the nearest source to each target within the cutoff, the first source of equally near ones."""
+    found = distance.nearest(targets, sources, ["structure_id"], ["ordinal"], s.cutoff, s.strategy).where("r is not null")
     label = (lambda c: F.lit("")) if s.strict_parity else (lambda c: F.col(c))
     side = lambda t, n: [F.col(f"{t}.resname").alias(f"{n}_resname"), F.col(f"{t}.resnum").alias(f"{n}_resnum"), F.col(f"{t}.chain").alias(f"{n}_chain"), F.col(f"{t}.atom_name").alias(f"{n}_atom"), label(f"{t}.moiety").alias(f"{n}_moiety")]
     return found.select(F.col("l.structure_id").alias("structure_id"), F.lit(kind).alias("link_type"), *side("r", "src"), *side("l", "dst"), F.col("d").alias("distance_A"))

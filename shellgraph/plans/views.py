@@ -42,6 +42,6 @@ def conserved(n: network.Network, numbers: list[int]) -> DataFrame:
 
 def cube_matches(template: DataFrame, query: DataFrame, cutoff: float) -> DataFrame:
     """By structure, CA atoms of the template with a CA of the query's cube within the cutoff: matches, total, percent."""
-    near = distance.nearest(query.select("structure_id").distinct().crossJoin(template.where("atom_name = 'CA'").select("ordinal", "x", "y", "z")), network.cube(query, template, cutoff).where("atom_name = 'CA'").select("structure_id", "ordinal", "x", "y", "z"), ["structure_id"], ["ordinal"], strategy="keyed")
-    hit = F.coalesce(F.col("d") <= cutoff, F.lit(False))
+    near = distance.nearest(query.select("structure_id").distinct().crossJoin(template.where("atom_name = 'CA'").select("ordinal", "x", "y", "z")), network.cube(query, template, cutoff).where("atom_name = 'CA'").select("structure_id", "ordinal", "x", "y", "z"), ["structure_id"], ["ordinal"], cutoff)
+    hit = F.col("d").isNotNull()
     return near.groupBy("l.structure_id").agg(F.count_if(hit).alias("matches"), F.count("*").alias("total"), (F.count_if(hit) * 100.0 / F.count("*")).alias("percent"))

@@ -55,7 +55,7 @@ def _part_pairs(spark, d, strategy):
 
 
 def distance_pairs(spark, d):
-    return _part_pairs(spark, d, "keyed")
+    return _part_pairs(spark, d, "broadcast")
 
 
 def distance_pairs_grid(spark, d):
@@ -155,18 +155,36 @@ def moiety_wildcards(spark, d):
 
 
 def centroid_match(spark, d):
-    """Residues of label 0 against those of the labels 1 to 3, each a structure of its own."""
+    """Residues of label 0 against those of all other labels, each a structure of its own."""
     p = points(spark, d).select(F.col("label").cast("string").alias("structure_id"), F.col("resnum").cast("int").alias("resnum"), F.lit("R").alias("resname"), F.col("vec_id").alias("ordinal"), "x", "y", "z")
-    near = compare.match_residues(p.where("structure_id = '0'").drop("structure_id"), p.where("structure_id in ('1', '2', '3')"), 0.6)
+    near = compare.match_residues(p.where("structure_id = '0'").drop("structure_id"), p.where("structure_id <> '0'"), 0.6)
     return near.select("structure_id", "template_resnum", "query_resnum", F.round("distance", 6).alias("distance"))
 
 
 def ca_evaluation(spark, d):
     p = points(spark, d).select(F.col("label").cast("string").alias("structure_id"), F.when(F.col("slot") < 2, "CA").otherwise("CB").alias("atom_name"), F.col("vec_id").alias("ordinal"), "x", "y", "z")
-    out = compare.evaluate_ca(p.where("structure_id = '0'"), p.where("structure_id in ('1', '2', '3')"), 0.6)
+    out = compare.evaluate_ca(p.where("structure_id = '0'"), p.where("structure_id <> '0'"), 0.6)
     return out.select("structure_id", "total", "matches", "misses", F.round("mean_distance", 6).alias("mean_distance"))
 
 
+_CENTRE = [names[0] for names in compare.ATOM_NAMES]
+
+
+def network_comparison(spark, d):
+    """Every second point as a template network, matched to three structures that hold the others by their number's third
+    part, each turned and moved with its centre; the fit has to bring the network back."""
+    a = atoms(spark, d).withColumn("resnum", F.col("ordinal").cast("int"))
+    names = F.element_at(F.array(*[F.lit(n) for n in _CENTRE]), (F.col("ordinal") % len(_CENTRE) + 1).cast("int"))
+    centre = a.where("chain = '0'").withColumns({"atom_name": names, "resnum": F.lit(1), "chain": F.lit("Z")})
+    net = a.where("chain <> '0' and ordinal % 2 = 0").select(F.lit("PCS").alias("category"), "resname", "resnum", "chain", "atom_name", F.lit("m").alias("moiety"), F.lit("interactor").alias("interactor"), "x", "y", "z", "ordinal")
+    parts = [a.where(f"chain <> '0' and ordinal % 2 = 1 and ordinal % 3 = {j}").unionByName(centre).withColumn("structure_id", F.lit(f"s{j}")) for j in range(3)]
+    moved = [(-F.col("y") + 3).alias("x"), (F.col("x") - 1).alias("y"), (F.col("z") + 2).alias("z")]
+    query = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    query = query.select(*[c for c in query.columns if c not in "xyz"], *moved)
+    m = compare.compare(centre, net, query, cutoff=0.3).matches
+    return m.select("job_name", "ordinal", "query_residue", "query_resnum", "query_atom", F.round("distance_A", 6).alias("distance"), "same_residue_name", "same_atom_name", "matched_within_cutoff")
+
+
 def residues_of_interest(spark, d):
     return network.residues_of_interest(atoms(spark, d), [3, 7, 20], ["OEX "]).select("ordinal", "resname", "resnum", "group")
 
@@ -226,7 +244,7 @@ def _signed(spark, d):
 
 def duplicate_signature_groups(spark, d):
     g = residues.duplicate_groups(_signed(spark, d), [], "l_orderkey")
-    return g.select(F.array_join("signature", ",").alias("signature"), F.size("members").cast("long").alias("n"), F.col("canonical").alias("first"))
+    return g.select(F.array_join("signature", ",").alias("signature"), "n", F.col("canonical").alias("first"))
 
 
 def mask_preferred_canonical(spark, d):
@@ -234,12 +252,12 @@ def mask_preferred_canonical(spark, d):
     signed = residues.signatures(parts, ["l_orderkey"], F.col("l_linestatus"), ["l_linenumber", "l_partkey", "l_returnflag", "l_linestatus"])
     signed = signed.join(parts.groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("present")), "l_orderkey")
     g = residues.duplicate_groups(signed, [], "l_orderkey", mask=["A", "N"], mode="all")
-    return g.select(F.array_join("signature", ",").alias("signature"), F.size("members").cast("long").alias("n"), F.size("matching").cast("long").alias("n_matching"), "canonical")
+    return g.select(F.array_join("signature", ",").alias("signature"), "n", "n_matching", "canonical")
 
 
 def cutoff_sweep(spark, d):
     p = points(spark, d)
-    near = distance.nearest(p.where("label <> 0"), p.where("label = 0"), [], ["vec_id"])
+    near = distance.nearest(p.where("label <> 0"), p.where("label = 0"), [], ["vec_id"], cutoff=4.0)
     s = matching.cutoff_sweep(near.select(F.col("l.label").alias("label"), "d"), "label", "d")
     return s.select(F.round("cutoff", 1).alias("cutoff"), F.round("mean_matches", 6).alias("mean_matches"), F.round("std_matches", 6).alias("std_matches"))
 
@@ -344,7 +362,7 @@ def combinatorial_pairs(spark, d):
 
 def interactor_self_join(spark, d):
     """Names of other points near one of a group's points, and whether a point interacts at all."""
-    p = points(spark, d).where("label < 6")
+    p = points(spark, d)
     near = distance.pairs(p, p, ["slot"], 0.35, "grid").where("l.vec_id <> r.vec_id")
     heard = near.groupBy("l.vec_id").agg(residues.names_list(F.col("r.label").cast("string")).alias("names"))
     return lookup.flag_members(p, heard, ["vec_id"], "interacts").join(heard, "vec_id", "left").select("vec_id", F.coalesce("names", F.lit("")).alias("names"), "interacts")
@@ -422,17 +440,22 @@ ORACLE = {
         SELECT w.resnum, CAST(w.label AS VARCHAR) AS chain, atom_name, min(m) AS moiety, min(together) AS together, count(*) AS n
         FROM w LEFT JOIN t ON t.label = w.label AND t.resnum = w.resnum AND t.moiety = m GROUP BY ALL""",
     "centroid_match": f"""WITH {_P}, c AS (SELECT label, resnum, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY ALL),
-        n AS (SELECT b.label, a.resnum AS template_resnum, b.resnum AS query_resnum, {_D.format('a', 'b')} AS d FROM c a JOIN c b ON a.label = 0 AND b.label IN (1, 2, 3) AND {_D.format('a', 'b')} <= 0.6),
+        n AS (SELECT b.label, a.resnum AS template_resnum, b.resnum AS query_resnum, {_D.format('a', 'b')} AS d FROM c a JOIN c b ON a.label = 0 AND b.label <> 0 AND {_D.format('a', 'b')} <= 0.6),
         r AS (SELECT *, row_number() OVER (PARTITION BY label, template_resnum ORDER BY d, query_resnum) AS rn FROM n)
         SELECT CAST(j.label AS VARCHAR) AS structure_id, c.resnum AS template_resnum, r.query_resnum, round(r.d, 6) AS distance
-        FROM c CROSS JOIN (SELECT DISTINCT label FROM p WHERE label IN (1, 2, 3)) j LEFT JOIN r ON r.label = j.label AND r.template_resnum = c.resnum AND rn = 1 WHERE c.label = 0""",
-    "ca_evaluation": f"""WITH {_P}, n AS (SELECT b.label, a.vec_id, min({_D.format('a', 'b')}) AS d FROM p a JOIN p b ON a.label = 0 AND b.label IN (1, 2, 3) AND a.slot < 2 AND b.slot < 2 GROUP BY ALL)
+        FROM c CROSS JOIN (SELECT DISTINCT label FROM p WHERE label <> 0) j LEFT JOIN r ON r.label = j.label AND r.template_resnum = c.resnum AND rn = 1 WHERE c.label = 0""",
+    "ca_evaluation": f"""WITH {_P}, n AS (SELECT b.label, a.vec_id, min({_D.format('a', 'b')}) AS d FROM p a JOIN p b ON a.label = 0 AND b.label <> 0 AND a.slot < 2 AND b.slot < 2 GROUP BY ALL)
         SELECT CAST(label AS VARCHAR) AS structure_id, count(*) AS total, count(*) FILTER (d <= 0.6) AS matches, count(*) FILTER (d > 0.6) AS misses, round(avg(d) FILTER (d <= 0.6), 6) AS mean_distance FROM n GROUP BY label""",
+    "network_comparison": f"""WITH {_A}, n AS (SELECT * FROM a WHERE label <> 0 AND vec_id % 2 = 0), q AS (SELECT vec_id % 3 AS j, vec_id, resname, CAST(vec_id AS INTEGER) AS resnum, atom_name, x, y, z FROM a WHERE label NOT IN (0, 9) AND vec_id % 2 = 1
+            UNION ALL SELECT j, c.vec_id, 'OEX', 1, list_extract({_CENTRE}, CAST(vec_id % {len(_CENTRE)} AS INTEGER) + 1), x, y, z FROM a c CROSS JOIN range(3) t(j) WHERE label = 0),
+        r AS (SELECT n.vec_id AS ordinal, n.resname AS t_resname, n.atom_name AS t_atom, q.*, {_D.format('n', 'q')} AS d, row_number() OVER (PARTITION BY q.j, n.vec_id ORDER BY {_D.format('n', 'q')}, q.vec_id) AS rn FROM n CROSS JOIN q)
+        SELECT 's' || j AS job_name, ordinal, resname AS query_residue, resnum AS query_resnum, atom_name AS query_atom, round(d, 6) AS distance, CASE WHEN resname = t_resname THEN 'Y' ELSE 'N' END AS same_residue_name,
+            CASE WHEN atom_name = t_atom THEN 'Y' ELSE 'N' END AS same_atom_name, CASE WHEN d <= 0.3 THEN 'Y' ELSE 'N' END AS matched_within_cutoff FROM r WHERE rn = 1""",
     "residues_of_interest": f"""WITH {_A} SELECT vec_id AS ordinal, resname, resnum, CASE WHEN resname = 'OEX' THEN 'cofactor' ELSE 'residue' END AS "group" FROM a WHERE resname = 'OEX' OR resnum IN (4, 8, 21)""",
     "kabsch_relations": "SELECT label, count(*) AS n, CAST(0 AS DOUBLE) AS bent, CAST(1 AS DOUBLE) AS det, CAST(0 AS DOUBLE) AS skew, CAST(0 AS DOUBLE) AS off FROM embeddings GROUP BY label",
     "json_priority_coalesce": "SELECT user_id, sum(coalesce(CAST(json_extract_string(props, '$.missing') AS DOUBLE), CAST(json_extract_string(props, '$.k') AS DOUBLE), 0)) AS total, count(json_extract_string(props, '$.k')) AS present FROM events GROUP BY user_id",
     "combinatorial_pairs": f"WITH {_P} SELECT a.vec_id, a.label, round(min({_D.format('a', 'b')}), 6) AS min_distance FROM p a JOIN p b ON (a.label, b.label) IN ((3, 4), (4, 3)) AND {_D.format('a', 'b')} <= 0.4 GROUP BY a.vec_id, a.label",
-    "interactor_self_join": f"WITH {_P}, q AS (SELECT * FROM p WHERE label < 6), h AS (SELECT a.vec_id, string_agg(DISTINCT CAST(b.label AS VARCHAR), ', ' ORDER BY CAST(b.label AS VARCHAR)) AS names FROM q a JOIN q b ON a.slot = b.slot AND a.vec_id <> b.vec_id AND {_D.format('a', 'b')} <= 0.35 GROUP BY a.vec_id) SELECT q.vec_id, coalesce(names, '') AS names, names IS NOT NULL AS interacts FROM q LEFT JOIN h ON q.vec_id = h.vec_id",
+    "interactor_self_join": f"WITH {_P}, q AS (SELECT * FROM p), h AS (SELECT a.vec_id, string_agg(DISTINCT CAST(b.label AS VARCHAR), ', ' ORDER BY CAST(b.label AS VARCHAR)) AS names FROM q a JOIN q b ON a.slot = b.slot AND a.vec_id <> b.vec_id AND {_D.format('a', 'b')} <= 0.35 GROUP BY a.vec_id) SELECT q.vec_id, coalesce(names, '') AS names, names IS NOT NULL AS interacts FROM q LEFT JOIN h ON q.vec_id = h.vec_id",
     "preference_tiebreak": f"WITH {_P}, n AS ({_NEAREST} WHERE a.label <> 0 AND b.label = 0) SELECT vec_id // 5 AS resnum, vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY round(d, 6), CASE label WHEN 5 THEN 0 WHEN 3 THEN 1 ELSE 9 END, vec_id) AS r FROM n WHERE rn = 1 AND d <= 2.0) WHERE r = 1",
     "run_status_counts": "WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1) SELECT count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus IS NULL) AS skipped, count(*) FILTER (o_orderstatus <> 'F') AS failed FROM customer LEFT JOIN f ON c_custkey = o_custkey",
 }
@@ -443,5 +466,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     residue_breakdown, category_precedence, first_by_key_dedup, duplicate_signature_groups, mask_preferred_canonical, cutoff_sweep, cube_filter, bond_rule_join,
     pivot_matrix, frequency_breakdown, rmsd_by_group, covariance_3x3, kabsch_alignment, set_ops, expansion_union, json_priority_coalesce, combinatorial_pairs,
     interactor_self_join, preference_tiebreak, run_status_counts, moiety_lookup, moiety_wildcards, centroid_match, ca_evaluation, residues_of_interest,
-    kabsch_relations,
+    kabsch_relations, network_comparison,
 )}

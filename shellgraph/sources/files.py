@@ -101,12 +101,19 @@ def locate_models(spark: SparkSession, root: str, samples: DataFrame) -> DataFra
 
 
 def confidences(spark: SparkSession, root: str, samples: DataFrame) -> DataFrame:
-    """``samples`` with the five figures of the first readable of the sample's and the run's summary file."""
+    """``samples`` with the five figures of the sample's own ``summary_confidences.json``, else of the run's
+    ``<run>_summary_confidences.json``, whichever is there first and holds a JSON object; other files of such names don't
+    count. Figures that a file lacks are null."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*summary_confidences.json").text(root, wholetext=True)
-    rows = rows.select(_folder(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")).alias("dir"), F.from_json("value", CONFIDENCES).alias("c")).where("c is not null and (c.iptm is not null or c.ptm is not null or c.ranking_score is not null)").dropDuplicates(["dir"])
-    own = F.concat_ws("/", "run_dir", F.concat(F.lit("seed-"), F.col("seed"), F.lit("_sample-"), F.col("sample")))
-    out = samples.withColumn("__own", own).join(rows.withColumnsRenamed({"dir": "__own", "c": "__c1"}), "__own", "left").join(rows.withColumnsRenamed({"dir": "run_dir", "c": "__c2"}), "run_dir", "left")
-    return out.withColumn("confidence", F.coalesce("__c1", "__c2")).drop("__own", "__c1", "__c2")
+    rows = rows.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("__p"), F.from_json("value", CONFIDENCES).alias("c"), "value")
+    readable = F.expr("try_parse_json(value)")
+    rows = rows.where(F.schema_of_variant(readable).startswith("OBJECT")).drop("value")
+    sample = F.concat(F.lit("seed-"), F.col("seed"), F.lit("_sample-"), F.col("sample"))
+    run = F.regexp_extract("run_dir", r"([^/]+)$", 1)
+    out = samples.withColumns({"__own": F.concat_ws("/", "run_dir", sample, F.lit("summary_confidences.json")), "__all": F.concat(F.col("run_dir"), F.lit("/"), run, F.lit("_summary_confidences.json"))})
+    for name, found in (("__own", "__c1"), ("__all", "__c2")):
+        out = out.join(rows.withColumnsRenamed({"__p": name, "c": found}), name, "left")
+    return out.withColumn("confidence", F.coalesce("__c1", "__c2")).drop("__own", "__all", "__c1", "__c2")
 
 
 def read_synonyms(spark: SparkSession, path: str) -> tuple[list[list[str]], list[list[str]]]:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import datasource
+
 # The headings of the report files.
 RESIDUE_COLUMNS = ["Residue Category", "Residue Name", "Residue Number", "Chain", "Chemical Moiety", "Interactors"]
 RESIDUE_ATOM_COLUMNS = ["Residue Category", "Residue Name", "Residue Number", "Chain", "Atom", "x", "y", "z"]
@@ -109,18 +111,14 @@ def _glob(spark: SparkSession, pattern: str) -> list[str]:
 
 def save_pdb(atoms: DataFrame, targets: dict[str, str], work: str) -> None:
     """The atoms of each structure as a PDB file at its path in ``targets``, one task's work each; a structure without
-    atoms becomes an empty model. All are written in one job below the folder ``work``, then renamed."""
+    atoms becomes an empty model. Files get their names when all are written, and none does where a task fails;
+    ``work`` is a folder for temporary names."""
     spark = atoms.sparkSession
-    numbers = spark.createDataFrame([(name, i) for i, name in enumerate(targets)], "structure_id string, n int")
-    ends = numbers.select("n", F.lit((1 << 63) - 1).alias("ordinal"), F.lit("END").alias("value"))
-    lines = pdb_lines(atoms).join(F.broadcast(numbers), "structure_id").select("n", "ordinal", "value").unionByName(ends)  # a row for each input file
-    lines.repartition("n").sortWithinPartitions("n", "ordinal").select("n", "value").write.mode("overwrite").partitionBy("n").text(work)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(work).getFileSystem(spark._jsc.hadoopConfiguration())
-    for i, path in enumerate(targets.values()):
-        (part,) = _glob(spark, f"{work}/n={i}/part-*")
-        fs.rename(fs_path(part), fs_path(path))
-    fs.delete(fs_path(work), True)
+    datasource.register(spark)
+    names = spark.createDataFrame(list(targets.items()), "structure_id string, path string")  # a row for each input file
+    ends = names.select("path", F.lit((1 << 63) - 1).alias("ordinal"), F.lit("END").alias("value"))
+    lines = pdb_lines(atoms).join(names, "structure_id").select("path", "ordinal", "value").unionByName(ends)
+    lines.repartition("path").sortWithinPartitions("path", "ordinal").write.format("line_files").mode("append").option("path", work).save()
 
 
 def pdb_lines(atoms: DataFrame) -> DataFrame:

@@ -165,14 +165,66 @@ def test_kabsch_recovers_rotations(spark):
     assert worst < 1e-9
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_distance_strategies_agree(spark, seed):
+def brute_pairs(rows, cutoff):
+    out = []
+    for i, k, *p in rows:
+        for j, m, *q in rows:
+            if k is not None and k == m and None not in (*p, *q):
+                d = float(np.sqrt(sum((a - b) ** 2 for a, b in zip(p, q, strict=True))))
+                if d <= cutoff:
+                    out.append((i, j, round(d, 9)))
+    return sorted(out)
+
+
+def cloud(seed, n, spread=3.0):
+    """Points in a dense cluster, a loose one and far away, some of them equal, with odd rows."""
     rng = np.random.default_rng(seed)
-    pts = spark.createDataFrame([(i, int(i % 3), *map(float, rng.normal(size=3) * 3)) for i in range(400)] + [(900, None, 0.0, 0.0, 0.0), (901, 1, None, 0.0, 0.0)], "i long, k long, x double, y double, z double")
-    found = [sorted((r.l.i, r.r.i, round(r.d, 9)) for r in distance.pairs(pts, pts, ["k"], 1.3, s).collect()) for s in ("keyed", "grid", "broadcast", "auto")]
-    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) > 400
-    near = [sorted((r.l.i, r.r.i if r.r else None) for r in distance.nearest(pts, pts.where("i % 7 = 0"), ["k"], ["i"], strategy=s).collect()) for s in ("keyed", "grid")]
-    assert near[0] == near[1] and len(near[0]) == 402
+    scale = np.array([0.01, 1.0, 20.0])[rng.integers(0, 3, n)]
+    rows = [(i, i % 3, *map(float, rng.normal(size=3) * spread * s)) for i, s in enumerate(scale)]
+    return rows + [(n + 1, *rows[5][1:]), (n + 2, None, 0.0, 0.0, 0.0), (n + 3, 1, None, 0.0, 0.0), (n + 4, 7, 1.0, 1.0, 1.0)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pairs(spark, seed):
+    rows = cloud(seed, 300)
+    pts = spark.createDataFrame(rows, "i long, k long, x double, y double, z double")
+    for s in ("grid", "broadcast", "auto"):
+        assert sorted((r.l.i, r.r.i, round(r.d, 9)) for r in distance.pairs(pts, pts, ["k"], 1.3, s).collect()) == brute_pairs(rows, 1.3)
+    with pytest.raises(ValueError):
+        distance.pairs(pts, pts, ["k"], 1.3, "keyed")
+
+
+@pytest.mark.parametrize("seed,n,every", [(1, 300, 7), (2, 900, 1), (3, 20, 3), (4, 400, 399)])
+def test_nearest_by_octree(spark, seed, n, every):
+    rows = cloud(seed, n)
+    pts = spark.createDataFrame(rows, "i long, k long, x double, y double, z double")
+    right = [r for r in rows if r[0] % every == 0]
+    want = []
+    for i, k, *p in rows:
+        d = [(float(np.sqrt(sum((a - b) ** 2 for a, b in zip(p, q, strict=True)))), j) for j, m, *q in right if k is not None and m == k and None not in (*p, *q)]
+        want.append((i, min(d)[1] if d else -1))
+    got = distance.nearest(pts.repartition(3), pts.where(f"i % {every} = 0"), ["k"], ["i"])
+    assert sorted((r.l.i, r.r.i if r.r else -1) for r in got.collect()) == sorted(want)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    empty = distance.nearest(pts, pts.where("false"), ["k"], ["i"])
+    assert empty.where("r is null and d is null").count() == len(rows)
+
+
+def test_nearest_in_one_large_structure(spark):
+    """A lattice of which every point's nearest is known, a third of it squeezed into one place, no keys."""
+    left = spark.range(40_000).selectExpr("id", "double(id % 50) as x", "double(id div 50 % 50) as y", "double(id div 2500) + 0.25 as z")
+    dense = spark.range(10_000).selectExpr("-id - 1 as id", "-5.0 - 1e-6 * (id % 31) as x", "-5.0 - 1e-6 * (id div 31 % 31) as y", "-5.0 - 1e-6 * (id div 961) as z")
+    right = left.withColumn("z", left.z - 0.25).union(dense)
+    got = distance.nearest(left, right, [], ["id"])
+    assert got.where("l.id <> r.id or d <> 0.25").count() == 0 and got.count() == 40_000
+
+
+def test_equal_rows_stay(spark):
+    """Joins keep a bag: rows equal in all columns come out as often as they went in."""
+    one = spark.createDataFrame([(1, 0.0, 0.0, 0.0)] * 3 + [(2, 9.0, 9.0, 9.0)], "i int, x double, y double, z double")
+    near = one.where("i = 1").limit(1)
+    assert distance.within(one, near, [], 1.0).count() == 3
+    assert distance.nearest(one, near, [], ["i"]).count() == distance.nearest(one, near, [], ["i"], cutoff=1.0).count() == 4
 
 
 def test_chain_dedup(spark):
@@ -224,7 +276,7 @@ def runs(tmp_path):
     head = "seed,sample,ranking_score\n"
     put("a/ranking_scores.csv", head + "1,0,0.9\n1,1,0.9\n2,0,bad\n,3,1.0\n3,0,NaN\n")
     put("a/seed-1_sample-0/model.cif", _cif(OEX))
-    put("a/x_summary_confidences.json", json.dumps({"iptm": 0.5, "ptm": 0.6, "ranking_score": 0.9, "has_clash": 0}))
+    put("a/a_summary_confidences.json", json.dumps({"iptm": 0.5, "ptm": 0.6, "ranking_score": 0.9, "has_clash": 0}))
     put("b/ranking_scores.csv", head)
     put("c/ranking_scores.csv", head + "1,0,0.1\n")
     put("d/ranking_scores.csv", head + "1,0,0.1\n")
@@ -290,7 +342,7 @@ def test_argmax_skips_nan(spark):
 def test_signatures_empty_mask(spark):
     df = spark.createDataFrame([("x", ["a"], ["m"]), ("y", ["a"], ["n"])], "id string, signature array<string>, present array<string>")
     g = residues.duplicate_groups(df, [], "id").first()
-    assert g.canonical == "x" and g.matching == []
+    assert g.canonical == "x" and g.n_matching == 0
 
 
 def test_co_moiety(spark):
@@ -305,3 +357,35 @@ def test_preference(spark):
     df = spark.createDataFrame([(1, "COO", "OD2", 2.0), (1, "COO", "OD1", 2.0000000001), (1, "COO", "ZZ", 2.0), (2, "x", "B", 1.0), (2, "x", "A", 1.0), (2, "x", "C", 0.9)], "g long, moiety string, name string, d double")
     best = topk.keep_closest(df, ["g"], "d", topk.preference_of("moiety", "name", chemistry.PREFERRED), "name")
     assert {(r.g, r.name) for r in best.collect()} == {(1, "OD1"), (2, "C")}
+
+
+def test_one_signature_of_very_many_chains(spark):
+    """No row holds the members of a group."""
+    df = spark.range(300_000).selectExpr("id", "array('GLY', cast(id % 3 div 2 as string)) as signature", "array('HEM') as present").repartition(6)
+    g = {r.canonical: r.n for r in residues.duplicate_groups(df, [], "id").collect()}
+    assert g == {0: 200_000, 2: 100_000}
+    assert residues.duplicates(df, [], "id", mask=["HEM"]).groupBy("canonical").count().collect() == residues.duplicates(df, [], "id").groupBy("canonical").count().collect()
+    assert residues.duplicates(df, [], "id").count() == 299_998
+
+
+def test_confidences_are_those_of_the_named_files(spark, tmp_path):
+    """Beside the two files that count lie others of like names; a file with one figure counts, a broken one doesn't."""
+    from shellgraph.sources import files
+
+    def put(path, text):
+        p = tmp_path / path
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+
+    put("r1/r1_summary_confidences.json", '{"iptm": 0.9}')
+    put("r1/a_summary_confidences.json", '{"iptm": 0.1, "ptm": 0.1}')
+    put("r1/seed-1_sample-0/other_summary_confidences.json", '{"iptm": 0.2}')
+    put("r2/seed-1_sample-0/summary_confidences.json", '{"has_clash": false}')
+    put("r2/r2_summary_confidences.json", '{"iptm": 0.3}')
+    put("r3/seed-1_sample-0/summary_confidences.json", "{broken")
+    put("r3/r3_summary_confidences.json", '{"ptm": 0.4}')
+    put("r4/z_summary_confidences.json", '{"ptm": 0.5}')
+    runs = spark.createDataFrame([(f"{tmp_path}/r{k}", "1", "0") for k in (1, 2, 3, 4)], "run_dir string, seed string, sample string")
+    got = {r.run_dir[-2:]: r.confidence for r in files.confidences(spark, str(tmp_path), runs).collect()}
+    assert got["r1"].iptm == 0.9 and got["r1"].ptm is None and got["r4"] is None
+    assert got["r2"].has_clash == "false" and got["r2"].iptm is None and got["r3"].ptm == 0.4

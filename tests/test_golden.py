@@ -85,9 +85,9 @@ def test_batch_of_structures(spark, net, tmp_path):
         shutil.copy(PDB, tmp_path / f"copy{i}.pdb.pdb")
     many = structures.read_pdb(spark, f"{tmp_path}/*.pdb")
     found = {}
-    for strategy in ("grid", "keyed", "broadcast"):
+    for strategy in ("grid", "broadcast"):
         edges = network.coordination_network(many, network.Settings(("OEX",), strategy=strategy)).edges.collect()
         found[strategy] = sorted(map(str, edges))
         assert {r.structure_id for r in edges} == {f"copy{i}" for i in range(4)}
-    assert found["grid"] == found["keyed"] == found["broadcast"] and len(found["grid"]) == 4 * net.edges.count()
+    assert found["grid"] == found["broadcast"] and len(found["grid"]) == 4 * net.edges.count()
     assert dedup.keep_chains(many).count() == many.select("structure_id", "chain").distinct().count()
