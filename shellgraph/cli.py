@@ -1,4 +1,4 @@
-"""Command line: ``python -m shellgraph network|compare|batch|dedup``.
+"""Command line: ``python -m shellgraph network|compare|batch|evaluate|dedup``.
 
 Every command takes many structures at once where the job allows it; reports go to folders by structure.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .plans import batch, compare, dedup, network
-from .sources import files, reports, structures
+from .sources import datasource, files, ledger, reports, structures
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,6 +44,12 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("--outdir", default="matches")
     c.add_argument("--query-structure", required=True, nargs="+")
     c.add_argument("--job-name", required=True)
+    c.add_argument("--write-names", help="write the names used to this file, if there is none")
+    e = sub.add_parser("evaluate", help="count a template's CA atoms that structures have nearby")
+    e.add_argument("--template", required=True)
+    e.add_argument("--pattern", required=True, help="file, folder or pattern of structures")
+    e.add_argument("--cutoff", type=float, default=1.0)
+    e.add_argument("--outdir", default="evaluation")
     b.add_argument("--root", "--af3-root", dest="root", required=True)
     b.add_argument("--job-prefix", default="batch")
     d = sub.add_parser("dedup", help="remove duplicate chains")
@@ -93,6 +99,8 @@ def run_compare(spark: SparkSession, a: argparse.Namespace) -> None:
     listed, net = _template(spark, a)
     names = files.read_synonyms(spark, a.names) if a.names else (compare.RESIDUE_NAMES, compare.ATOM_NAMES)
     c = compare.compare(listed, net, structures.read_structures(spark, [files.resolve(q) for q in a.query_structure]), a.match_cutoff, *names)
+    if a.write_names:
+        files.write_synonyms(a.write_names, *names)
     out = f"{a.outdir}/{a.job_name}"
     matches = c.matches.persist()
     if matches.isEmpty():
@@ -100,7 +108,7 @@ def run_compare(spark: SparkSession, a: argparse.Namespace) -> None:
     reports.save_csv(matches.orderBy("job_name", "ordinal").drop("ordinal"), f"{out}/network_match")
     flat = lambda d: d.withColumns({k: F.concat_ws(":", f"{k}.residue", F.col(f"{k}.resnum").cast("string"), f"{k}.chain") for k in ("template_centre", "query_centre")})
     reports.save_csv(flat(c.matrix).orderBy("structure_id", "atom"), f"{out}/alignment_matrix")
-    reports.save_csv(compare.fit_report(c), f"{out}/alignment_report", mode="append")
+    ledger.append(compare.fit_report(c), f"{out}/alignment_report")
     jobs = [r[0] for r in matches.select("job_name").distinct().sort("job_name").collect()]  # a page for each query file
     for job in jobs:
         text = reports.match_summary(job, c.rates.where(F.col("job_name") == job), matches.where((F.col("job_name") == job) & (F.col("matched_within_cutoff") == "N")).orderBy("ordinal"))
@@ -110,9 +118,16 @@ def run_compare(spark: SparkSession, a: argparse.Namespace) -> None:
 def run_batch(spark: SparkSession, a: argparse.Namespace) -> None:
     listed, net = _template(spark, a)
     manifest, summary = batch.run_batch(spark, a.root, listed, net, a.job_prefix, a.match_cutoff)
-    manifest = manifest.persist()
-    reports.save_csv(manifest.orderBy("run_dir"), f"{a.outdir}/manifest", mode="append")
-    reports.save_csv(summary.orderBy("run_dir"), f"{a.outdir}/summary")
+    # written once and read back, so that both tables come from one run of the comparison
+    ledger.append(manifest.orderBy("run_dir"), f"{a.outdir}/manifest")
+    done = ledger.latest(spark, f"{a.outdir}/manifest", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in manifest.schema), ["run_dir"])
+    reports.save_csv(done.where("status = 'ok'").select(summary.columns).orderBy("run_dir"), f"{a.outdir}/summary")
+
+
+def run_evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
+    paths = [p for p, _ in datasource.find_files(a.pattern)]
+    template = structures.read_structures(spark, [files.resolve(a.template)])
+    reports.save_evaluation(compare.evaluate_ca(template, structures.read_structures(spark, paths), a.cutoff), f"{a.outdir}/evaluation")
 
 
 def run_dedup(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -137,7 +152,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     if getattr(a, "outdir", None):
         os.makedirs(a.outdir, exist_ok=True)
     spark = SparkSession.builder.appName("shellgraph").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    {"network": run_network, "compare": run_compare, "batch": run_batch, "dedup": run_dedup}[a.command](spark, a)
+    {"network": run_network, "compare": run_compare, "batch": run_batch, "evaluate": run_evaluate, "dedup": run_dedup}[a.command](spark, a)
 
 
 if __name__ == "__main__":

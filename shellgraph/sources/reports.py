@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from . import datasource
+from . import datasource, ledger
 
 # The headings of the report files.
 RESIDUE_COLUMNS = ["Residue Category", "Residue Name", "Residue Number", "Chain", "Chemical Moiety", "Interactors"]
@@ -89,18 +89,20 @@ def save_evaluation(results: DataFrame, path: str) -> None:
     save_csv(results.withColumnRenamed("structure_id", "Query_File").orderBy("Query_File"), path)
 
 
-def read_job_metrics(spark: SparkSession, outdir: str) -> DataFrame:
+FITS = "job_name string, template_residue string, template_resnum string, template_chain string, query_residue string, query_resnum string, query_chain string, n_atoms long, atoms_used string, rmsd double"
+
+
+def read_job_metrics(spark: SparkSession, outdir: str, strict_parity: bool = True) -> DataFrame:
     """(job_name, rmsd, matched, total, percent) of all comparisons below ``outdir``, from their alignment reports and
-    match tables. The first report of a job counts, as reports are appended to; what is missing is null."""
-    read = lambda name: spark.read.option("header", "true").option("recursiveFileLookup", "true").csv(f"{outdir}/*/{name}")
-    have = lambda name: bool(_glob(spark, f"{outdir}/*/{name}"))
-    fits = spark.createDataFrame([], "job_name string, rmsd double")
-    if have("alignment_report"):
-        rows = read("alignment_report").select("job_name", F.expr("try_cast(rmsd as double)").alias("rmsd"), F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("at"))
-        fits = rows.groupBy("job_name").agg(F.min_by("rmsd", "at").alias("rmsd"))
+    match tables; what is missing is null. With parity the first report of a job counts, as reports are appended to;
+    else the last, which belongs to the match table."""
+    best = ledger.latest(spark, f"{outdir}/*/alignment_report", FITS, ["job_name"], first=strict_parity)
+    pick = F.min_by if strict_parity else F.max_by
+    fits = best.groupBy("job_name").agg(pick("rmsd", F.struct("rmsd")).alias("rmsd"))
     hits = spark.createDataFrame([], "job_name string, total long, matched long")
-    if have("network_match"):
-        hits = read("network_match").groupBy("job_name").agg(F.count("*").alias("total"), F.count_if(F.upper("matched_within_cutoff") == "Y").alias("matched"))
+    if _glob(spark, f"{outdir}/*/network_match"):
+        rows = spark.read.option("header", "true").option("recursiveFileLookup", "true").csv(f"{outdir}/*/network_match")
+        hits = rows.groupBy("job_name").agg(F.count("*").alias("total"), F.count_if(F.upper("matched_within_cutoff") == "Y").alias("matched"))
     return fits.join(hits, "job_name", "full").select("job_name", "rmsd", "matched", "total", F.expr("try_divide(matched * 100.0D, cast(total as double))").alias("percent"))
 
 

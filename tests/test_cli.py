@@ -15,7 +15,7 @@ PDB, OUT, ATOMS = f"{DATA}/site.pdb", f"{DATA}/site_residues.csv", f"{DATA}/site
 
 def table(folder):
     rows = []
-    for f in sorted(glob.glob(f"{folder}/*.csv")):
+    for f in sorted(glob.glob(f"{folder}/**/*.csv", recursive=True)):
         with open(f, newline="") as h:
             rows += list(csv.DictReader(h))
     return rows
@@ -75,6 +75,23 @@ def test_network_to_compare_to_batch(spark, tmp_path):
     assert row["status"] == "ok" and float(row["rmsd"]) < 1e-3 and row["total"] == "156"
 
 
+def test_evaluate(spark, tmp_path):
+    """A template against all structures whose names fit a pattern."""
+    for n in ("a.pdb", "b.pdb", "other.pdb"):
+        (tmp_path / n).write_text(open(PDB).read())
+    cli.main(["evaluate", "--template", PDB, "--pattern", f"{tmp_path}/[ab].pdb", "--cutoff", "1.0", "--outdir", str(tmp_path / "e")])
+    rows = table(tmp_path / "e/evaluation")
+    assert [r["Query_File"] for r in rows] == ["a", "b"] and all(r["misses"] == "0" and int(r["matches"]) > 0 for r in rows)
+
+
+def test_names_file(spark, tmp_path):
+    cli.main(["compare", "--template-csv", OUT, "--template-atoms-csv", ATOMS, "--query-structure", PDB, "--job-name", "n", "--outdir", str(tmp_path / "m"), "--write-names", str(tmp_path / "names.txt")])
+    from shellgraph.plans import compare
+    from shellgraph.sources import files
+
+    assert files.read_synonyms(spark, str(tmp_path / "names.txt")) == (compare.RESIDUE_NAMES, compare.ATOM_NAMES)
+
+
 def test_views(spark):
     n = network.coordination_network(structures.read_pdb(spark, PDB), network.Settings(("OEX",)))
     assert views.markers(n).count() == 156 and views.markers(n).where("interacts").count() == 47
