@@ -27,7 +27,7 @@ def arriving(spark: SparkSession, folder: str, pattern: str = "*.cif") -> DataFr
 def watch(spark: SparkSession, folder: str, template: DataFrame, network: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, cutoff: float = 2.0, pattern: str = "*.cif", rejected: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
     """Compare every new mmCIF file of ``folder``; ``sink(matches, batch_id)`` gets the match table of each batch, and
     ``rejected((structure_id, reason), batch_id)`` the files that give no match: without atom coordinates, or
-    without three shared atoms. Such files never end the stream.
+    without three shared atoms. Such files never end the stream; files without a byte aren't seen at all.
 
     Files are tracked in ``checkpoint``, so each is compared once; a sink that overwrites by batch id makes
     that exactly once. ``trigger`` is passed on, ``availableNow=True`` by default."""
