@@ -8,7 +8,8 @@ overlap the passage.
 Scores are divided by the score of the item against itself, so that one threshold fits items of any
 length. Words are runs of letters and digits, in lower case. An item's answer is its last third
 of words (at least one), its question the rest; overlap is the share of word pairs found in the
-passage.
+passage. A passage is a window of twice the item's length class (a power of two), at least ``least`` words: a long item
+in the test set doesn't widen the passages that short ones are looked for in.
 """
 
 from __future__ import annotations
@@ -39,55 +40,102 @@ def _words(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np
 @dataclass(frozen=True)
 class Rules:
     """threshold: share of the item's own score; question, answer: least share of word pairs;
-    k1, b: of BM25; block: items in a block of the index; max_items: bound on the test set."""
+    k1, b: of BM25; least: words of the shortest passages; block: items in a block of the index; part: items that are
+    looked for at once; max_items: bound on the test set."""
 
     threshold: float = 0.5
     question: float = 0.6
     answer: float = 0.6
     k1: float = 1.2
     b: float = 0.75
+    least: int = 64
     block: int = 16
+    part: int = 8192
     max_items: int = 1_000_000
 
 
 class Index:
-    """Postings of the items in item order, with upper bounds by term and by term and block."""
+    """The test items by words: terms, and parts by length class. Items of the same words are one; ``ids`` has the ids of
+    each."""
 
     def __init__(self, ids: list[int], texts: pa.Array, rules: Rules):
-        self.rules, self.ids = rules, np.array(ids, np.int64)
+        self.rules = rules
         words: list[np.ndarray] = []
         for i, j, h, counts, first in _words(texts):
             words += [h[a : a + n] for a, n in zip(first[: j - i], counts, strict=True)]
-        n_items = len(words)
+        same: dict[bytes, int] = {}
+        of = np.array([same.setdefault(w.tobytes(), len(same)) for w in words], np.int64)
+        copies = np.bincount(of, minlength=len(same))
+        self.ids = [np.zeros(0, np.int64)] * len(same)
+        for k, rows in enumerate(np.split(np.argsort(of, kind="stable"), np.cumsum(copies)[:-1]) if len(same) else []):
+            self.ids[k] = np.array(ids, np.int64)[rows]
+        words = [np.frombuffer(w, C.U64) for w in same]
         length = np.array([len(w) for w in words], float)
-        self.window = 2 * int(max(length, default=1) or 1)
-        item = np.repeat(np.arange(n_items), length.astype(int))
+        n_items = len(of)
+        item = np.repeat(np.arange(len(words)), length.astype(int))
         self.terms, term = np.unique(np.concatenate(words) if words else np.zeros(0, C.U64), return_inverse=True)
-        pair, tf = np.unique(term * max(1, n_items) + item, return_counts=True)
-        self.post_term, self.post_item = pair // max(1, n_items), pair % max(1, n_items)
-        df = np.bincount(self.post_term, minlength=len(self.terms))
+        pair, tf = np.unique(term * max(1, len(words)) + item, return_counts=True)
+        post_term, post_item = pair // max(1, len(words)), pair % max(1, len(words))
+        df = np.bincount(post_term, weights=copies[post_item], minlength=len(self.terms))
         idf = np.log1p((n_items - df + 0.5) / (df + 0.5))
-        norm = rules.k1 * (1 - rules.b + rules.b * length / max(length.mean() if n_items else 1, 1e-9))
-        score = idf[self.post_term] * tf * (rules.k1 + 1) / (tf + norm[self.post_item])
-        own = np.bincount(self.post_item, weights=score, minlength=n_items)
-        self.score = score / own[self.post_item]
-        self.start = np.searchsorted(self.post_term, np.arange(len(self.terms) + 1))
-        self.bound = np.maximum.reduceat(self.score, self.start[:-1]) if len(self.terms) else np.zeros(0)
-        block = self.post_term * (n_items // rules.block + 1) + self.post_item // rules.block
-        at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else np.zeros(0, int)
-        self.block_max = np.repeat(np.maximum.reduceat(self.score, at), np.diff(np.append(at, len(block)))) if len(block) else np.zeros(0)
-        self.block_end = np.repeat(np.append(at[1:], len(block)), np.diff(np.append(at, len(block)))) if len(block) else np.zeros(0, int)
-        self._essential(n_items)
+        mean = np.average(length, weights=copies) if n_items else 1
+        norm = rules.k1 * (1 - rules.b + rules.b * length / max(mean, 1e-9))
+        score = idf[post_term] * tf * (rules.k1 + 1) / (tf + norm[post_item])
+        own = np.bincount(post_item, weights=score, minlength=len(words))
+        score /= own[post_item]
+        size = np.maximum(rules.least // 2, 2 ** np.ceil(np.log2(np.maximum(length, 1)))).astype(np.int64)
+        self.parts: list[Part] = []
+        for width in np.unique(size).tolist():
+            members = np.flatnonzero(size == width)
+            for k in range(0, len(members), rules.part):
+                some = members[k : k + rules.part]
+                at = np.flatnonzero(np.isin(post_item, some))
+                self.parts.append(Part(rules, some, [words[i] for i in some], 2 * width, len(self.terms), df, post_term[at], np.searchsorted(some, post_item[at]), score[at]))
+
+    def lookup(self, h: np.ndarray) -> np.ndarray:
+        """Term numbers, -1 for words of no item."""
+        if not len(self.terms):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+        return np.where(self.terms[at] == h, at, -1)
+
+    def leaks(self, h: np.ndarray, counts: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[float, int, float, float]]:
+        """Of some rows' words: (row, item) -> (score, first word of the passage, question and
+        answer overlap) for the passage with the highest score."""
+        found: dict[tuple[int, int], tuple[float, int, float, float]] = {}
+        if len(h) and len(self.terms):
+            term = self.lookup(h)
+            for part in self.parts:
+                found |= part.leaks(h, term, counts, first)
+        return found
+
+
+class Part:
+    """Postings of items of one length class in item order, with upper bounds by term and by term and block.
+
+    members: their numbers in the index; post_term, post_item, score: postings by term, items by place in ``members``."""
+
+    def __init__(self, rules: Rules, members: np.ndarray, words: list[np.ndarray], window: int, n_terms: int, df: np.ndarray, post_term: np.ndarray, post_item: np.ndarray, score: np.ndarray):
+        self.rules, self.members, self.window, self.n_terms = rules, members, window, n_terms
+        self.post_term, self.post_item, self.score = post_term, post_item, score
+        n_items = len(members)
+        self.start = np.searchsorted(post_term, np.arange(n_terms + 1))
+        self.bound = np.zeros(n_terms)
+        np.maximum.at(self.bound, post_term, score)
+        block = post_term * (n_items // rules.block + 1) + post_item // rules.block
+        at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        self.block_max = np.repeat(np.maximum.reduceat(score, at), np.diff(np.append(at, len(block))))
+        self.block_end = np.repeat(np.append(at[1:], len(block)), np.diff(np.append(at, len(block))))
+        self._essential(n_items, df)
         pairs = [w[:-1] * C.U64(3) + C.mix(w[1:]) for w in words]
         cuts = [max(1, len(w) - max(1, len(w) // 3)) for w in words]
         self.question = [np.unique(p[: max(0, c - 1)]) for p, c in zip(pairs, cuts, strict=True)]
         self.answer = [np.unique(p[max(0, c - 1) :]) for p, c in zip(pairs, cuts, strict=True)]
 
-    def _essential(self, n_items: int) -> None:
+    def _essential(self, n_items: int, df: np.ndarray) -> None:
         """Of each item the rarest terms that make up all but half a threshold of its score. A
         passage reaches the threshold only with at least ``need`` from them."""
-        df = np.diff(self.start)[self.post_term]
-        o = np.lexsort((self.post_term, df, self.post_item))
+        o = np.lexsort((self.post_term, df[self.post_term], self.post_item))
         share = self.score[o]
         begin = np.searchsorted(self.post_item[o], np.arange(n_items))
         run = np.cumsum(share) - share
@@ -97,22 +145,19 @@ class Index:
         self.need = self.rules.threshold - rest - 1e-9
         kept = np.sort(o[keep])  # postings stay in term order
         self.ess_item, self.ess_score = self.post_item[kept], self.score[kept]
-        self.ess_start = np.searchsorted(self.post_term[kept], np.arange(len(self.terms) + 1))
+        self.ess_start = np.searchsorted(self.post_term[kept], np.arange(self.n_terms + 1))
 
-    def hopeful(self, h: np.ndarray, counts: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
+    def hopeful(self, term: np.ndarray, counts: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, first word, end) of the passages of some rows in which an item's essential terms
         reach its need; repeated words count again, so none that matters is left out.
 
-        Passages are windows of twice the longest item, half a window apart from each other, so that
+        Passages are windows of twice the class's longest items, half a window apart from each other, so that
         every item lies whole in one of them."""
-        if not len(self.terms) or not len(h):
-            return []
         step = self.window // 2
         row = np.repeat(np.arange(len(counts)), counts)
-        half = (np.arange(len(h)) - first[row]) // step  # the half window a word is in
+        half = (np.arange(len(term)) - first[row]) // step  # the half window a word is in
         slots = counts // step + 2
         base = np.cumsum(slots) - slots
-        term = self.lookup(h)
         at = np.flatnonzero(term >= 0)
         t = term[at]
         n = self.ess_start[t + 1] - self.ess_start[t]
@@ -133,13 +178,6 @@ class Index:
             out.append((r, a, min(a + self.window, int(first[r] + counts[r]))))
         return sorted(set(out))
 
-    def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Term numbers, -1 for words of no item."""
-        if not len(self.terms):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
-        return np.where(self.terms[at] == h, at, -1)
-
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """Block-max WAND: all items whose score for the distinct ``terms`` reaches the threshold."""
         goal, out = self.rules.threshold - 1e-9, []
@@ -183,18 +221,17 @@ class Index:
         share = lambda own: float(np.isin(own, pairs).mean()) if len(own) else 1.0
         return share(self.question[item]), share(self.answer[item])
 
-    def leaks(self, h: np.ndarray, counts: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[float, int, float, float]]:
-        """Of some rows' words: (row, item) -> (score, first word of the passage, question and
-        answer overlap) for the passage with the highest score."""
+    def leaks(self, h: np.ndarray, term: np.ndarray, counts: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[float, int, float, float]]:
         found: dict[tuple[int, int], tuple[float, int, float, float]] = {}
-        for r, a, b in self.hopeful(h, counts, first):
-            t = self.lookup(h[a:b])
+        for r, a, b in self.hopeful(term, counts, first):
+            t = term[a:b]
             hits = self.search(np.unique(t[t >= 0]))
             pairs = h[a : b - 1] * C.U64(3) + C.mix(h[a + 1 : b]) if hits else None
             for item, score in hits:
                 q, w = self.overlap(item, pairs)
-                if q >= self.rules.question and w >= self.rules.answer and score > found.get((r, item), (0.0,))[0]:
-                    found[r, item] = (score, a - int(first[r]), q, w)
+                key = r, int(self.members[item])
+                if q >= self.rules.question and w >= self.rules.answer and score > found.get(key, (0.0,))[0]:
+                    found[key] = (score, a - int(first[r]), q, w)
         return found
 
 
@@ -226,7 +263,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) ->
             rows = []
             for i, j, h, counts, first in _words(batch.column("text")):
                 for (r, item), hit in index.leaks(h, counts, first).items():
-                    rows.append((ids[i + r].as_py(), int(index.ids[item]), *hit))
+                    rows += [(ids[i + r].as_py(), k, *hit) for k in index.ids[item].tolist()]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
