@@ -105,7 +105,7 @@ def brute(docs, items, rules):
 def test_against_brute_force(spark, rules):
     """All leaks, and no others, with items of very different lengths, some alike."""
     rng, pick, items = corpus(5, vocab=400)
-    items += [pick(300), pick(5000), items[0], items[3] + " more"]
+    items += [pick(300), pick(1500), items[0], items[3] + " more"]
     parts = lambda t: " ".join(w for w in t.split() if rng.random() < 0.8)
     docs = [(i, " ".join([pick(rng.randrange(0, 200)), parts(rng.choice(items)), pick(rng.randrange(0, 100))])) for i in range(40)]
     found = M.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), BENCH), rules)
