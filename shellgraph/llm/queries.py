@@ -138,6 +138,37 @@ _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x:
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _tree_sql(name: str, rows: str, group: str, levels: int) -> str:
+    """CTEs over ``rows`` (group, i, h): the levels of its trees, and ``name`` (group, i, root, steps) with each leaf's siblings
+    left and right, a struct a level."""
+    out = [f"{name}0 AS (SELECT {group}, i, h FROM {rows})"]
+    for k in range(levels):
+        # a tree that is one node stays as it is
+        out.append(f"{name}{k + 1} AS (SELECT {group}, i // 16 AS i, CASE WHEN any_value(m) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM (SELECT *, count(*) OVER (PARTITION BY {group}) AS m FROM {name}{k}) GROUP BY {group}, i // 16)")
+        out.append(f"{name}s{k} AS (SELECT a.{group}, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r, max(a.m) AS m FROM (SELECT *, count(*) OVER (PARTITION BY {group}) AS m FROM {name}{k}) a JOIN {name}{k} b ON a.{group} = b.{group} AND a.i // 16 = b.i // 16 GROUP BY a.{group}, a.i)")
+    joins = " ".join(f"JOIN {name}s{k} s{k} ON s{k}.{group} = z.{group} AND s{k}.i = z.i // {16**k}" for k in range(levels))
+    steps = "list_filter([" + ", ".join(f"{{'l': s{k}.l, 'r': s{k}.r, 'm': s{k}.m}}" for k in range(levels)) + "], lambda s: s.m > 1)"
+    out.append(f"{name} AS (SELECT z.{group}, z.i, t.h AS root, {steps} AS steps FROM {name}0 z {joins} JOIN {name}{levels} t ON t.{group} = z.{group})")
+    return ", ".join(out)
+
+
+_CRC = "list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[]), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END))"
+
+
+def _merkle_sql(levels: int = 5, crown: int = 2) -> str:
+    """Trees of up to 16 ** levels documents a source, and 16 ** crown sources."""
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce('1' || source, '0') AS g, {leaf('text')} AS leaf, CASE WHEN xor({_CRC}, 4294967295::UBIGINT) % 5 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS now FROM documents),
+        n AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d), {_tree_sql('t', 'n', 'g', levels)},
+        u AS (SELECT 0 AS o, g, root AS h, row_number() OVER (ORDER BY encode(g)) - 1 AS i FROM (SELECT DISTINCT g, root FROM t)), {_tree_sql('c', 'u', 'o', crown)},
+        f AS (SELECT n.doc_id, n.leaf, n.now, t.root AS subroot, c.root, list_concat(t.steps, c.steps) AS steps FROM n JOIN t ON t.g = n.g AND t.i = n.i JOIN u ON u.g = n.g JOIN c ON c.i = u.i),
+        e AS (SELECT *, list_reduce(list_prepend({{'l': '', 'r': '', 'm': 0, 'h': now}}, list_transform(steps, lambda s: {{'l': s.l, 'r': s.r, 'm': s.m, 'h': ''}})), lambda a, s: {{'l': '', 'r': '', 'm': s.m, 'h': sha256(s.l || a.h || s.r)}}).h AS folded FROM f)
+        SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s.l || s.r), '')) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM e"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": r"""
@@ -173,4 +204,5 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f ON k.key = f.key)
             SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
                 sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r, doc_id""",
+        "op13_merkle_manifest": _merkle_sql(),
     }
