@@ -2,7 +2,7 @@
 
 Values are found by pattern, validated (checksums, ranges, calendar), and replaced by a keyed
 permutation of the values of their own format, so that a value has one pseudonym in all documents
-and two values never share one. The permutation is a Feistel network of ten rounds over
+and two values of one format never share one (a date read month first and one read day first are two formats, and may). The permutation is a Feistel network of ten rounds over
 the smallest even number of bits that holds the format's values, walked until it lands inside.
 """
 
