@@ -2,8 +2,10 @@
 
 Values are found by pattern, validated (checksums, ranges, calendar), and replaced by a keyed
 permutation of the values of their own format, so that a value has one pseudonym in all documents
-and two values of one format never share one (a date read month first and one read day first are two formats, and may). The permutation is a Feistel network of ten rounds over
-the smallest even number of bits that holds the format's values, walked until it lands inside.
+and two values never share one. The permutation is a Feistel network of ten rounds over the smallest
+even number of bits that holds the format's values, walked until it lands inside. A date keeps its
+order, widths and separators; one date in two notations has one pseudonym date if both are written
+with two-digit days and months and neither is month first.
 """
 
 from __future__ import annotations
@@ -139,18 +141,33 @@ def _iban(s: str, move: Move) -> str | None:
 _FIRST, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
 
 
+def _kinds(parts: tuple[str, str]) -> tuple[int, ...]:
+    """How day and month are written: both with two digits, or each with one, with a leading zero, or with two."""
+    return () if all(len(p) == 2 for p in parts) else tuple(len(p) + (p[0] == "0") for p in parts)
+
+
 def _date(s: str, move: Move) -> str | None:
-    a, sep, b, c = re.fullmatch(r"(\d+)([-/.])(\d+)[-/.](\d+)", s).groups()
-    for order in ((a, b, c),) if len(a) == 4 else ((c, b, a), (c, a, b)):  # year first, day first, month first
+    """A date read day first can't be read otherwise where its month is above 12, so what is read month first is walked
+    until its day is above 12; what has one digit is walked until it has one again."""
+    a, sep, b, sep_2, c = re.fullmatch(r"(\d+)([-/.])(\d+)([-/.])(\d+)", s).groups()
+    for order in ("ymd",) if len(a) == 4 else ("dmy", "mdy"):
+        at = dict(zip(order, (a, b, c), strict=True))
         try:
-            n = date(*map(int, order)).toordinal() - _FIRST
+            n = date(*(int(at[k]) for k in "ymd")).toordinal() - _FIRST
         except ValueError:
             continue
         if not 0 <= n < _DAYS:
             return None
-        d = date.fromordinal(_FIRST + move(n, _DAYS, b"date"))
-        ymd = (f"{d.year:04d}", f"{d.month:02d}", f"{d.day:02d}")
-        return sep.join(ymd if len(a) == 4 else ymd[::-1] if order == (c, b, a) else (ymd[1], ymd[2], ymd[0]))
+        kinds = _kinds((at["d"], at["m"]))
+        while True:
+            n = move(n, _DAYS, b"date")
+            d = date.fromordinal(_FIRST + n)
+            if order == "mdy" and d.day <= 12:
+                continue
+            widths = [1 if k == 1 else 2 for k in kinds] or [2, 2]
+            new = {"y": f"{d.year:04d}", "d": f"{d.day:0{widths[0]}d}", "m": f"{d.month:0{widths[1]}d}"}
+            if _kinds((new["d"], new["m"])) == kinds:
+                return new[order[0]] + sep + new[order[1]] + sep_2 + new[order[2]]
     return None
 
 
@@ -174,13 +191,13 @@ _ASCII_EDGE = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 KINDS: dict[str, tuple[str, Callable[[str, Move], str | None]]] = {
     "secret": (r"(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}", _secret),
     "iban": (r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?", _iban),
-    "date": (r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2}", _date),
+    "date": (r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2}|(?![0-9A-Za-z]))|(?:(?<![0-9]\.)[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?!\.[0-9])|(?![0-9]+\.[0-9]+\.)[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2})(?![0-9A-Za-z])", _date),
     "ip": (r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])", _ip),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", _ssn),
     "card": (r"[0-9](?:[ -]?[0-9]){12,18}", _card),
     "phone": (r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}", _phone),
 }
-_EACH = {k: re.compile(f"(?:{p}){_ASCII_EDGE[1]}") for k, (p, _) in KINDS.items()}
+_EACH = {k: re.compile(f"(?:{p}){'' if k == 'date' else _ASCII_EDGE[1]}") for k, (p, _) in KINDS.items()}  # a time may follow a date
 _SHORTER = ("card", "phone", "iban")  # kinds whose longest match may run into what follows
 _WHOLE = ("secret", "date", "ip", "ssn")  # kinds whose format leaves no doubt where they begin
 _START = re.compile(r"(?<![0-9A-Za-z])(?:[0-9]|\+[0-9]|\([0-9]|[A-Z]{2}[0-9]{2}|[a-fA-F][0-9A-Fa-f]{31})")

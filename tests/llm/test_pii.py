@@ -78,3 +78,33 @@ def test_odd(spark, odd, none):
     df = spark.createDataFrame([(1, "mail me@x.org or +1 (555) 555-5657 now", "a"), (2, "y" * 200_000 + " 8.8.8.8", "a")], "doc_id long, text string, kinds string")
     r = {r.doc_id: r for r in M.pseudonymise(df, b"key").collect()}
     assert (r[1].n_private, r[1].kinds) == (2, ["email", "phone"]) and "me@x.org" not in r[1].text and r[2].kinds == ["ip"]
+
+
+def test_dates_never_meet():
+    """Every date of 1900 to 2099 in eight notations: no two values share a pseudonym, each keeps its notation."""
+    from datetime import date, timedelta
+
+    step = lambda n, size, tweak: (n * 31_337 + 911) % size  # noqa: E731  a permutation as good as any here, and quick
+    days = [date(1900, 1, 1) + timedelta(n) for n in range((date(2100, 1, 1) - date(1900, 1, 1)).days)]
+    forms = ["{d:02}/{m:02}/{y}", "{m:02}/{d:02}/{y}", "{d}/{m}/{y}", "{m}/{d}/{y}", "{d:02}/{m}/{y}", "{d}/{m:02}/{y}", "{y}-{m:02}-{d:02}", "{d:02}.{m:02}-{y}"]
+    values = {f.format(d=t.day, m=t.month, y=t.year) for f in forms for t in days}
+    new = {v: M._date(v, step) for v in values}
+    assert len(set(new.values())) == len(values)
+    shape = lambda s: "".join("9" if c.isdigit() else c for c in s)
+    assert all(shape(v) == shape(n) for v, n in new.items())
+
+
+@pytest.mark.parametrize("value", ["2021-03-04", "04/03/2021", "3/14/2021", "4.3.2021", "04.3.2021", "12.3.2021", "2021/03/04"])
+def test_dates_back(value):
+    p, back = M.Pseudonyms(b"key"), M.Pseudonyms(b"key", back=True)
+    assert back.one("date", p.one("date", value)) == value != p.one("date", value)
+
+
+def test_dates_in_text():
+    p = M.Pseudonyms(b"key")
+    new = p.one("date", "2021-03-04")
+    assert p.replace("at 2021-03-04T10:00:00Z")[0] == f"at {new}T10:00:00Z"
+    assert p.one("date", "2021/03/04") == new.replace("-", "/") and p.one("date", "04.03.2021") == ".".join(new.split("-")[::-1])
+    assert [k for *_, k, _ in p.replace("am 2.3.2004. Von 01/02/2003-05/02/2003")[1]] == ["date"] * 3
+    for text in ("0.2.3.2004", "2.3.2004.1", "2021-03-04Tx", "v1.2.3.2004"):
+        assert p.replace(text) == (text, [])
