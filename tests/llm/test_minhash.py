@@ -113,6 +113,45 @@ def test_pairs_of_a_large_group_are_made_once(spark, monkeypatch):
     assert all(n == d for n, d in made) and sum(n for n, _ in made) < 20 * len(rows)
 
 
+def joins(plan):
+    """(keys, rows made) of the joins of an executed plan."""
+    if "QueryStage" in plan.getClass().getSimpleName():
+        return joins(plan.plan())
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return joins(plan.executedPlan())
+    own = []
+    if "HashJoin" in plan.getClass().getSimpleName() or "MergeJoin" in plan.getClass().getSimpleName():
+        own = [(re.sub(r"#\d+L?", "", plan.leftKeys().mkString(",")), plan.longMetric("numOutputRows").value())]
+    below = plan.children()
+    return own + [x for i in range(below.size()) for x in joins(below.apply(i))]
+
+
+def test_facts_meet_nodes_once(spark, monkeypatch):
+    """What is known of a node joins it once, however many buckets it is in."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, rows = [word() for _ in range(100)], []
+    for n in range(300):
+        w = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            w[rng.randrange(100)] = word()
+        rows.append((n, " ".join(w)))
+    seen, old = [], common.bucket_links
+
+    def spy(scratch, members, facts, close, first, confirm):
+        def looked(pairs):
+            pairs.collect()
+            seen.extend(n for keys, n in joins(pairs._jdf.queryExecution().executedPlan()) if keys == "node")
+            return confirm(pairs)
+
+        return old(scratch, members, facts, close, first, looked)
+
+    monkeypatch.setattr(common, "bucket_links", spy)
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == slow(rows, 3, 85)
+    assert seen and max(seen) <= len(rows)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (2000, 3000), (3000, 2000)]
