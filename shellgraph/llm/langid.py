@@ -261,14 +261,14 @@ def _levels(n_langs: int, grams: list[tuple[np.ndarray, np.ndarray]], seen_by_or
     return levels, np.log(unknown).astype(np.float32)
 
 
-def train(docs: DataFrame, max_cells: int = 1 << 24, calibration: int = 4000) -> Model:
+def train(docs: DataFrame, max_cells: int = 1 << 24) -> Model:
     """A model from ``docs(text, lang)``; rows without lang or text are not used.
 
     n-grams are counted over all rows, and all counts are used and kept. The model is cut into shards by a 4-gram's third
     symbol, in which all that its probability needs lies together; a shard has at most ``max_cells`` n-grams times
     languages (more only where one symbol has), so that it can be broadcast. Ranges of cross-entropy
-    and the score's scale are fitted on about ``calibration`` rows picked by hash. Without labelled
-    rows the model knows no language and everything is ``und``.
+    and the score's scale are fitted on all these rows too. Without labelled rows the model knows no language and everything
+    is ``und``.
     """
     scratch = C.Scratch(docs.sparkSession)
     C.small_batches(docs.sparkSession)
@@ -308,38 +308,51 @@ def train(docs: DataFrame, max_cells: int = 1 << 24, calibration: int = 4000) ->
         shards.append((low, high, docs.sparkSession.sparkContext.broadcast(levels)))
     model = Model(langs, shards, unknown, np.zeros(len(langs)), np.ones((2, len(langs))))
     if langs:
-        _calibrate(model, rows, calibration, number)
+        _calibrate(model, rows, number, scratch)
     return model
 
 
-def _calibrate(model: Model, rows: DataFrame, size: int, number: dict[str, int]) -> None:
-    spark = rows.sparkSession
+TAUS = [2.0**k for k in range(2, 9)]
+
+
+def _calibrate(model: Model, rows: DataFrame, number: dict[str, int], scratch: C.Scratch) -> None:
+    """Mean and spread of the cross-entropy and the score's scale, from all rows; copies count once. Only sums by language
+    reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model
         for b in batches:
             data, off = C.text_buffer(b.column("text"))
+            lang = np.array([number[x] for x in b.column("lang").to_pylist()], np.int64)
             for i, j in C.chunks(off, m.chunk):
                 h, n, _ = m.entropies(data, off[i : j + 1])
-                yield pa.RecordBatch.from_pydict({"lang": b.column("lang").slice(i, j - i), "n": pa.array(n.astype(np.int64)), "h": pa.array(list(h), pa.list_(pa.float64()))})
-
-    step = max(1, rows.count() // size)
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).dropDuplicates(["text", "lang"])  # copies count once
-    got = picked.mapInArrow(run, "lang string, n long, h array<double>").where("n > 0").toArrow()
-    if not len(got):
+                who, own = np.arange(j - i), lang[i:j]
+                gap = (h - h.min(axis=1)[:, None]) * n[:, None]
+                cost = np.stack([gap[who, own] / t + np.log(np.exp(-np.minimum(gap / t, 700)).sum(axis=1)) for t in TAUS], axis=1)
+                part = {c: b.column(c).slice(i, j - i) for c in ("text_a", "text_b")}
+                part |= {"lang": pa.array(own), "n": pa.array(n.astype(np.int64)), "own": pa.array(h[who, own]), "cost": pa.array(list(cost), pa.list_(pa.float64()))}
+                yield pa.RecordBatch.from_pydict(part)
+
+    named = rows.withColumns({"text_a": F.xxhash64("text"), "text_b": F.xxhash64("text", F.lit(29))})  # together the name of a text
+    judged = named.mapInArrow(run, "text_a long, text_b long, lang long, n long, own double, cost array<double>").where("n > 0")
+    once = scratch.save(judged.groupBy("lang", "text_a", "text_b").agg(*[F.min(c).alias(c) for c in ("n", "own", "cost")]), "calibration")
+    total = F.sum("n").cast("double")
+    means = once.groupBy("lang").agg(F.count("*").alias("rows"), (F.sum(F.col("own") * F.col("n")) / total).alias("mean"), F.percentile("n", 0.5).alias("half"))
+    means = once.sparkSession.createDataFrame(means.collect(), "lang long, rows long, mean double, half double")  # a row a language
+    off = (F.col("own") - F.col("mean")) * (F.col("own") - F.col("mean"))
+    costs = [F.sum(F.col("cost")[k]).alias(f"cost{k}") for k in range(len(TAUS))]
+    sums = once.join(F.broadcast(means), "lang").groupBy("lang").agg(
+        F.first("rows").alias("rows"), F.first("mean").alias("mean"), F.avg(F.when(F.col("n") >= F.col("half"), off)).alias("wide"),
+        F.avg(off * F.least(F.col("n"), F.lit(200))).alias("falls"), *costs,
+    ).collect()
+    scratch.drop(once)
+    if not sums:
         return
-    lang = np.array([number[x] for x in got["lang"].to_pylist()])
-    n, h = got["n"].to_numpy(), np.array(got["h"].to_pylist())
-    own = h[np.arange(len(h)), lang]
-    for i in range(len(model.langs)):
-        mine = lang == i
-        if mine.sum() >= 2:
-            long = mine & (n >= np.median(n[mine]))
-            model.mean[i] = np.average(own[mine], weights=n[mine])
-            off = (own - model.mean[i]) ** 2
-            model.spread[:, i] = max(off[long].mean(), 0.15**2), max((off[mine] * np.minimum(n[mine], 200)).mean(), 1e-2)
-    gap = (h - h.min(axis=1)[:, None]) * n[:, None]
-    model.tau = float(min((2.0**k for k in range(2, 9)), key=lambda t: (gap[np.arange(len(h)), lang] / t + np.log(np.exp(-np.minimum(gap / t, 700)).sum(axis=1))).sum()))
+    for r in sums:
+        if r.rows >= 2:  # rounded: the order in which a cluster adds changes the last places
+            model.mean[r.lang] = round(r.mean, 9)
+            model.spread[:, r.lang] = round(max(r.wide, 0.15**2), 9), round(max(r.falls, 1e-2), 9)
+    model.tau = TAUS[int(np.argmin([sum(r[f"cost{k}"] for r in sums) for k in range(len(TAUS))]))]
 
 
 _NEW = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

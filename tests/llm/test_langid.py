@@ -115,6 +115,21 @@ def test_rejects_what_is_no_language(spark, model):
     assert all(r.rejected for r in got)
 
 
+def test_calibrated_on_all_rows(spark):
+    """Ranges come from every text, each distinct one once, however many there are."""
+    rows = sorted({(f"{t} {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} {'uvwxyz'[i % 6]}", lang) for lang in ("aa", "bb") for i, t in enumerate(texts(lang, 4500, 3))})
+    assert len(rows) > 8000
+    model = M.train(spark.createDataFrame([*rows, *rows[:500]], "text string, lang string"))
+    h, n, _ = model.entropies(*C.text_buffer(pa.array([t for t, _ in rows])))
+    for k, lang in enumerate(model.langs):
+        mine = np.array([x == lang for _, x in rows])
+        own, size = h[mine, k], n[mine]
+        mean = np.average(own, weights=size)
+        off = (own - mean) ** 2
+        want = [mean, max(off[size >= np.median(size)].mean(), 0.15**2), max((off * np.minimum(size, 200)).mean(), 1e-2)]
+        np.testing.assert_allclose([model.mean[k], *model.spread[:, k]], want, rtol=1e-6)
+
+
 def test_odd(spark, odd, none):
     model = M.train(odd)
     rows = M.predict(odd, model).collect()
