@@ -50,7 +50,7 @@ def _numbered(left: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _grid(a: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float, how: str, broadcast: bool) -> DataFrame:
     """``a`` (keys, l, ...) joined with the rows of ``right`` at most ``cutoff`` away, as r. Right rows go to the 27 cells
-    around theirs."""
+    around theirs, which Spark's own estimate of a side's size doesn't count: it isn't left to broadcast one."""
     width = F.lit(float(cutoff) if cutoff > 0 else 1.0)
     cell = lambda s, c: F.floor(F.col(f"{s}.{c}") / width).cast("long")
     at = [f"__{c}" for c in "xyz"]
@@ -58,7 +58,7 @@ def _grid(a: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float, ho
     b = _packed(right, keys, "r")
     for c in "xyz":
         b = b.select("*", F.explode(F.sequence(cell("r", c) - 1, cell("r", c) + 1)).alias(f"__{c}"))
-    b = F.broadcast(b) if broadcast else b
+    b = F.broadcast(b) if broadcast else b.hint("merge")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*_names(keys), *at]]
     found = a.alias("a").join(b.alias("b"), reduce(lambda x, y: x & y, [*on, distance("a.l", "b.r") <= cutoff]), how)
     return found.select(*[f"a.{c}" for c in a.columns if c not in at], "b.r")
@@ -67,14 +67,15 @@ def _grid(a: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float, ho
 def _strategy(strategy: str, right: DataFrame) -> bool:
     if strategy not in ("auto", "grid", "broadcast"):
         raise ValueError(f"no strategy {strategy}")
-    return strategy == "broadcast" or strategy == "auto" and bounded(right, BROADCAST_ROWS // 27)
+    return strategy != "grid" and bounded(right, BROADCAST_ROWS if strategy == "broadcast" else BROADCAST_ROWS // 27)
 
 
 def pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float, strategy: str = "auto") -> DataFrame:
     """(l, r, d): structs of the left and right rows of equal ``keys`` at most ``cutoff`` apart
     (inclusive, on the root), with their distance. Null coordinates and null keys match nothing.
 
-    ``strategy``: ``broadcast`` sends the right side's cells to all tasks, ``grid`` shuffles them, ``auto`` counts first."""
+    ``strategy``: ``broadcast`` sends the right side's cells to all tasks if it has at most BROADCAST_ROWS rows, counted;
+    ``grid`` shuffles them; ``auto`` broadcasts at most so many cells."""
     found = _grid(_packed(left, keys, "l"), right, keys, cutoff, "inner", _strategy(strategy, right))
     return found.select("l", "r", distance("l", "r").alias("d"))
 

@@ -227,6 +227,15 @@ def test_equal_rows_stay(spark):
     assert distance.nearest(one, near, [], ["i"]).count() == distance.nearest(one, near, [], ["i"], cutoff=1.0).count() == 4
 
 
+def test_pairs_broadcast_only_what_is_counted(spark, monkeypatch):
+    """Neither strategy sends the driver a side that grows: above the counted bound both shuffle."""
+    pts = spark.range(500).selectExpr("id as i", "double(id) as x", "0.0d as y", "0.0d as z").withColumn("k", F.lit(1))
+    plan = lambda s: distance.pairs(pts, pts, ["k"], 1.5, s)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan("broadcast") and "Broadcast" not in plan("grid")
+    monkeypatch.setattr(distance, "BROADCAST_ROWS", 400)
+    assert "Broadcast" not in plan("broadcast")
+
+
 def test_chain_dedup(spark):
     seq = [("GLY", 1), ("SER", 2), ("ASP", 3)]
     a = [(r, n, c, "CA", "C", (n + (5 if c == "B" else 0), 0, 0)) for c in "AB" for r, n in seq] + [("GLY", 1, "C", "CA", "C", (0, 0, 0)), ("HEM", 9, "B", "FE", "FE", (0, 0, 0)), ("HOH", 8, "A", "O", "O", (0, 0, 0))]
