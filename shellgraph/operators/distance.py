@@ -1,8 +1,8 @@
 """Joins by distance between points with columns x, y, z, within groups of equal keys.
 
-With a cutoff, both sides meet on a grid of cells as wide as the cutoff, however large their groups. Without one, the
-right side is laid out as an octree whose cells split by count; every left row gets a bound from the points its
-cells are known by, and meets only the leaves within it. Neither compares a whole group with another, keeps
+All pairs within a cutoff meet on a grid of cells as wide as the cutoff, however large their groups. Where only the nearest
+counts, with a cutoff or without, the right side is laid out as an octree whose cells split by count; every left row gets a
+bound from the points its cells are known by, and meets only the leaves within it. Neither compares a whole group with another, keeps
 tables, or gathers rows outside Spark; a side is broadcast only after counting it. Rows are a bag: equal left rows come
 out as often as they are there.
 """
@@ -48,7 +48,7 @@ def _numbered(left: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _packed(left, keys, "l").withColumn("__id", F.monotonically_increasing_id())
 
 
-def _grid(a: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float, how: str, broadcast: bool) -> DataFrame:
+def _grid(a: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float, broadcast: bool) -> DataFrame:
     """``a`` (keys, l, ...) joined with the rows of ``right`` at most ``cutoff`` away, as r. Right rows go to the 27 cells
     around theirs, which Spark's own estimate of a side's size doesn't count: it isn't left to broadcast one."""
     width = F.lit(float(cutoff) if cutoff > 0 else 1.0)
@@ -60,13 +60,17 @@ def _grid(a: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float, ho
         b = b.select("*", F.explode(F.sequence(cell("r", c) - 1, cell("r", c) + 1)).alias(f"__{c}"))
     b = F.broadcast(b) if broadcast else b.hint("merge")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*_names(keys), *at]]
-    found = a.alias("a").join(b.alias("b"), reduce(lambda x, y: x & y, [*on, distance("a.l", "b.r") <= cutoff]), how)
+    found = a.alias("a").join(b.alias("b"), reduce(lambda x, y: x & y, [*on, distance("a.l", "b.r") <= cutoff]))
     return found.select(*[f"a.{c}" for c in a.columns if c not in at], "b.r")
 
 
-def _strategy(strategy: str, right: DataFrame) -> bool:
+def _known(strategy: str) -> None:
     if strategy not in ("auto", "grid", "broadcast"):
         raise ValueError(f"no strategy {strategy}")
+
+
+def _strategy(strategy: str, right: DataFrame) -> bool:
+    _known(strategy)
     return strategy != "grid" and bounded(right, BROADCAST_ROWS if strategy == "broadcast" else BROADCAST_ROWS // 27)
 
 
@@ -76,29 +80,39 @@ def pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float,
 
     ``strategy``: ``broadcast`` sends the right side's cells to all tasks if it has at most BROADCAST_ROWS rows, counted;
     ``grid`` shuffles them; ``auto`` broadcasts at most so many cells."""
-    found = _grid(_packed(left, keys, "l"), right, keys, cutoff, "inner", _strategy(strategy, right))
+    found = _grid(_packed(left, keys, "l"), right, keys, cutoff, _strategy(strategy, right))
     return found.select("l", "r", distance("l", "r").alias("d"))
 
 
 def within(left: DataFrame, right: DataFrame, keys: Sequence[str], cutoff: float, strategy: str = "auto", name: str = "min_distance") -> DataFrame:
     """Rows of ``left`` with a row of ``right`` at most ``cutoff`` away, and the least distance."""
-    found = _grid(_numbered(left, keys), right, keys, cutoff, "inner", _strategy(strategy, right))
-    return found.groupBy("__id").agg(F.first("l").alias("l"), F.min(distance("l", "r")).alias(name)).select("l.*", name)
+    xyz = ["x", "y", "z"]
+    near = nearest(left, right.select(*dict.fromkeys([*keys, *xyz])), keys, xyz, cutoff, strategy)
+    return near.where("d is not null").select("l.*", F.col("d").alias(name))
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str], cutoff: float | None = None, strategy: str = "auto") -> DataFrame:
     """Every row of ``left`` as ``l`` with its nearest row of ``right`` as ``r`` and their distance ``d``.
 
     Equally near rows of ``right`` go by ``order``. Without a right row of equal keys (within the cutoff, if one is given)
-    ``r`` and ``d`` are null; so they are for null keys and coordinates."""
-    a = _numbered(left, keys)
-    if cutoff is None:
-        found = _octree(a, right, keys)
-    else:
-        found = _grid(a, right, keys, cutoff, "left", _strategy(strategy, right))
+    ``r`` and ``d`` are null; so they are for null keys and coordinates. A cutoff doesn't change the way: what meets is a few
+    leaves of the octree however many points the cutoff spans; ``strategy`` is that of ``pairs`` and only checked."""
+    _known(strategy)
+    found = _octree(_numbered(left, keys), _first_of_place(right, keys, order), keys)
     d = distance("l", "r")
     best = F.struct(d, *[F.col(f"r.{c}") for c in order])
-    return found.groupBy("__id").agg(F.first("l").alias("l"), F.min_by("r", F.when(F.col("r").isNotNull(), best)).alias("r"), F.min(d).alias("d")).drop("__id")
+    out = found.groupBy("__id").agg(F.first("l").alias("l"), F.min_by("r", F.when(F.col("r").isNotNull(), best)).alias("r"), F.min(d).alias("d")).drop("__id")
+    if cutoff is None:
+        return out
+    return out.select("l", *[F.when(F.col("d") <= cutoff, F.col(c)).alias(c) for c in ("r", "d")])
+
+
+def _first_of_place(right: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Of the rows of equal keys and coordinates the first by ``order``: no other can be a nearest one, and a leaf of the
+    octree, which can't split equal points, stays small."""
+    at = [*keys, *[c for c in "xyz" if c not in keys]]
+    row = F.struct(*right.columns)
+    return right.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(at)]).agg(F.min_by(row, F.struct(*order)).alias("r")).select("r.*")
 
 
 def _cells(s: str, low: Sequence[float], width: float, level: Column) -> Column:

@@ -227,6 +227,45 @@ def test_equal_rows_stay(spark):
     assert distance.nearest(one, near, [], ["i"]).count() == distance.nearest(one, near, [], ["i"], cutoff=1.0).count() == 4
 
 
+def test_nearest_with_cutoff(spark):
+    rows = cloud(5, 900)
+    pts = spark.createDataFrame(rows, "i long, k long, x double, y double, z double")
+    right = [r for r in rows if r[0] % 4]
+    want = []
+    for i, k, *p in rows:
+        d = [(float(np.sqrt(sum((a - b) ** 2 for a, b in zip(p, q, strict=True)))), j) for j, m, *q in right if k is not None and m == k and None not in (*p, *q)]
+        want.append((i, min(d)[1] if d and min(d)[0] <= 2.0 else -1))
+    got = distance.nearest(pts, pts.where("i % 4 <> 0"), ["k"], ["i"], cutoff=2.0).collect()
+    assert sorted((r.l.i, r.r.i if r.r else -1) for r in got) == sorted(want) and all((r.d is None) == (r.r is None) for r in got)
+    near = distance.within(pts, pts.where("i % 4 <> 0"), ["k"], 2.0).collect()
+    assert sorted(r.i for r in near) == sorted(i for i, j in want if j >= 0)
+
+
+def rows_met(df):
+    """The most rows that one join of a collected table made."""
+    df.collect()
+
+    def most(plan):
+        name = plan.getClass().getSimpleName()
+        if "QueryStage" in name:
+            return most(plan.plan())
+        if name == "AdaptiveSparkPlanExec":
+            return most(plan.executedPlan())
+        below = plan.children()
+        return max([plan.longMetric("numOutputRows").value() if "Join" in name else 0, *(most(below.apply(i)) for i in range(below.size()))])
+
+    return most(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("copies", [1, 10])
+def test_wide_cutoff_meets_few(spark, copies):
+    """A cutoff that spans all points, and points that lie on each other: rows met don't grow with either."""
+    pts = spark.range(2000 * copies).selectExpr("id", "rand(3) as a", "id % 2000 as p").selectExpr("id", "double(p % 13) as x", "double(p div 13 % 13) as y", "double(p div 169) as z")
+    left = pts.where("id < 2000")
+    assert rows_met(distance.nearest(left.withColumn("x", left.x + 0.1), pts, [], ["id"], cutoff=100.0)) < 1_000_000
+    assert rows_met(distance.within(left.withColumn("x", left.x + 0.1), pts, [], 100.0)) < 1_000_000
+
+
 def test_pairs_broadcast_only_what_is_counted(spark, monkeypatch):
     """Neither strategy sends the driver a side that grows: above the counted bound both shuffle."""
     pts = spark.range(500).selectExpr("id as i", "double(id) as x", "0.0d as y", "0.0d as z").withColumn("k", F.lit(1))
