@@ -167,3 +167,31 @@ def test_components(spark):
         a, b = sorted((root(a), root(b)))
         up[b] = a
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_components_of_stars_take_no_round_and_small_tables_few_tasks(spark, monkeypatch):
+    saved, save = [], common.Scratch.save
+
+    def noted(self, df, name):
+        out = save(self, df, name)
+        saved.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(common.Scratch, "save", noted)
+    monkeypatch.setattr(common, "SMALL_ROWS", 1000)
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    star = spark.range(1, 500).selectExpr("id as u", "id % 5 * -1 - 1 as v")
+    got = {r.node: r.root for r in common.components(common.Scratch(spark), star).collect()}
+    assert got == {i: -(i % 5) - 1 for i in range(1, 500)} | {-i: -i for i in range(1, 6)}
+    assert [name for name, _ in saved] == ["edges"]
+    saved.clear()
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chain = spark.range(30).selectExpr("id as u", "id + 1 as v").union(spark.range(300, 400).selectExpr("id", "300 + (id - 300) div 2"))
+        got = {r.node: r.root for r in common.components(common.Scratch(spark), chain).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    assert got == {i: 0 for i in range(31)} | {i: 300 for i in range(300, 400)}
+    assert len(saved) > 2 and all(files <= 4 for name, files in saved if name in ("large", "star"))
